@@ -19,6 +19,8 @@ from bookglass.llm.graph import connected_components
 
 #: Word hashes remembered by a worker; shingles looked at together when frequent ones are counted; how many of those keep a place in the order.
 CACHE_WORDS, COUNT_SHINGLES, FREQUENT = 1_000_000, 2_000_000, 100_000
+#: Shingles that one counting task holds; documents whose ids may be broadcast to find their texts again.
+BUCKET_SHINGLES, BROADCAST_IDS = 8_000_000, 500_000
 #: Shingles that one search task holds; larger blocks are cut into chunks of this size that meet pair by pair.
 BLOCK_SHINGLES = 3_000_000
 #: DivideSkip's weight of a probe against a step of the merge.
@@ -56,55 +58,143 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Iterat
         yield batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
 
 
-def _count(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Shingles of at least 8 of the documents looked at together, with their counts."""
+def prefix_length(n: int, percent: int) -> int:
+    """Two sets that link share one of their first prefix_length shingles in any common order."""
+    return n - (percent * n + 99) // 100 + 1
+
+
+#: Rows of the first pass: a document with the size and digest of its set; a shingle with how many documents of a chunk have it.
+DOCUMENT, SHINGLE = 0, 1
+
+
+def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A DOCUMENT row each, and SHINGLE rows for what 8 documents of those looked at together share."""
     held: list[np.ndarray] = []
     size = 0
 
-    def flush() -> pa.RecordBatch:
+    def frequent() -> pa.RecordBatch:
         values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
         some = n >= 8
-        return pa.RecordBatch.from_arrays([pa.array(values[some].view(np.int64)), pa.array(n[some].astype(np.int64))], names=["shingle", "n"])
+        k = int(some.sum())
+        return pa.RecordBatch.from_arrays([pa.array([SHINGLE] * k, pa.int32()), pa.array(values[some].view(np.int64)), pa.array(n[some].astype(np.int64)), pa.nulls(k, pa.binary())], names=["kind", "key", "n", "mark"])
 
-    for _, texts in _texts(batches):
+    for ids, texts in _texts(batches):
+        sizes, marks = [], []
         for text in texts:
-            if text:
-                held.append(s := shingles(text, width))
-                size += len(s)
+            s = shingles(text or b"", width)
+            sizes.append(len(s))
+            marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            held.append(s)
+            size += len(s)
             if size >= COUNT_SHINGLES:
-                yield flush()
+                yield frequent()
                 held, size = [], 0
-    yield flush()
+        yield pa.RecordBatch.from_arrays([pa.array([DOCUMENT] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary())], names=["kind", "key", "n", "mark"])
+    yield frequent()
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Two sets that link share one of their first prefix_length shingles in any common order."""
-    return n - (percent * n + 99) // 100 + 1
+def _pack(a: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, six bytes each."""
+    return a.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
 
+def _unpack(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
 
-def _signatures(batches: Iterator[pa.RecordBatch], width: int, percent: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+
+def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(bucket, doc, mark, n, tokens): each document's shingles, dealt by hash over the buckets; its frequent ones go
+    along with its size in a row of bucket -1 - x, to be passed on."""
+    cuts = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
     for ids, texts in _texts(batches):
-        sizes, marks, prefixes = [], [], []
-        for text in texts:
+        out: list[tuple] = []
+        for doc, text in zip(ids, texts, strict=True):
             s = shingles(text or b"", width)
-            n = len(s)
-            if n:
-                p = prefix_length(n, percent)
-                if len(frequent):
-                    at = np.searchsorted(frequent, s)
-                    at[at == len(frequent)] = 0
-                    order = np.where(frequent[at] == s, rank[at], 0)
-                    s_first = s[np.argsort(order, kind="stable")[:p]] if order.any() else s[:p]
-                else:
-                    s_first = s[:p]
-                prefixes.append(s_first.view(np.int64))
-            else:
-                prefixes.append(np.empty(0, np.int64))
-            sizes.append(n)
-            marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in prefixes]))).astype(np.int32)
-        flat = pa.array(np.concatenate(prefixes) if prefixes else np.empty(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["doc", "n", "mark", "prefix"])
+            if doc is None or not len(s):
+                continue
+            mark = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:4], "little", signed=True)
+            s = s & ~np.uint64(0xFFFF)
+            often = np.zeros(len(s), bool)
+            if len(frequent):
+                at = np.searchsorted(frequent, s)
+                at[at == len(frequent)] = 0
+                often = frequent[at] == s
+            out.append((-1 - doc % buckets, doc, mark, len(s), _pack(s[often])))
+            rest = s[~often]
+            ends = np.searchsorted(rest, cuts).tolist()
+            raw, start = _pack(rest), 0
+            for b, end in enumerate([*ends, len(rest)]):
+                if end > start:
+                    out.append((b, doc, mark, 0, raw[6 * start : 6 * end]))
+                    start = end
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "doc", "mark", "n", "tokens"])
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, n, tokens, counts): of each document in a bucket, the shingles that other sets have too, and in how many sets."""
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        doc, mark, _, blob = zip(*rows, strict=True)
+        tokens = _unpack(b"".join(blob))
+        sizes = np.array([len(b) // 6 for b in blob])
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        order = np.lexsort((np.array(mark, np.int64)[owner], tokens))
+        t, m = tokens[order], np.array(mark, np.int64)[owner][order]
+        new = np.r_[True, t[1:] != t[:-1]] if len(t) else np.empty(0, bool)
+        other = new | np.r_[True, m[1:] != m[:-1]] if len(t) else new
+        group = np.cumsum(new) - 1
+        count = np.bincount(group, weights=other).astype(np.int64)[group] if len(t) else np.empty(0, np.int64)
+        df = np.empty(len(t), np.int64)
+        df[order] = count
+        keep = df > 1
+        kept = np.bincount(owner[keep], minlength=len(rows))
+        ends = np.cumsum(kept)
+        some, raw, counts = np.flatnonzero(kept), _pack(tokens[keep]), np.minimum(df[keep], 2**31 - 1).astype(np.int32).tobytes()
+        lo = (ends - kept)[some].tolist()
+        hi = ends[some].tolist()
+        return pa.RecordBatch.from_arrays([pa.array([doc[i] for i in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([raw[6 * a : 6 * b] for a, b in zip(lo, hi, strict=True)], pa.binary()), pa.array([counts[4 * a : 4 * b] for a, b in zip(lo, hi, strict=True)], pa.binary())], names=["doc", "n", "tokens", "counts"])
+
+    current, rows = None, []
+    for batch in batches:
+        passed = []
+        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if bucket < 0:
+                passed.append(row)
+                continue
+            if bucket != current and rows:
+                yield settle(rows)
+                rows = []
+            current = bucket
+            rows.append(tuple(row))
+        if passed:
+            doc, _, n, blob = zip(*passed, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary()), pa.nulls(len(doc), pa.binary())], names=["doc", "n", "tokens", "counts"])
+    if rows:
+        yield settle(rows)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], percent: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc, n, shingle): those of a document's rarest prefix_length shingles that other sets have too. Its others are
+    its own, come first, and can't be shared."""
+    for doc, rows in runs(batches, "doc"):
+        n = max((r["n"] or 0) for r in rows)
+        parts, counts = [], []
+        for r in rows:
+            t = _unpack(r["tokens"])
+            parts.append(t)
+            counts.append(rank[np.searchsorted(frequent, t)] if r["counts"] is None and len(t) else np.frombuffer(r["counts"] or b"", np.int32).astype(np.int64))
+        t, c = np.concatenate(parts), np.concatenate(counts)
+        left = prefix_length(n, percent) - (n - len(t))
+        if left > 0 and len(t):
+            order = np.lexsort((t, c))
+            last = order[min(left, len(t)) - 1]
+            first = t[(c < c[last]) | ((c == c[last]) & (t <= t[last]))]
+            k = len(first)
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(first.view(np.int64))], names=["doc", "n", "shingle"])
 
 
 def linked(a: int, n: int, m: int, percent: int) -> bool:
@@ -216,11 +306,13 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     """(doc, n_shingles, component_id) per row: documents link when 100 * intersection >= percent * union of their word
     shingle sets; component_id is the smallest id reachable by links, itself included.
 
-    1. Shingles that occur in many documents are counted, only to put them last in the common order.
-    2. Equal sets collapse to one representative (pre-aggregated: a third of all rows may be copies of one text).
-    3. Representatives that share a shingle of their prefixes (n - ceil(t n) + 1 rarest) meet in a block, by connected
-       components. A block above BLOCK_SHINGLES is cut by size class and salt into chunks, and chunks whose sizes can
-       link meet pair by pair, so no task's memory grows with the block.
+    1. One pass gives each set's size and digest; equal sets collapse to one representative (pre-aggregated: a third of
+       all rows may be copies of one text). Shingles that many documents of one task share are noted as frequent.
+    2. The other shingles are dealt by hash, six bytes each, and counted exactly; a document gets back those that other
+       sets have too. Frequent ones needn't be dealt, so no bucket holds one that very many documents share.
+    3. Documents that share one of their rarest n - ceil(t n) + 1 shingles meet in a block, by connected components. A
+       block above BLOCK_SHINGLES is cut by size class and salt into chunks, and chunks whose sizes can link meet pair
+       by pair, so no task's memory grows with the block.
     4. In each block, T-occurrence search: short lists are heap-merged, long ones probed, and sets connected already are
        skipped, so a group of near copies yields a spanning forest, not its pairs.
     5. Components of the links, spread to the copies.
@@ -231,27 +323,40 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     """
     spark = docs.sparkSession
     prepare(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    counted = base.mapInArrow(lambda it: _count(it, width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    sc, n = spark.sparkContext, partitions(spark)
+    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    seen = written(base.mapInArrow(lambda it: _first_pass(it, width), "kind int, key long, n long, mark binary"), "signatures")
+    signed = seen.where(F.col("kind") == DOCUMENT).select(F.col("key").alias("doc"), "n", "mark")
+    # The order of shingles is by their 48 bits from here on.
+    often = seen.where(F.col("kind") == SHINGLE).groupBy(F.shiftleft(F.shiftright("key", 16), 16).alias("shingle")).agg(F.sum("n").alias("n"))
+    top = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
     values = top["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(values)
-    sent = spark.sparkContext.broadcast((values[order], top["n"].to_numpy().astype(np.int64)[order]))
-    signed = written(base.mapInArrow(lambda it: _signatures(it, width, percent, *sent.value), "doc long, n long, mark binary, prefix array<long>"), "signatures")
-
-    some = signed.where("n > 0 and doc is not null")
-    first = written(some.groupBy("mark").agg(F.min(F.struct("doc", "n", "prefix")).alias("r")).select("mark", "r.doc", "r.n", "r.prefix"), "distinct")
-    postings = first.select("doc", F.explode("prefix").alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    stars = postings.join(shared, "shingle").where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    blocks = connected_components(stars).withColumnRenamed("node", "doc").join(first.select("doc", "n"), "doc")
+    ranks = top["n"].to_numpy().astype(np.int64)[order] + 2**31  # after all that are counted
+    sent = sc.broadcast((values[order], ranks))
+    total = signed.agg(F.sum("n")).first()[0] or 0
+    tasks = max(n, -(-total // BUCKET_SHINGLES))
+    buckets = min(4 * tasks, 4096)
+
+    dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value[0]), "bucket int, doc long, mark int, n long, tokens binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(_shared, "doc long, n long, tokens binary, counts binary")
+    prefixes = shared.repartition(n, "doc").sortWithinPartitions("doc").mapInArrow(lambda it: _prefixes(it, percent, *sent.value), "doc long, n long, shingle long")
+    first = signed.where("n > 0 and doc is not null").groupBy("mark").agg(F.min("doc").alias("doc"))
+    postings = written(prefixes.join(first.select("doc"), "doc"), "prefixes")
+
+    hubs = postings.groupBy("shingle").agg(F.min("doc").alias("hub"))
+    stars = postings.join(hubs, "shingle").where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
+    sizes = postings.groupBy("doc").agg(F.max("n").alias("n"))
+    blocks = connected_components(stars).withColumnRenamed("node", "doc").join(sizes, "doc")
     blocks = written(blocks.withColumn("class", F.floor(F.log("n") / (math.log(100 / percent) * 1.0001)).cast("int")), "blocks")
     candidates = blocks.select("doc").distinct()
+    if blocks.count() <= BROADCAST_IDS:
+        candidates = F.broadcast(candidates)
     tokens = base.join(candidates, "doc").mapInArrow(lambda it: _tokens(it, width), "doc long, tokens binary")
-    links = written(tokens.join(_assigned(blocks), "doc").repartition(partitions(spark), "block").sortWithinPartitions("block", "doc").mapInArrow(lambda it: _search(it, percent), "a long, b long"), "links")
+    links = written(tokens.join(_assigned(blocks), "doc").repartition(n, "block").sortWithinPartitions("block", "doc").mapInArrow(lambda it: _search(it, percent), "a long, b long"), "links")
     parts = connected_components(links)
 
-    marked = first.select("mark", "doc").join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("mark").alias("m"), F.coalesce("component", "doc").alias("component"))
+    marked = first.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("mark").alias("m"), F.coalesce("component", "doc").alias("component"))
     out = signed.join(marked, (F.col("mark") == F.col("m")) & (F.col("n") > 0) & F.col("doc").isNotNull(), "left")
     return out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
