@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from bookglass.llm.graph import connected_components
 #: Word hashes remembered by a worker; shingles looked at together when frequent ones are counted; how many of those keep a place in the order.
 CACHE_WORDS, COUNT_SHINGLES, FREQUENT = 1_000_000, 2_000_000, 100_000
 #: Shingles that one counting task holds; documents whose ids may be broadcast to find their texts again.
-BUCKET_SHINGLES, BROADCAST_IDS = 8_000_000, 500_000
+BUCKET_SHINGLES, BROADCAST_IDS = 4_000_000, 500_000
 #: Shingles that one search task holds; larger blocks are cut into chunks of this size that meet pair by pair.
 BLOCK_SHINGLES = 3_000_000
 #: DivideSkip's weight of a probe against a step of the merge.
@@ -105,58 +106,65 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(bucket, doc, mark, n, tokens): each document's shingles, dealt by hash over the buckets; its frequent ones go
-    along with its size in a row of bucket -1 - x, to be passed on."""
-    cuts = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+    """A row per batch of documents and bucket of hashes: how many shingles of each document fall in it, and those, by
+    document. And a row of a negative bucket with the documents, their sizes and how many frequent shingles they have."""
     for ids, texts in _texts(batches):
-        out: list[tuple] = []
-        for doc, text in zip(ids, texts, strict=True):
-            s = shingles(text or b"", width)
-            if doc is None or not len(s):
-                continue
-            mark = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:4], "little", signed=True)
-            s = s & ~np.uint64(0xFFFF)
-            often = np.zeros(len(s), bool)
-            if len(frequent):
-                at = np.searchsorted(frequent, s)
-                at[at == len(frequent)] = 0
-                often = frequent[at] == s
-            out.append((-1 - doc % buckets, doc, mark, len(s), _pack(s[often])))
-            rest = s[~often]
-            ends = np.searchsorted(rest, cuts).tolist()
-            raw, start = _pack(rest), 0
-            for b, end in enumerate([*ends, len(rest)]):
-                if end > start:
-                    out.append((b, doc, mark, 0, raw[6 * start : 6 * end]))
-                    start = end
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "doc", "mark", "n", "tokens"])
+        sets = [(d, shingles(t or b"", width)) for d, t in zip(ids, texts, strict=True) if d is not None]
+        sets = [(d, s) for d, s in sets if len(s)]
+        if not sets:
+            continue
+        docs, sizes = np.array([d for d, _ in sets], np.int64), np.array([len(s) for _, s in sets], np.int64)
+        marks = b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for _, s in sets)
+        batch = xxhash.xxh3_64_intdigest(docs.tobytes()) >> 1
+        t = np.concatenate([s for _, s in sets]) & ~np.uint64(0xFFFF)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        often = np.zeros(len(t), bool)
+        if len(frequent):
+            at = np.searchsorted(frequent, t)
+            at[at == len(frequent)] = 0
+            often = frequent[at] == t
+        many = np.bincount(owner[often], minlength=len(sets)).astype(np.int64)
+        t, owner = t[~often], owner[~often]
+        bucket = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
+        order = np.argsort(bucket, kind="stable")
+        t, key = _pack(t[order]), bucket.astype(np.int64) * len(sets) + owner
+        counts = np.bincount(key, minlength=buckets * len(sets)).reshape(buckets, len(sets)).astype(np.uint32)
+        ends = np.concatenate(([0], np.cumsum(counts.sum(axis=1, dtype=np.int64)))).tolist()
+        some = [b for b in range(buckets) if ends[b + 1] > ends[b]]
+        squeeze = lambda a: zlib.compress(a.tobytes(), 1)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([*some, -1 - batch % buckets], pa.int32()),
+                pa.array([batch] * (len(some) + 1), pa.int64()),
+                pa.array([squeeze(counts[b]) for b in some] + [squeeze(np.stack([docs, sizes, many]))], pa.binary()),
+                pa.array([t[6 * ends[b] : 6 * ends[b + 1]] for b in some] + [b""], pa.binary()),
+                pa.array([marks] * len(some) + [b""], pa.binary()),
+            ],
+            names=["bucket", "batch", "counts", "tokens", "marks"],
+        )
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, n, tokens, counts): of each document in a bucket, the shingles that other sets have too, and in how many sets."""
+    """(batch, about, shared): for each batch in a bucket, how many shingles of each document other sets have too."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        doc, mark, _, blob = zip(*rows, strict=True)
-        tokens = _unpack(b"".join(blob))
-        sizes = np.array([len(b) // 6 for b in blob])
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        order = np.lexsort((np.array(mark, np.int64)[owner], tokens))
-        t, m = tokens[order], np.array(mark, np.int64)[owner][order]
-        new = np.r_[True, t[1:] != t[:-1]] if len(t) else np.empty(0, bool)
-        other = new | np.r_[True, m[1:] != m[:-1]] if len(t) else new
+        counts = [np.frombuffer(zlib.decompress(c), np.uint32) for _, c, _, _ in rows]
+        t = _unpack(b"".join(r[2] for r in rows))
+        mark = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+        owner = np.repeat(np.arange(len(mark), dtype=np.int64), np.concatenate(counts))
+        order = np.argsort(t)
+        same = t[order][1:] == t[order][:-1]
+        twice = order[np.r_[same, False] | np.r_[False, same]]  # shingles that stand here more than once; copies of one set still count as one
+        tt, mm = t[twice], mark[owner[twice]]
+        order = np.lexsort((mm, tt))
+        tt, mm = tt[order], mm[order]
+        new = np.r_[True, tt[1:] != tt[:-1]] if len(tt) else np.empty(0, bool)
+        other = np.r_[False, (tt[1:] == tt[:-1]) & (mm[1:] != mm[:-1])] if len(tt) else new
         group = np.cumsum(new) - 1
-        count = np.bincount(group, weights=other).astype(np.int64)[group] if len(t) else np.empty(0, np.int64)
-        df = np.empty(len(t), np.int64)
-        df[order] = count
-        keep = df > 1
-        kept = np.bincount(owner[keep], minlength=len(rows))
-        ends = np.cumsum(kept)
-        some, raw, counts = np.flatnonzero(kept), _pack(tokens[keep]), np.minimum(df[keep], 2**31 - 1).astype(np.int32).tobytes()
-        lo = (ends - kept)[some].tolist()
-        hi = ends[some].tolist()
-        return pa.RecordBatch.from_arrays([pa.array([doc[i] for i in some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.array([raw[6 * a : 6 * b] for a, b in zip(lo, hi, strict=True)], pa.binary()), pa.array([counts[4 * a : 4 * b] for a, b in zip(lo, hi, strict=True)], pa.binary())], names=["doc", "n", "tokens", "counts"])
+        wide = np.bincount(group, weights=other)[group] > 0 if len(tt) else new
+        shared = np.bincount(owner[twice[order][wide]], minlength=len(mark)).astype(np.uint32)
+        ends = np.cumsum([len(c) for c in counts])[:-1]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(shared, ends)], pa.binary())], names=["batch", "about", "shared"])
 
     current, rows = None, []
     for batch in batches:
@@ -171,30 +179,62 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             current = bucket
             rows.append(tuple(row))
         if passed:
-            doc, _, n, blob = zip(*passed, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(blob, pa.binary()), pa.nulls(len(doc), pa.binary())], names=["doc", "n", "tokens", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in passed], pa.int64()), pa.array([r[1] for r in passed], pa.binary()), pa.nulls(len(passed), pa.binary())], names=["batch", "about", "shared"])
     if rows:
         yield settle(rows)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], percent: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(doc, n, shingle): those of a document's rarest prefix_length shingles that other sets have too. Its others are
-    its own, come first, and can't be shared."""
-    for doc, rows in runs(batches, "doc"):
-        n = max((r["n"] or 0) for r in rows)
-        parts, counts = [], []
-        for r in rows:
-            t = _unpack(r["tokens"])
-            parts.append(t)
-            counts.append(rank[np.searchsorted(frequent, t)] if r["counts"] is None and len(t) else np.frombuffer(r["counts"] or b"", np.int32).astype(np.int64))
-        t, c = np.concatenate(parts), np.concatenate(counts)
-        left = prefix_length(n, percent) - (n - len(t))
-        if left > 0 and len(t):
-            order = np.lexsort((t, c))
-            last = order[min(left, len(t)) - 1]
-            first = t[(c < c[last]) | ((c == c[last]) & (t <= t[last]))]
-            k = len(first)
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * k, pa.int64()), pa.array([n] * k, pa.int64()), pa.array(first.view(np.int64))], names=["doc", "n", "shingle"])
+def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Documents with fewer shingles of their own than prefix_length: all others share none of any prefix, and link with nothing."""
+
+    def settle(about: bytes | None, shared: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if about is not None:
+            doc, n, often = np.frombuffer(about, np.int64).reshape(3, -1)
+            own = n - often - (0 if shared is None else shared)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[own < n - (percent * n + 99) // 100 + 1])], names=["doc"])
+
+    current, about, shared = None, None, None
+    for batch in batches:
+        for key, a, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if key != current:
+                yield from settle(about, shared)
+                current, about, shared = key, None, None
+            if a is not None:
+                about = zlib.decompress(a)
+            else:
+                more = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
+                shared = more if shared is None else shared + more
+    yield from settle(about, shared)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            s = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(s), pa.int64()), pa.array([len(s)] * len(s), pa.int64()), pa.array(s)], names=["doc", "n", "shingle"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """From (doc, n, shingle, c) by document, its shingles that other candidates have too: those among its rarest
+    prefix_length. Its others are its own and come first."""
+
+    def settle(doc: int, n: int, t: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        left = max(0, prefix_length(n, percent) - (n - len(t)))
+        first = t[np.lexsort((t, c))[:left]]
+        return pa.RecordBatch.from_arrays([pa.array([doc] * len(first), pa.int64()), pa.array([n] * len(first), pa.int64()), pa.array(first)], names=["doc", "n", "shingle"])
+
+    current, size, parts = None, 0, []
+    for batch in batches:
+        doc, n, t, c = (batch.column(i).to_numpy() for i in range(4))
+        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]).tolist() if len(doc) else []
+        for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
+            if doc[a] != current and parts:
+                yield settle(current, size, np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+                parts = []
+            current, size = int(doc[a]), int(n[a])
+            parts.append((t[a:b], c[a:b]))
+    if parts:
+        yield settle(current, size, np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
 
 
 def linked(a: int, n: int, m: int, percent: int) -> bool:
@@ -308,9 +348,10 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 
     1. One pass gives each set's size and digest; equal sets collapse to one representative (pre-aggregated: a third of
        all rows may be copies of one text). Shingles that many documents of one task share are noted as frequent.
-    2. The other shingles are dealt by hash, six bytes each, and counted exactly; a document gets back those that other
-       sets have too. Frequent ones needn't be dealt, so no bucket holds one that very many documents share.
-    3. Documents that share one of their rarest n - ceil(t n) + 1 shingles meet in a block, by connected components. A
+    2. The other shingles are dealt by hash, six bytes each, packed by batches of documents, and each document gets back
+       how many of its own other sets have too. Frequent ones needn't be dealt, so no bucket holds one that very many
+       documents share. A document with n - ceil(t n) + 1 shingles that no other set has links with nothing.
+    3. Candidates that share one of their rarest n - ceil(t n) + 1 shingles meet in a block, by connected components. A
        block above BLOCK_SHINGLES is cut by size class and salt into chunks, and chunks whose sizes can link meet pair
        by pair, so no task's memory grows with the block.
     4. In each block, T-occurrence search: short lists are heap-merged, long ones probed, and sets connected already are
@@ -327,32 +368,30 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     base = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     seen = written(base.mapInArrow(lambda it: _first_pass(it, width), "kind int, key long, n long, mark binary"), "signatures")
     signed = seen.where(F.col("kind") == DOCUMENT).select(F.col("key").alias("doc"), "n", "mark")
-    # The order of shingles is by their 48 bits from here on.
     often = seen.where(F.col("kind") == SHINGLE).groupBy(F.shiftleft(F.shiftright("key", 16), 16).alias("shingle")).agg(F.sum("n").alias("n"))
-    top = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    values = top["shingle"].to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(values)
-    ranks = top["n"].to_numpy().astype(np.int64)[order] + 2**31  # after all that are counted
-    sent = sc.broadcast((values[order], ranks))
+    top = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow()
+    sent = sc.broadcast(np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64)))
     total = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(n, -(-total // BUCKET_SHINGLES))
-    buckets = min(4 * tasks, 4096)
+    buckets = min(2 * tasks, 32_000)
 
-    dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value[0]), "bucket int, doc long, mark int, n long, tokens binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(_shared, "doc long, n long, tokens binary, counts binary")
-    prefixes = shared.repartition(n, "doc").sortWithinPartitions("doc").mapInArrow(lambda it: _prefixes(it, percent, *sent.value), "doc long, n long, shingle long")
+    dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value), "bucket int, batch long, counts binary, tokens binary, marks binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(_shared, "batch long, about binary, shared binary")
+    few = shared.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: _candidates(it, percent), "doc long")
     first = signed.where("n > 0 and doc is not null").groupBy("mark").agg(F.min("doc").alias("doc"))
-    postings = written(prefixes.join(first.select("doc"), "doc"), "prefixes")
+    candidates = written(few.distinct().join(first.select("doc"), "doc"), "candidates")
+    if candidates.count() <= BROADCAST_IDS:
+        candidates = F.broadcast(candidates)
+    tokens = written(base.join(candidates, "doc").mapInArrow(lambda it: _tokens(it, width), "doc long, tokens binary"), "tokens")
 
+    every = tokens.mapInArrow(_postings, "doc long, n long, shingle long")
+    counted = every.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    postings = written(every.join(counted, "shingle").select("doc", "n", "shingle", "c").repartition(n, "doc").sortWithinPartitions("doc").mapInArrow(lambda it: _prefixes(it, percent), "doc long, n long, shingle long"), "prefixes")
     hubs = postings.groupBy("shingle").agg(F.min("doc").alias("hub"))
     stars = postings.join(hubs, "shingle").where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     sizes = postings.groupBy("doc").agg(F.max("n").alias("n"))
     blocks = connected_components(stars).withColumnRenamed("node", "doc").join(sizes, "doc")
     blocks = written(blocks.withColumn("class", F.floor(F.log("n") / (math.log(100 / percent) * 1.0001)).cast("int")), "blocks")
-    candidates = blocks.select("doc").distinct()
-    if blocks.count() <= BROADCAST_IDS:
-        candidates = F.broadcast(candidates)
-    tokens = base.join(candidates, "doc").mapInArrow(lambda it: _tokens(it, width), "doc long, tokens binary")
     links = written(tokens.join(_assigned(blocks), "doc").repartition(n, "block").sortWithinPartitions("block", "doc").mapInArrow(lambda it: _search(it, percent), "a long, b long"), "links")
     parts = connected_components(links)
 
