@@ -1,11 +1,358 @@
-"""The registered queries of the library and their SQL."""
+"""The registered queries of the library, and the DuckDB SQL that each must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from bookglass.functions.exprs import AGE, corr_safe, quantile, safe_div, tidy
+from bookglass.operators import evaluation as ev
+from bookglass.operators import features as ft
+from bookglass.operators import models
+from bookglass.plans.sql import ORACLE
+from bookglass.sources.adapters import view
+
+WIDE = ["mkt_quantity", "mkt_price", "ord_discount", "ord_tax", "txn_quantity_copy", "txn_discount_neg", "txn_unit_price", "txn_constant"]
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable) -> Callable:
+    _queries[f.__name__] = lambda spark, sf_dir: tidy(f(lambda name: view(spark, sf_dir, name)))
+    return f
+
+
+def in_months(t) -> DataFrame:
+    return t("scored").where(F.col("month").between(0, 70))
+
+
+@query
+def d_market_features(t):
+    return ft.market_features(t("market"))
+
+
+@query
+def d_order_features(t):
+    return ft.order_features(t("order_flow"))
+
+
+@query
+def d_trade_features(t):
+    return ft.trade_features(t("trade"))
+
+
+@query
+def e_shape_features(t):
+    return ft.shape_features(t("market"))
+
+
+@query
+def b_book_columns(t):
+    return ft.book(t("market")).select("row_id", "sample_id", "is_empty_bid", "is_empty_ask", "mid", "microprice", "total_depth", *[c for c in ft.SNAPSHOT if c not in ("mid", "microprice", "total_depth")])
+
+
+@query
+def c_feature_assembly(t):
+    a = ft.assemble(ft.market_features(t("market")), ft.order_features(t("order_flow")), ft.trade_features(t("trade")))
+    return a.select("sample_id", "mkt_n_snapshots", "ord_n_total", "txn_n_total", "mkt_mid_last", "ord_ofi_60s", "txn_vwap_60s")
+
+
+@query
+def c_column_groups_rejoined(t):
+    m = t("market")
+    a, b, c = m.select("row_id", "sample_id", AGE, "transaction_volume"), m.select("row_id", "ask_price_1", "bid_price_1"), m.select("row_id", "ask_price_2", "bid_price_2")
+    return a.join(b, "row_id").join(c, "row_id").groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("transaction_volume").cast("long").alias("volume"), F.avg(F.col("ask_price_2") - F.col("bid_price_1")).alias("gap"))
+
+
+@query
+def c_alignment_proof(t):
+    m, o = t("market"), t("order_flow")
+    j = m.select("row_id", "sample_id", (F.col(AGE) / 10).alias("a")).join(o.select("row_id", F.col("sample_id").alias("other"), F.col(AGE).alias("b")), "row_id")
+    return j.agg(F.count("*").alias("joined"), F.count_if(F.col("sample_id") != F.col("other")).alias("key_mismatches"), F.count_if(F.abs(F.col("a") - F.col("b")) > 1e-9).alias("clock_mismatches"))
+
+
+@query
+def c_asof_join(t):
+    q = ft.book(t("market").withColumn(AGE, F.col(AGE) / 10))
+    return ft.as_of(t("trade"), q).select("sample_id", "row_id", "price", "side", "prevailing_mid")
+
+
+@query
+def d_aggressor_table(t):
+    j = ft.as_of(t("trade"), ft.book(t("market").withColumn(AGE, F.col(AGE) / 10)))
+    m = F.col("prevailing_mid")
+    return j.where(m.isNotNull()).groupBy("side").agg(F.count("*").alias("n"), F.avg((F.col("price") > m).cast("double")).alias("above"), F.avg((F.col("price") < m).cast("double")).alias("below"), F.avg((F.col("price") - m) / m * 1e4).alias("bps"))
+
+
+@query
+def d_window_coverage(t):
+    parts = [t(n).select(F.lit(n).alias("source"), "sample_id", AGE) for n in ("market", "order_flow", "trade")]
+    one = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source", "sample_id").agg(F.max(AGE).alias("span"), F.count("*").alias("n"))
+    return one.groupBy("source").agg(quantile("span", 0.5).alias("median_span"), F.max("span").alias("max_span"), F.count_if(F.col("span") > 60).alias("beyond_60s"), F.avg("n").alias("rows_per_sample"))
+
+
+@query
+def d_sentinel_census(t):
+    m = t("market")
+    return m.agg(F.count("*").alias("n"), *(F.count_if(F.col(c) == 0).alias(f"zero_{c}") for c in ("ask_price_1", "bid_price_1")), *(F.min(F.when(F.col(c) > 0, F.col(c))).alias(f"least_{c}") for c in ("ask_price_1", "bid_price_1")), F.count_if((F.col("ask_price_1") > 0) & (F.col("bid_price_1") >= F.col("ask_price_1"))).alias("crossed"))
+
+
+@query
+def d_spread_naive_vs_clean(t):
+    m = ft.book(t("market"))
+    naive = safe_div(F.col("ask_price_1") - F.col("bid_price_1"), (F.col("ask_price_1") + F.col("bid_price_1")) / 2)
+    return m.agg(F.avg(naive).alias("naive"), F.avg("rel_spread").alias("clean"))
+
+
+@query
+def d_row_cap_census(t):
+    return t("order_flow").groupBy("sample_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.count_if(F.col("n") >= 70).alias("near_cap"), F.count_if(F.col("n") > 999).alias("above_cap"))
+
+
+@query
+def d_rows_per_sample_histogram(t):
+    return t("order_flow").groupBy("sample_id").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("samples"))
+
+
+@query
+def d_encoding_table(t):
+    return t("order_flow").groupBy("order_action", "side").agg(F.count("*").alias("n"), F.avg("price").alias("price"), F.avg("volume").alias("volume"))
+
+
+@query
+def d_target_by_month(t):
+    return in_months(t).groupBy("month").agg(F.count("*").alias("n"), F.avg("y").alias("mean"), F.stddev("y").alias("std"))
+
+
+@query
+def d_target_summary(t):
+    return in_months(t).agg(F.min("y").alias("least"), quantile("y", 0.25).alias("q1"), quantile("y", 0.5).alias("q2"), quantile("y", 0.75).alias("q3"), F.max("y").alias("most"), F.avg((F.col("y") == 0).cast("double")).alias("zero_share"))
+
+
+@query
+def d_histogram(t):
+    s = in_months(t).select("regime")
+    e = s.agg(F.min("regime").alias("lo"), F.max("regime").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / 20
+    return s.crossJoin(F.broadcast(e)).withColumn("bin", F.least(F.lit(19), F.floor((F.col("regime") - F.col("lo")) / width)).cast("long")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query
+def e_forward_fill(t):
+    w = Window.partitionBy("sample_id").orderBy(F.col(AGE).desc(), "row_id")
+    b = ft.book(t("market"))
+    back = F.last("mid", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("mid", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return b.select("row_id", F.coalesce(back, ahead, F.lit(1.0)).alias("filled"))
+
+
+@query
+def e_sequence_steps(t):
+    return ev.sequence_steps(ft.book(t("market")), 60)
+
+
+@query
+def e_block_autocorrelation(t):
+    s = in_months(t).withColumn("rn", F.row_number().over(Window.partitionBy("month").orderBy("sample_id")) - 1)
+    blocks = s.groupBy("month", F.floor(F.col("rn") / 10).alias("block")).agg(F.avg(F.log("regime")).alias("x"))
+    lagged = blocks.withColumn("before", F.lag("x").over(Window.partitionBy("month").orderBy("block")))
+    return lagged.groupBy("month").agg(F.count("*").alias("blocks"), F.when(F.count("*") >= 3, corr_safe(F.col("x"), F.col("before"))).alias("r"))
+
+
+@query
+def f_fold_rows(t):
+    return ev.fold_rows(in_months(t)).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"))
+
+
+@query
+def f_fold_leakage(t):
+    return ev.fold_faults(in_months(t))
+
+
+@query
+def f_hashed_split(t):
+    return in_months(t).select("sample_id", (F.pmod(F.crc32(F.col("sample_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"))
+
+
+@query
+def g_metrics_per_month(t):
+    return ev.metrics(in_months(t), ["month"])
+
+
+@query
+def g_fold_scores(t):
+    return ev.metrics(ev.fold_rows(in_months(t)).where("role = 'val'"), ["fold"])
+
+
+@query
+def g_model_comparison(t):
+    v = ev.fold_rows(in_months(t)).where("role = 'val'")
+    s = [ev.metrics(v, ["fold"], p=p).select("fold", "cosine", F.lit(p).alias("model")) for p in ("p1", "p2")]
+    return ev.stability(s[0].unionByName(s[1]), by=["model"])
+
+
+@query
+def g_input_faults(t):
+    return ev.input_faults(in_months(t))
+
+
+@query
+def g_cosine_decomposition(t):
+    return ev.decomposition(in_months(t), "grp")
+
+
+@query
+def g_quartile_cosine(t):
+    return ev.decomposition(ev.quartiles(in_months(t), "regime"), "quartile")
+
+
+@query
+def g_period_difficulty(t):
+    b = in_months(t).withColumn("block", F.floor((F.col("month") - 36) / 3)).where("month >= 36").groupBy("block").agg(ev.cosine(F.col("y"), F.col("p1")).alias("cosine"))
+    h = in_months(t).where("month >= 65").agg(ev.cosine(F.col("y"), F.col("p1")).alias("holdout"))
+    return b.crossJoin(F.broadcast(h)).agg(quantile("cosine", 0.5).alias("median"), F.max("holdout").alias("holdout"), F.avg((F.col("cosine") < F.col("holdout")).cast("double")).alias("percentile"))
+
+
+@query
+def g_trend_slope(t):
+    m = in_months(t).groupBy("month").agg(F.avg("y").alias("v"))
+    return m.agg(F.regr_slope("v", "month").alias("slope"), F.regr_intercept("v", "month").alias("start"), F.count("*").alias("n"))
+
+
+@query
+def g_paired_verdict(t):
+    m = in_months(t).groupBy("month").agg(ev.cosine(F.col("y"), F.col("p1")).alias("a"), ev.cosine(F.col("y"), F.col("p2")).alias("b"))
+    g = F.col("a") - F.col("b")
+    return m.agg(F.avg(g).alias("gain"), (F.stddev(g) / F.sqrt(F.count("*"))).alias("se"), F.count_if(g > 0).alias("improved"), F.count("*").alias("n"))
+
+
+@query
+def g_drift(t):
+    return ev.drift(t("wide"), WIDE)
+
+
+@query
+def g_drift_summary(t):
+    return ev.drift_summary(ev.drift(t("wide"), WIDE))
+
+
+@query
+def g_drift_by_family(t):
+    d = ev.drift(t("wide"), WIDE).withColumn("family", F.substring_index("feature", "_", 1))
+    return d.groupBy("family").agg(F.count("*").alias("n"), F.max("shift").alias("most"), F.avg("shift").alias("mean"))
+
+
+@query
+def g_correlation_pairs(t):
+    return ev.correlation_pairs(t("wide"), WIDE)
+
+
+@query
+def g_duplicate_groups(t):
+    return ev.duplicate_groups(ev.correlation_pairs(t("wide"), WIDE), WIDE)
+
+
+@query
+def g_block_bootstrap(t):
+    return ev.block_bootstrap(in_months(t))
+
+
+@query
+def g_adversarial_auc(t):
+    s = t("wide").select("split", F.col("mkt_price").alias("score"))
+    values = s.groupBy("score").agg(F.count_if(F.col("split") == "test").alias("pos"), F.count_if(F.col("split") == "train").alias("neg"))
+    # Counts per value in ranges of the score, chained by range totals.
+    cuts = values.agg(F.percentile_approx("score", [i / 32 for i in range(1, 32)]).alias("q")).first()["q"] or []
+    v = values.withColumn("range", F.size(F.filter(F.lit(sorted(set(cuts))), lambda x: x < F.col("score"))) if cuts else F.lit(0))
+    own = v.withColumn("below", F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = v.groupBy("range").agg(F.sum("neg").alias("n"))
+    before = sums.select("range", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("range")) - F.col("n")).alias("before"))
+    j = own.join(F.broadcast(before), "range")
+    return j.agg((F.sum(F.col("pos") * (F.col("below") + F.col("before") + F.col("neg") / 2)) / F.sum("pos") / F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"))
+
+
+@query
+def h_ranked_signals(t):
+    return ev.ranked_signals(in_months(t)).select("sample_id", F.col("rank").cast("long").alias("rank"), "signal")
+
+
+@query
+def h_backtest_costs(t):
+    return ev.backtest(in_months(t))
+
+
+@query
+def i_median_impute(t):
+    return models.median_impute(t("wide"), ["txn_unit_price"], F.col("split") == "train").groupBy("split").agg(F.avg("txn_unit_price").alias("mean"), F.count("txn_unit_price").alias("n"))
+
+
+@query
+def i_standardise(t):
+    s = models.standardise(t("wide"), ["mkt_price", "txn_constant"], F.col("split") == "train")
+    return s.groupBy("split").agg(F.avg("mkt_price").alias("mean"), F.stddev_pop("mkt_price").alias("std"), F.max("txn_constant").alias("constant"))
+
+
+@query
+def i_blend_weights(t):
+    return models.blend_weights(in_months(t), ["p1", "p2"])
+
+
+@query
+def i_ridge(t):
+    s = in_months(t)
+    out = models.ridge(s.where("month < 60"), s.where("month >= 62"), ["p1", "p2"])
+    return ev.metrics(out, ["month"], p="prediction")
+
+
+@query
+def i_boosted(t):
+    s = in_months(t)
+    out = models.boosted(s.where("month < 60"), s.where("month >= 62"), ["p1", "p2"], rounds=5)
+    return ev.metrics(out, ["month"], p="prediction")
+
+
+@query
+def i_regimes(t):
+    m = ft.book(t("market")).groupBy("sample_id").agg(F.log(F.avg("total_depth")).alias("depth"), F.coalesce(F.avg("spread"), F.lit(0.0)).alias("spread"))
+    return models.regimes(m, ["depth", "spread"]).groupBy("regime").agg(F.count("*").alias("n"), F.avg("depth").alias("depth"), F.avg("spread").alias("spread"))
+
+
+@query
+def j_contract_faults(t):
+    c = F.col
+    return ev.contract_faults(t("order_flow"), {"side": c("side").isin(0, 1), "order_action": c("order_action").isin(0, 1), "price": c("price").between(0, 2), "volume": c("volume") >= 500, AGE: c(AGE).between(0, 60.001)})
+
+
+@query
+def j_staging_summary(t):
+    return ev.table_summary(t("market"))
+
+
+@query
+def j_clock_order(t):
+    w = Window.partitionBy("sample_id").orderBy("row_id")
+    return t("trade").withColumn("before", F.lag(AGE).over(w)).groupBy("sample_id").agg(F.count_if(F.col(AGE) > F.col("before") + 1e-6).alias("rising"))
+
+
+@query
+def k_month_quota(t):
+    return ev.month_sample(in_months(t), 5).select("month", "sample_id", "y")
+
+
+@query
+def k_top_features(t):
+    return ev.drift(t("wide"), WIDE).orderBy(F.desc_nulls_last("shift"), "feature").limit(3).select("feature", "shift")
+
+
+@query
+def k_missing_keys(t):
+    return t("market").select("sample_id").distinct().join(t("trade").select("sample_id").distinct(), "sample_id", "left_anti")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLE.items() if k in _queries}
