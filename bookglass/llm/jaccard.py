@@ -95,16 +95,42 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, six bytes each."""
-    return a.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+    """The lower 40 bits of each hash, five bytes each; its bucket tells the upper ones apart."""
+    return a.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(b) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
     return out.view(np.uint64).ravel()
 
 
+def _squeeze(a: np.ndarray) -> bytes:
+    return zlib.compress(a.tobytes(), 1)
+
+
+def _find(frequent: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are frequent, and where in the sorted list."""
+    if not len(frequent):
+        return np.zeros(len(t), bool), np.zeros(len(t), np.int64)
+    t = t & ~np.uint64(0xFFFF)
+    at = np.searchsorted(frequent, t)
+    at[at == len(frequent)] = 0
+    return frequent[at] == t, at
+
+
+def _by_bucket(t: np.ndarray, owner: np.ndarray, n: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, how many hashes of each of the n owners fall in it, those hashes by owner). owner must be sorted."""
+    bucket = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    packed, key = _pack(t[order]), bucket.astype(np.int64) * n + owner
+    counts = np.bincount(key, minlength=buckets * n).reshape(buckets, n).astype(np.uint32)
+    ends = np.concatenate(([0], np.cumsum(counts.sum(axis=1, dtype=np.int64)))).tolist()
+    for b in range(buckets):
+        if ends[b + 1] > ends[b]:
+            yield b, _squeeze(counts[b]), packed[5 * ends[b] : 5 * ends[b + 1]]
+
+
 def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row per batch of documents and bucket of hashes: how many shingles of each document fall in it, and those, by
     document. And a row of a negative bucket with the documents, their sizes and how many frequent shingles they have."""
@@ -115,30 +141,19 @@ def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent:
             continue
         docs, sizes = np.array([d for d, _ in sets], np.int64), np.array([len(s) for _, s in sets], np.int64)
         marks = b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for _, s in sets)
-        batch = xxhash.xxh3_64_intdigest(docs.tobytes()) >> 1
-        t = np.concatenate([s for _, s in sets]) & ~np.uint64(0xFFFF)
+        batch = xxhash.xxh3_64_intdigest(docs.tobytes() + marks) >> 1
+        t = np.concatenate([s for _, s in sets])
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
-        often = np.zeros(len(t), bool)
-        if len(frequent):
-            at = np.searchsorted(frequent, t)
-            at[at == len(frequent)] = 0
-            often = frequent[at] == t
+        often, _ = _find(frequent, t)
         many = np.bincount(owner[often], minlength=len(sets)).astype(np.int64)
-        t, owner = t[~often], owner[~often]
-        bucket = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
-        order = np.argsort(bucket, kind="stable")
-        t, key = _pack(t[order]), bucket.astype(np.int64) * len(sets) + owner
-        counts = np.bincount(key, minlength=buckets * len(sets)).reshape(buckets, len(sets)).astype(np.uint32)
-        ends = np.concatenate(([0], np.cumsum(counts.sum(axis=1, dtype=np.int64)))).tolist()
-        some = [b for b in range(buckets) if ends[b + 1] > ends[b]]
-        squeeze = lambda a: zlib.compress(a.tobytes(), 1)
+        rows = [*_by_bucket(t[~often], owner[~often], len(sets), buckets), (-1 - batch % buckets, _squeeze(np.stack([docs, sizes, many])), b"")]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([*some, -1 - batch % buckets], pa.int32()),
-                pa.array([batch] * (len(some) + 1), pa.int64()),
-                pa.array([squeeze(counts[b]) for b in some] + [squeeze(np.stack([docs, sizes, many]))], pa.binary()),
-                pa.array([t[6 * ends[b] : 6 * ends[b + 1]] for b in some] + [b""], pa.binary()),
-                pa.array([marks] * len(some) + [b""], pa.binary()),
+                pa.array([r[0] for r in rows], pa.int32()),
+                pa.array([batch] * len(rows), pa.int64()),
+                pa.array([r[1] for r in rows], pa.binary()),
+                pa.array([r[2] for r in rows], pa.binary()),
+                pa.array([marks] * (len(rows) - 1) + [b""], pa.binary()),
             ],
             names=["bucket", "batch", "counts", "tokens", "marks"],
         )
@@ -207,34 +222,96 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     yield from settle(about, shared)
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], buckets: int, frequent: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """As _deal, for sets of candidates: a row per batch and bucket, and one of a negative bucket with the candidates,
+    their sizes and, in place of the hashes, their frequent shingles as (candidate, rank)."""
     for batch in batches:
-        for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            s = np.frombuffer(raw, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([doc] * len(s), pa.int64()), pa.array([len(s)] * len(s), pa.int64()), pa.array(s)], names=["doc", "n", "shingle"])
+        docs = batch.column(0).to_numpy().astype(np.int64)
+        if not len(docs):
+            continue
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        sizes = np.array([len(x) for x in sets], np.int64)
+        t, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+        key = xxhash.xxh3_64_intdigest(docs.tobytes() + t.tobytes()) >> 1
+        often, at = _find(frequent, t)
+        about = (-1 - key % buckets, _squeeze(np.stack([docs, sizes])), _squeeze(np.stack([owner[often], rank[at[often]]])) if often.any() else b"")
+        rows = [*_by_bucket(t[~often], owner[~often], len(sets), buckets), about]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([key] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "batch", "counts", "tokens"])
+
+
+def _times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of _postings by bucket, less the hashes that stand in one set alone, with how many sets have each."""
+    names = ["bucket", "batch", "counts", "tokens", "times"]
+
+    def settle(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        counts = [np.frombuffer(zlib.decompress(c), np.uint32) for _, c, _ in rows]
+        t = _unpack(b"".join(r[2] for r in rows))
+        owner = np.repeat(np.arange(sum(len(c) for c in counts), dtype=np.int64), np.concatenate(counts))
+        _, at, n = np.unique(t, return_inverse=True, return_counts=True)
+        n = n[at]
+        some = n > 1
+        left = np.bincount(owner[some], minlength=sum(len(c) for c in counts)).astype(np.uint32)
+        per_row = np.split(left, np.cumsum([len(c) for c in counts])[:-1])
+        ends = np.cumsum([0, *(int(c.sum()) for c in per_row)]).tolist()
+        t, n = t[some], n[some].astype(np.uint32)
+        pieces = list(zip(ends, ends[1:]))
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([_squeeze(c) for c in per_row], pa.binary()), pa.array([_pack(t[a:b]) for a, b in pieces], pa.binary()), pa.array([_squeeze(n[a:b]) for a, b in pieces], pa.binary())], names=names)
+
+    current, rows = None, []
+    for batch in batches:
+        passed = []
+        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if bucket < 0:
+                passed.append((bucket, *row))
+                continue
+            if bucket != current and rows:
+                yield settle(current, rows)
+                rows = []
+            current = bucket
+            rows.append(tuple(row))
+        if passed:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in passed], pa.int32()), pa.array([r[1] for r in passed], pa.int64()), pa.array([r[2] for r in passed], pa.binary()), pa.array([r[3] for r in passed], pa.binary()), pa.nulls(len(passed), pa.binary())], names=names)
+    if rows:
+        yield settle(current, rows)
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From (doc, n, shingle, c) by document, its shingles that other candidates have too: those among its rarest
-    prefix_length. Its others are its own and come first."""
-
-    def settle(doc: int, n: int, t: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        left = max(0, prefix_length(n, percent) - (n - len(t)))
-        first = t[np.lexsort((t, c))[:left]]
-        return pa.RecordBatch.from_arrays([pa.array([doc] * len(first), pa.int64()), pa.array([n] * len(first), pa.int64()), pa.array(first)], names=["doc", "n", "shingle"])
+    """From the rows of _times by batch, (doc, n, shingle): of a candidate's shingles that others may have, those among
+    its first prefix_length. Its own come first, then by the number of sets, and frequent ones last, by rank: an order
+    that all sets have in common."""
 
-    current, size, parts = None, 0, []
+    def settle(rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        about = next((r for b, r in rows.items() if b < 0), None)
+        if about is None:
+            return
+        docs, sizes = np.frombuffer(zlib.decompress(about[0]), np.int64).reshape(2, -1)
+        owners, keys, times = [], [], []
+        if about[1]:
+            owner, rank = np.frombuffer(zlib.decompress(about[1]), np.int32).reshape(2, -1)
+            owners, keys, times = [owner], [rank.astype(np.int64) | (1 << 62)], [np.full(len(rank), 1 << 40, np.int64)]
+        for bucket, (counts, tokens, n) in rows.items():
+            if bucket >= 0 and tokens:
+                owners.append(np.repeat(np.arange(len(docs), dtype=np.int32), np.frombuffer(zlib.decompress(counts), np.uint32)))
+                keys.append(_unpack(tokens).view(np.int64) | (bucket << 40))
+                times.append(np.frombuffer(zlib.decompress(n), np.uint32).astype(np.int64))
+        if not owners:
+            return
+        owner, key, time = np.concatenate(owners), np.concatenate(keys), np.concatenate(times)
+        order = np.lexsort((key, time, owner))
+        owner, key = owner[order], key[order]
+        k = np.bincount(owner, minlength=len(docs))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
+        kept = place < (prefix_length(sizes, percent) - (sizes - k))[owner]
+        yield pa.RecordBatch.from_arrays([pa.array(docs[owner[kept]]), pa.array(sizes[owner[kept]]), pa.array(key[kept])], names=["doc", "n", "shingle"])
+
+    current, rows = None, {}
     for batch in batches:
-        doc, n, t, c = (batch.column(i).to_numpy() for i in range(4))
-        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]).tolist() if len(doc) else []
-        for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
-            if doc[a] != current and parts:
-                yield settle(current, size, np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-                parts = []
-            current, size = int(doc[a]), int(n[a])
-            parts.append((t[a:b], c[a:b]))
-    if parts:
-        yield settle(current, size, np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
+        for bucket, key, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if key != current:
+                yield from settle(rows)
+                current, rows = key, {}
+            rows[bucket] = tuple(row)  # equal batches have equal rows
+    yield from settle(rows)
 
 
 def linked(a: int, n: int, m: int, percent: int) -> bool:
@@ -348,10 +425,10 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
 
     1. One pass gives each set's size and digest; equal sets collapse to one representative (pre-aggregated: a third of
        all rows may be copies of one text). Shingles that many documents of one task share are noted as frequent.
-    2. The other shingles are dealt by hash, six bytes each, packed by batches of documents, and each document gets back
+    2. The other shingles are dealt by hash, five bytes each, packed by batches of documents, and each document gets back
        how many of its own other sets have too. Frequent ones needn't be dealt, so no bucket holds one that very many
        documents share. A document with n - ceil(t n) + 1 shingles that no other set has links with nothing.
-    3. Candidates that share one of their rarest n - ceil(t n) + 1 shingles meet in a block, by connected components. A
+    3. Shingles of candidates are dealt and counted in the same way. Candidates that share one of their rarest n - ceil(t n) + 1 shingles meet in a block, by connected components. A
        block above BLOCK_SHINGLES is cut by size class and salt into chunks, and chunks whose sizes can link meet pair
        by pair, so no task's memory grows with the block.
     4. In each block, T-occurrence search: short lists are heap-merged, long ones probed, and sets connected already are
@@ -369,13 +446,13 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     seen = written(base.mapInArrow(lambda it: _first_pass(it, width), "kind int, key long, n long, mark binary"), "signatures")
     signed = seen.where(F.col("kind") == DOCUMENT).select(F.col("key").alias("doc"), "n", "mark")
     often = seen.where(F.col("kind") == SHINGLE).groupBy(F.shiftleft(F.shiftright("key", 16), 16).alias("shingle")).agg(F.sum("n").alias("n"))
-    top = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow()
-    sent = sc.broadcast(np.sort(top["shingle"].to_numpy().astype(np.int64).view(np.uint64)))
+    top = often.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow()["shingle"].to_numpy().astype(np.int64).view(np.uint64)
+    sent = sc.broadcast((np.sort(top), (len(top) - np.argsort(top)).astype(np.int32)))
     total = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(n, -(-total // BUCKET_SHINGLES))
     buckets = min(2 * tasks, 32_000)
 
-    dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value), "bucket int, batch long, counts binary, tokens binary, marks binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value[0]), "bucket int, batch long, counts binary, tokens binary, marks binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(_shared, "batch long, about binary, shared binary")
     few = shared.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: _candidates(it, percent), "doc long")
     first = signed.where("n > 0 and doc is not null").groupBy("mark").agg(F.min("doc").alias("doc"))
@@ -384,9 +461,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
         candidates = F.broadcast(candidates)
     tokens = written(base.join(candidates, "doc").mapInArrow(lambda it: _tokens(it, width), "doc long, tokens binary"), "tokens")
 
-    every = tokens.mapInArrow(_postings, "doc long, n long, shingle long")
-    counted = every.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
-    postings = written(every.join(counted, "shingle").select("doc", "n", "shingle", "c").repartition(n, "doc").sortWithinPartitions("doc").mapInArrow(lambda it: _prefixes(it, percent), "doc long, n long, shingle long"), "prefixes")
+    total = tokens.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    tasks = max(n, -(-total // (8 * BUCKET_SHINGLES)))
+    lists = min(2 * tasks, 32_000)
+    every = tokens.mapInArrow(lambda it: _postings(it, lists, *sent.value), "bucket int, batch long, counts binary, tokens binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    timed = every.mapInArrow(_times, "bucket int, batch long, counts binary, tokens binary, times binary")
+    postings = written(timed.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: _prefixes(it, percent), "doc long, n long, shingle long"), "prefixes")
     hubs = postings.groupBy("shingle").agg(F.min("doc").alias("hub"))
     stars = postings.join(hubs, "shingle").where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
     sizes = postings.groupBy("doc").agg(F.max("n").alias("n"))
