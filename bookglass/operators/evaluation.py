@@ -167,3 +167,24 @@ def block_bootstrap(df: DataFrame, y: str = "y", p: str = "p1", draws: int = 200
     picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(n).select("draw", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("place")).select("draw", F.pmod(F.xxhash64("draw", "place"), F.col("n")).cast("int").alias("slot"))
     d = picks.join(F.broadcast(m), "slot").groupBy("draw").agg((F.sum("yp") / F.sqrt(F.sum("yy") * F.sum("pp"))).alias("cosine"))
     return d.agg(F.count("*").alias("draws"), F.avg("cosine").alias("mean"), quantile("cosine", 0.025).alias("low"), quantile("cosine", 0.975).alias("high"))
+
+
+def window_rows(df: DataFrame, starts: tuple[int, ...] = (36, 48, 60), width: int = 12) -> DataFrame:
+    """(kind, val_start, row): training rows before each validation month, one month apart: all of them, and the last ``width`` months."""
+    t = df.sparkSession.createDataFrame([("cumulative", v, 0, v - 2) for v in starts] + [("fixed", v, v - 1 - width, v - 2) for v in starts], "kind string, val_start int, lo int, hi int")
+    return df.join(F.broadcast(t), F.col("month").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+
+
+def fraction_sweep(df: DataFrame, cost_bps: float = 1.0, y: str = "y", p: str = "p1") -> DataFrame:
+    """Trades, total and mean for each of FRACTIONS of all rows by |p|. Rows are ranked once; each adds to the fractions it is in."""
+    n = df.count()
+    inside = F.filter(F.array(*map(F.lit, FRACTIONS)), lambda f: F.col("rank") <= F.ceil(f * F.lit(n)))
+    t = ranked_signals(df, p).select((F.col("signal") * F.col(y) - cost_bps * 1e-4).alias("pnl"), F.explode(inside).alias("fraction"))
+    return t.groupBy("fraction").agg(F.count("*").alias("trades"), F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"))
+
+
+def month_fraction(df: DataFrame, fraction: float) -> DataFrame:
+    """A fraction of each month's rows, rounded, in an order spread by the id."""
+    w = Window.partitionBy("month")
+    spread = F.pmod(F.col("sample_id") * 7919, F.lit(10007))
+    return df.withColumns({"__n": F.row_number().over(w.orderBy(spread, "sample_id")), "__of": F.count("*").over(w)}).where(F.col("__n") <= F.round(F.col("__of") * fraction)).drop("__n", "__of")

@@ -350,6 +350,37 @@ def k_missing_keys(t):
     return t("market").select("sample_id").distinct().join(t("trade").select("sample_id").distinct(), "sample_id", "left_anti")
 
 
+@query
+def b_prediction_reshaping(t):
+    m = Window.partitionBy("month")
+    ties = F.count("*").over(Window.partitionBy("month", "p1"))
+    return in_months(t).select("sample_id", (F.col("p1") - F.avg("p1").over(m)).alias("centred"), (F.signum("p1") * F.sqrt(F.abs("p1"))).alias("power"), (F.rank().over(m.orderBy("p1")) + (ties - 1) / 2).alias("place"))
+
+
+@query
+def b_row_weights(t):
+    w = in_months(t).select("sample_id", F.sqrt(F.abs("y")).alias("w"))
+    low = w.where("w > 0").agg(quantile("w", 0.01).alias("low"))
+    g = w.crossJoin(F.broadcast(low)).select("sample_id", F.greatest("w", "low").alias("w"))
+    mean = g.agg(F.avg("w").alias("mean"))
+    return g.crossJoin(F.broadcast(mean)).select("sample_id", (F.col("w") / F.col("mean")).alias("weight"))
+
+
+@query
+def f_training_windows(t):
+    return ev.window_rows(in_months(t)).groupBy("kind", "val_start").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"), F.avg("y").alias("mean"))
+
+
+@query
+def h_fraction_sweep(t):
+    return ev.fraction_sweep(in_months(t))
+
+
+@query
+def k_month_fraction(t):
+    return ev.month_fraction(in_months(t), 0.1).groupBy("month").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 
