@@ -156,3 +156,29 @@ def as_of(trades: DataFrame, quotes: DataFrame, value: str = "mid") -> DataFrame
     both = quotes.select("sample_id", AGE, "row_id", F.lit(0).alias("kind"), F.col(value), F.lit(None).cast("double").alias("price"), F.lit(None).cast("int").alias("side")).unionByName(trades.select("sample_id", AGE, "row_id", F.lit(1).alias("kind"), F.lit(None).cast("double").alias(value), F.col("price"), F.col("side").cast("int")))
     w = Window.partitionBy("sample_id").orderBy(F.col(AGE).desc(), "kind", "row_id").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(f"prevailing_{value}", F.last(value, ignorenulls=True).over(w)).where("kind = 1").drop("kind", value)
+
+
+def filled_mid(quotes: DataFrame) -> DataFrame:
+    """quotes with ``filled``: the sample's last mid so far, else its next one, else 1."""
+    w = Window.partitionBy("sample_id").orderBy(F.col(AGE).desc(), "row_id")
+    back = F.last("mid", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("mid", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return quotes.withColumn("filled", F.coalesce(back, ahead, F.lit(1.0)))
+
+
+def snapshot_channels(raw: DataFrame) -> DataFrame:
+    """(row_id, sample_id, 15 channels) of each snapshot, in basis points of the filled mid, logs of volumes, and the age.
+    Empty levels and snapshots without a trade give 0; all windows share one partitioning."""
+    c, m = F.col, F.col("filled")
+    bps = lambda x: F.coalesce(x / m * 1e4, F.lit(0.0))
+    log = lambda n: F.log1p(F.greatest(F.col(n).cast("double"), F.lit(0.0)))
+    whole = Window.partitionBy("sample_id").orderBy(c(AGE).desc(), "row_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    channels = {
+        "return_bps": (m / F.last("filled").over(whole) - 1) * 1e4,
+        "spread_bps": bps(c("spread")), "micro_bps": F.when(c("spread").isNotNull(), bps(c("microprice") - m)).otherwise(0.0),
+        "ask_gap_bps": bps(c("ask_slope")), "bid_gap_bps": bps(c("bid_slope")),
+        "trade_bps": F.when(c("transaction_count") > 0, bps(c("transaction_avgprice") - m)).otherwise(0.0),
+        "imb1": F.coalesce(imbalance(c("bv1"), c("av1")), F.lit(0.0)), "imb12": F.coalesce(imbalance(c("bv1") + c("bv2"), c("av1") + c("av2")), F.lit(0.0)),
+        "age": c(AGE) / 600.0,
+    } | {f"log_{n}": log(n) for n in ("bv1", "av1", "bv2", "av2", "transaction_volume", "transaction_count")}
+    return filled_mid(book(raw)).select("row_id", "sample_id", *(v.cast("double").alias(k) for k, v in channels.items()))
