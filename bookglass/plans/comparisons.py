@@ -12,6 +12,7 @@ from bookglass.operators import comparison as cp
 from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
 from bookglass.plans.sql import BOOK, CLOCK, DRIFT, S, WIDE, cols, corr, cos, r
+from bookglass.sources import sinks
 from bookglass.sources.adapters import sql_views
 
 QUERIES: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {}
@@ -187,3 +188,22 @@ def i_channel_scaling(t):
 @query(f"{S} SELECT sample_id, {r('y')} AS y FROM s ORDER BY (sample_id * 7919) % 10007, sample_id LIMIT 100")
 def k_spread_sample(t):
     return scored(t).orderBy(F.pmod(F.col("sample_id") * 7919, F.lit(10007)), "sample_id").limit(100).select("sample_id", "y")
+
+
+@query(f"{sql_views('market')}, k AS (SELECT row_id, count(*) AS n FROM market GROUP BY row_id) SELECT coalesce(sum(n) FILTER (WHERE row_id IS NULL), 0)::BIGINT AS nulls, count(*) FILTER (WHERE row_id IS NOT NULL AND n > 1) AS repeated, (max(row_id) - min(row_id) + 1 - count(row_id))::BIGINT AS missing FROM k")
+def a_key_faults(t):
+    return sinks.key_faults(t("market"), "row_id")
+
+
+@query(f"{S} SELECT month, count(*) AS n_rows, sum(('0x' || substr(md5(concat_ws('|', sample_id, month)), 1, 8))::BIGINT)::BIGINT AS fingerprint FROM s GROUP BY month")
+def a_table_round_trip(t):
+    """What a partitioned table holds after it was written to the shared folder and read again."""
+    s = scored(t).select("month", "sample_id")
+    path = sinks.scratch(s.sparkSession, "table")
+    sinks.write_table(s, path)
+    return sinks.manifest(s.sparkSession.read.parquet(path), ["sample_id", "month"], ["month"])
+
+
+@query(f"{sql_views('wide')} SELECT " + r("(" + " + ".join(f"avg(({c} IS NULL)::INT)" for c in WIDE) + f") / {len(WIDE)}") + " AS null_share FROM wide")
+def g_null_share(t):
+    return sinks.all_null_share(t("wide"), WIDE)
