@@ -94,14 +94,14 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
     yield frequent()
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """The lower 40 bits of each hash, five bytes each; its bucket tells the upper ones apart."""
-    return a.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _pack(a: np.ndarray, size: int = 5) -> bytes:
+    """The lower ``size`` bytes of each hash; its bucket tells the upper ones apart."""
+    return a.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
 
 
-def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+def _unpack(b: bytes, size: int = 5) -> np.ndarray:
+    out = np.zeros((len(b) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(b, np.uint8).reshape(-1, size)
     return out.view(np.uint64).ravel()
 
 
@@ -119,19 +119,19 @@ def _find(frequent: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return frequent[at] == t, at
 
 
-def _by_bucket(t: np.ndarray, owner: np.ndarray, n: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+def _by_bucket(t: np.ndarray, owner: np.ndarray, n: int, buckets: int, size: int = 5) -> Iterator[tuple[int, bytes, bytes]]:
     """(bucket, how many hashes of each of the n owners fall in it, those hashes by owner). owner must be sorted."""
     bucket = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
     order = np.argsort(bucket, kind="stable")
-    packed, key = _pack(t[order]), bucket.astype(np.int64) * n + owner
+    packed, key = _pack(t[order], size), bucket.astype(np.int64) * n + owner
     counts = np.bincount(key, minlength=buckets * n).reshape(buckets, n).astype(np.uint32)
     ends = np.concatenate(([0], np.cumsum(counts.sum(axis=1, dtype=np.int64)))).tolist()
     for b in range(buckets):
         if ends[b + 1] > ends[b]:
-            yield b, _squeeze(counts[b]), packed[5 * ends[b] : 5 * ends[b + 1]]
+            yield b, _squeeze(counts[b]), packed[size * ends[b] : size * ends[b + 1]]
 
 
-def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """A row per batch of documents and bucket of hashes: how many shingles of each document fall in it, and those, by
     document. And a row of a negative bucket with the documents, their sizes and how many frequent shingles they have."""
     for ids, texts in _texts(batches):
@@ -146,7 +146,7 @@ def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent:
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         often, _ = _find(frequent, t)
         many = np.bincount(owner[often], minlength=len(sets)).astype(np.int64)
-        rows = [*_by_bucket(t[~often], owner[~often], len(sets), buckets), (-1 - batch % buckets, _squeeze(np.stack([docs, sizes, many])), b"")]
+        rows = [*_by_bucket(t[~often], owner[~often], len(sets), buckets, size), (-1 - batch % buckets, _squeeze(np.stack([docs, sizes, many])), b"")]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int32()),
@@ -159,12 +159,12 @@ def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent:
         )
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(batch, about, shared): for each batch in a bucket, how many shingles of each document other sets have too."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         counts = [np.frombuffer(zlib.decompress(c), np.uint32) for _, c, _, _ in rows]
-        t = _unpack(b"".join(r[2] for r in rows))
+        t = _unpack(b"".join(r[2] for r in rows), size)
         mark = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
         owner = np.repeat(np.arange(len(mark), dtype=np.int64), np.concatenate(counts))
         order = np.argsort(t)
@@ -452,8 +452,10 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     tasks = max(n, -(-total // BUCKET_SHINGLES))
     buckets = min(2 * tasks, 32_000)
 
-    dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value[0]), "bucket int, batch long, counts binary, tokens binary, marks binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    shared = dealt.mapInArrow(_shared, "batch long, about binary, shared binary")
+    # Hashes that agree by chance only add candidates: four bytes keep them below one in 500, five where buckets are larger.
+    size = 4 if total <= buckets << 23 else 5
+    dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value[0], size), "bucket int, batch long, counts binary, tokens binary, marks binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    shared = dealt.mapInArrow(lambda it: _shared(it, size), "batch long, about binary, shared binary")
     few = shared.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: _candidates(it, percent), "doc long")
     first = signed.where("n > 0 and doc is not null").groupBy("mark").agg(F.min("doc").alias("doc"))
     candidates = written(few.distinct().join(first.select("doc"), "doc"), "candidates")
