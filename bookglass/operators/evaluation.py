@@ -159,14 +159,34 @@ def table_summary(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.count_distinct("sample_id").alias("n_samples"), F.min("seconds_before_predict").alias("min_seconds"), F.max("seconds_before_predict").alias("max_seconds"), F.count_if(F.col("seconds_before_predict") < 0).alias("ahead"))
 
 
-def block_bootstrap(df: DataFrame, y: str = "y", p: str = "p1", draws: int = 200) -> DataFrame:
-    """Percentile interval of the pooled cosine over resampled months. Months are summed once; a draw is as many months, picked by a hash."""
-    m = df.groupBy("month").agg(F.sum(F.col(y) * F.col(p)).alias("yp"), F.sum(F.col(y) * F.col(y)).alias("yy"), F.sum(F.col(p) * F.col(p)).alias("pp"))
-    m = m.withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("month")) - 1)
-    n = F.broadcast(m.agg(F.count("*").alias("n")))
-    picks = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(n).select("draw", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("place")).select("draw", F.pmod(F.xxhash64("draw", "place"), F.col("n")).cast("int").alias("slot"))
-    d = picks.join(F.broadcast(m), "slot").groupBy("draw").agg((F.sum("yp") / F.sqrt(F.sum("yy") * F.sum("pp"))).alias("cosine"))
-    return d.agg(F.count("*").alias("draws"), F.avg("cosine").alias("mean"), quantile("cosine", 0.025).alias("low"), quantile("cosine", 0.975).alias("high"))
+def block_starts(spark: SparkSession, n: int, blocks: tuple[int, ...], draws: int, seed: int) -> DataFrame:
+    """(block_length, draw, slot): n slots a draw, in circular blocks of adjacent slots whose starts are picked by a hash; the last block is cut at n."""
+    sizes = spark.createDataFrame([(b, -(-n // b)) for b in blocks], "block_length long, many long")
+    starts = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(sizes)).select("block_length", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("block"))
+    starts = starts.withColumn("start", F.pmod(F.xxhash64(F.lit(seed).cast("long"), "block_length", "draw", "block"), F.lit(n).cast("long")))
+    places = starts.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block_length") - 1))).where(F.col("block") * F.col("block_length") + F.col("step") < n)
+    return places.select("block_length", "draw", ((F.col("start") + F.col("step")) % n).alias("slot"))
+
+
+def block_bootstrap(df: DataFrame, y: str = "y", models: tuple[str, ...] = ("p1", "p2"), reference: str = "p1", blocks: tuple[int, ...] = (1, 2), draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """Per model and block length, the mean of the months' cosines with its 95 % percentile interval, the mean difference
+    to the reference with its interval, and the months won against it, by circular block bootstrap over months.
+
+    All models are read at the same slots of a draw, so differences stay paired. Months are scored once, over all rows;
+    what is resampled are their scores. Months must be three at least, without a gap, and more than the longest block.
+    """
+    scores = df.groupBy("month").agg(*(cosine(F.col(y), F.col(m)).alias(m) for m in models))
+    n, first, last = scores.agg(F.count("*"), F.min("month"), F.max("month")).first()
+    if n < 3 or last - first + 1 != n or not all(1 <= b < n for b in blocks) or reference not in models:
+        raise ValueError(f"Need the reference among the models and three consecutive months at least, more than a block: {n} months from {first} to {last}")
+    scores = scores.select((F.col("month") - first).cast("long").alias("slot"), F.col(reference).alias("base"), *models)
+    means = [F.avg(m).alias(m) for m in models] + [F.avg(F.col(m) - F.col("base")).alias(f"{m}_delta") for m in models]
+    drawn = block_starts(df.sparkSession, n, blocks, draws, seed).join(F.broadcast(scores), "slot").groupBy("block_length", "draw").agg(*means)
+    ends = [quantile(c, q).alias(f"{c}_{e}") for m in models for c in (m, f"{m}_delta") for e, q in (("low", 0.025), ("high", 0.975))]
+    whole = scores.agg(*means, *(F.count_if(F.col(m) > F.col("base")).alias(f"{m}_wins") for m in models))
+    one = drawn.groupBy("block_length").agg(F.count("*").alias("draws"), *ends).crossJoin(F.broadcast(whole))
+    row = lambda m: F.struct(F.lit(m).alias("model"), F.col(m).alias("mean_cosine"), F.col(f"{m}_low").alias("interval_low"), F.col(f"{m}_high").alias("interval_high"), F.col(f"{m}_delta").alias("paired_delta"), F.col(f"{m}_delta_low").alias("delta_low"), F.col(f"{m}_delta_high").alias("delta_high"), F.col(f"{m}_wins").alias("wins_vs_reference"))
+    return one.select("block_length", F.lit(n).cast("long").alias("periods"), "draws", F.explode(F.array(*map(row, models))).alias("r")).select("r.model", "block_length", "periods", "draws", *(f"r.{c}" for c in ("mean_cosine", "interval_low", "interval_high", "paired_delta", "delta_low", "delta_high", "wins_vs_reference")))
 
 
 def window_rows(df: DataFrame, starts: tuple[int, ...] = (36, 48, 60), width: int = 12) -> DataFrame:
