@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,10 +29,10 @@ CLUTTER = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertisin
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
-#: Pages with a constant text before it counts as the template's; bytes of all templates that may be broadcast.
-CONSTANT_PAGES, BROADCAST_BYTES = 4, 16 * 1024 * 1024
-#: Hosts whose templates a task keeps before it hands them on; parts a host's templates are merged in first.
-HOSTS, SALTS = 500, 32
+#: Distinct pages with a constant text, and their share of the host's, before it counts as the template's; bytes of all templates that may be broadcast.
+CONSTANT_PAGES, CONSTANT_SHARE, BROADCAST_BYTES = 4, 0.9, 16 * 1024 * 1024
+#: Hosts whose templates a worker keeps; parts a host's templates are merged in first; pages whose digests a task remembers.
+HOSTS, SALTS, SEEN = 500, 32, 200_000
 
 
 class Element:
@@ -94,12 +95,12 @@ def tree(page: str) -> Element:
 
 
 class Slot:
-    """A node of a template: pages that have it, the one text it has had (or None: several), its text and link characters."""
+    """A node of a template: pages that have it and those with text in it, the one text it has had (or None: several), its text and link characters."""
 
-    __slots__ = ("label", "pages", "text", "chars", "links", "kids")
+    __slots__ = ("label", "pages", "texts", "text", "chars", "links", "kids")
 
     def __init__(self, label: str) -> None:
-        self.label, self.pages, self.text, self.chars, self.links, self.kids = label, 0, "", 0, 0, []
+        self.label, self.pages, self.texts, self.text, self.chars, self.links, self.kids = label, 0, 0, "", 0, 0, []
 
 
 def skeleton(e: Element) -> Slot:
@@ -133,6 +134,7 @@ def _fill(s: Slot, e: Element, link: bool) -> None:
 
 
 def _seal(s: Slot) -> None:
+    s.texts = 1 if s.text else 0
     s.text = xxhash.xxh3_64_hexdigest(s.text) if s.text else ""
     for k in s.kids:
         _seal(k)
@@ -178,7 +180,7 @@ def absorb(t: Slot, s: Slot) -> None:
     """Add the counts of an aligned tree to a template; nodes without a counterpart become optional nodes in their place."""
     if t.text != s.text:
         t.text = None if t.text and s.text is not None and s.text or t.text is None or s.text is None else t.text or s.text
-    t.pages, t.chars, t.links = t.pages + s.pages, t.chars + s.chars, t.links + s.links
+    t.pages, t.texts, t.chars, t.links = t.pages + s.pages, t.texts + s.texts, t.chars + s.chars, t.links + s.links
     if [k.label for k in t.kids] == [k.label for k in s.kids]:
         for x, y in zip(t.kids, s.kids, strict=True):
             absorb(x, y)
@@ -197,13 +199,13 @@ def host_of(url: str | None) -> str:
 
 
 def _flat(s: Slot) -> tuple:
-    return s.label, s.pages, s.text, s.chars, s.links, [_flat(k) for k in s.kids]
+    return s.label, s.pages, s.texts, s.text, s.chars, s.links, [_flat(k) for k in s.kids]
 
 
 def _deep(x: tuple) -> Slot:
     s = Slot(x[0])
-    s.pages, s.text, s.chars, s.links = x[1:5]
-    s.kids = [_deep(k) for k in x[5]]
+    s.pages, s.texts, s.text, s.chars, s.links = x[1:6]
+    s.kids = [_deep(k) for k in x[6]]
     return s
 
 
@@ -219,9 +221,10 @@ def decide(page: Element, template: Slot | None) -> None:
     """Mark the page's slots that are the host's template as such, by aligning the page with it; see extract."""
     s = skeleton(page)
     todo = [(s, template)]
+    least = max(CONSTANT_PAGES, CONSTANT_SHARE * template.pages) if template else 0  # the root is on every page
     while todo:
         own, t = todo.pop()
-        fixed = t is not None and bool(t.text) and t.pages >= CONSTANT_PAGES and t.chars > 0
+        fixed = t is not None and bool(t.text) and t.texts >= least and t.chars > 0
         linky = (t or own).chars > 0 and (t or own).links > 0.5 * (t or own).chars
         own.pages = -1 if fixed or linky else 1
         if t is None:
@@ -235,10 +238,10 @@ def decide(page: Element, template: Slot | None) -> None:
 def extract(page: str, template: Slot | None) -> str:
     """The main text: blocks in page order, joined by an empty line.
 
-    Elements that are never content (NEVER, CLUTTER) go first. Then slots whose text is the same on all of the host's
-    pages (of CONSTANT_PAGES or more), and slots made of links, are template. Where the page has an article or main
-    element, what lies outside it goes too. If nothing stays, as on a host whose pages are all alike, the constant slots
-    count as content after all.
+    Elements that are never content (NEVER, CLUTTER) go first. Then slots are template that have one text alone and have
+    it on CONSTANT_PAGES of the host's distinct pages and on CONSTANT_SHARE of them, and slots made of links. Where the
+    page has an article or main element, what lies outside it goes too. If nothing stays, as on a host whose pages are
+    all alike, the constant slots count as content after all.
     """
     top = tree(page)
     decide(top, template)
@@ -293,25 +296,47 @@ def _blocks(e: Element, out: list[str], strict: bool) -> None:
     close()
 
 
+def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page digest, skeleton) of the pages; copies within a task are left out as far as SEEN reaches."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        hosts, digests, trees = [], [], []
+        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if page:
+                host, data = host_of(url), dump(skeleton(tree(page)))
+                digest = xxhash.xxh3_128_digest(data)
+                if (host, digest) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add((host, digest))
+                    hosts.append(host)
+                    digests.append(digest)
+                    trees.append(zlib.compress(data, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(trees, pa.binary())], names=["host", "digest", "page"])
+
+
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Slot] = {}
+    """A template of each host of a partition sorted by host and digest, from its distinct pages."""
+    host, digest, template = None, None, None
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([xxhash.xxh3_64_intdigest(dump(s)) % SALTS for s in held.values()], pa.int32()), pa.array([dump(s) for s in held.values()], pa.binary())], names=["host", "salt", "template"])
-        held.clear()
-        return out
+    def settle() -> pa.RecordBatch:
+        data = dump(template)
+        return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([xxhash.xxh3_64_intdigest(data) % SALTS], pa.int32()), pa.array([data], pa.binary())], names=["host", "salt", "template"])
 
     for batch in batches:
-        for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if page:
-                s, host = skeleton(tree(page)), host_of(url)
-                if host in held:
-                    absorb(held[host], s)
-                else:
-                    held[host] = s
-                if len(held) > HOSTS:
-                    yield flush()
-    yield flush()
+        for h, d, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if h == host and d == digest:
+                continue
+            s = load(zlib.decompress(page))
+            if h != host:
+                if template is not None:
+                    yield settle()
+                host, template = h, s
+            else:
+                absorb(template, s)
+            digest = d
+    if template is not None:
+        yield settle()
 
 
 def _merge(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -335,12 +360,14 @@ def _streamed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[str
 
 
 def induce_templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template) from all pages of each host. Every task aligns its own pages first, then parts are merged by
-    (host, salt) and by host, so a host with a third of all pages is shared out and only templates are shuffled."""
+    """(host, template) from all distinct pages of each host: pages of one skeleton (blocks and their texts) are copies
+    and count once. Skeletons, not pages, are dealt by digest and aligned; parts are merged by (host, salt) and by host,
+    so a host with a third of all pages is shared out."""
     spark = pages.sparkSession
     prepare(spark)
-    parts = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_induce, "host string, salt int, template binary")
     n = partitions(spark)
+    every = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(_skeletons, "host string, digest binary, page binary")
+    parts = every.repartition(n, "host", "digest").sortWithinPartitions("host", "digest").mapInArrow(_induce, "host string, salt int, template binary")
     some = parts.withColumn("part", F.concat_ws("/", "host", "salt")).repartition(n, "part").sortWithinPartitions("part", "template").select("part", "host", "template").mapInArrow(lambda it: _merge(it, "part"), "host string, template binary")
     return some.repartition(n, "host").sortWithinPartitions("host", "template").mapInArrow(lambda it: _merge(it, "host"), "host string, template binary")
 
