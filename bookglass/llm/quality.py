@@ -15,34 +15,58 @@ from pyspark.sql import types as T
 from bookglass.llm.common import crc32_mod, prepare
 from bookglass.llm.labelled import labelled_sample, logistic
 
-#: Labelled documents of each class in the fit, at most; hashed features; words a worker remembers.
-SAMPLE, DIMENSIONS, CACHE = 4000, 1 << 18, 300_000
+#: Labelled documents of each class in the fit, at most; hashed features; words a worker remembers, and the longest of them.
+SAMPLE, DIMENSIONS, CACHE, LONG = 4000, 1 << 18, 300_000, 64
+#: Runs of a shape that make one feature; longer shapes are several in a row.
+RUNS = 8
 #: Penalty of the hinge loss, smoothing of the counts, passes of coordinate descent, and how far weights lean on their mean.
 PENALTY, SMOOTHING, PASSES, LEAN = 0.1, 1.0, 20, 0.25
 MASK = DIMENSIONS - 1
 
 
-def shape(word: str) -> str:
-    """A word's form: its kinds of characters, runs as one; lower X for capitals, x for small letters, 9 for digits, others as they are."""
+def kind(c: str) -> str:
+    return "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c
+
+
+def shapes_of(word: str) -> list[str]:
+    """The whole word's form, RUNS runs a piece: its kinds of characters, runs as one; X for capitals, x for other letters, 9 for digits, others as they are."""
     out: list[str] = []
-    for c in word[:40]:
-        k = "x" if c.islower() else "X" if c.isupper() else "9" if c.isdigit() else "x" if c.isalpha() else c
+    for c in word:
+        k = kind(c)
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:8])
+    return ["".join(out[i : i + RUNS]) for i in range(0, len(out), RUNS)]
+
+
+def _long(word: str) -> tuple[list[str], list[str]]:
+    """shapes_of the word, and its distinct trigrams, over arrays of code points."""
+    marked = np.frombuffer(f"<{word}>".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    grams = np.unique(marked[:-2] << np.uint64(42) | marked[1:-1] << np.uint64(21) | marked[2:])
+    chars, at = np.unique(marked[1:-1], return_inverse=True)
+    kinds = np.array([ord(kind(chr(c))) for c in chars.tolist()], np.uint32)[at]
+    runs = kinds[np.r_[True, kinds[1:] != kinds[:-1]]]
+    form = runs.astype("<u4").tobytes().decode("utf-32-le")
+    low = (1 << 21) - 1
+    return [form[i : i + RUNS] for i in range(0, len(form), RUNS)], [chr(g >> 42) + chr(g >> 21 & low) + chr(g & low) for g in grams.tolist()]
 
 
 class _Words(dict):
-    """(hash, shape hash, hashed character trigrams) of words."""
+    """(hash, hash of the first shape, hashed character trigrams, hashes of further shapes) of whole words; long words aren't kept."""
 
-    def __missing__(self, word: str) -> tuple[int, int, np.ndarray]:
+    def __missing__(self, word: str) -> tuple[int, int, np.ndarray, list[int]]:
         h = xxhash.xxh3_64_intdigest
-        marked = f"<{word[:200]}>"
-        grams = np.array([h(marked[i : i + 3]) & MASK for i in range(len(marked) - 2)], np.int32)
-        value = (h(word) >> 1, h("s" + shape(word)) & 0xFFFFFFFF, grams)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value
+        if len(word) > LONG:
+            forms, trigrams = _long(word)
+        else:
+            marked = f"<{word}>"
+            forms, trigrams = shapes_of(word), [marked[i : i + 3] for i in range(len(marked) - 2)]
+        grams = np.array([h(g) & MASK for g in trigrams], np.int32)
+        first, *more = [h("s" + x) & 0xFFFFFFFF for x in forms]
+        value = (h(word) >> 1, first, grams, more)
+        if len(word) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -50,8 +74,8 @@ _words = _Words()
 
 
 def features(text: str) -> np.ndarray:
-    """Sorted distinct hashed indicators: character trigrams within words; n-grams, n to 3, of word shapes, each with
-    whether the word repeats the one before."""
+    """Sorted distinct hashed indicators of the whole text: character trigrams within words; n-grams, n to 3, of word
+    shapes (those of a word of many runs in a row), each with whether the word repeats the one before."""
     words = text.split()
     if not words:
         return np.empty(0, np.int32)
@@ -59,8 +83,10 @@ def features(text: str) -> np.ndarray:
     ids = np.fromiter((x[0] for x in found), np.int64, len(words))
     shapes = np.fromiter((x[1] for x in found), np.uint64, len(words)) * np.uint64(2)
     shapes[1:] += (ids[1:] == ids[:-1]).astype(np.uint64)
+    if any(x[3] for x in found):
+        shapes = np.array([s for own, x in zip(shapes.tolist(), found, strict=True) for s in (own, *(2 * m for m in x[3]))], np.uint64)
     parts = [x[2] for x in {w: x for w, x in zip(words, found, strict=True)}.values()]
-    h = np.zeros(len(words), np.uint64)
+    h = np.zeros(len(shapes), np.uint64)
     for n in range(1, 4):
         if len(shapes) < n:
             break
