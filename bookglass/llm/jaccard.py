@@ -407,6 +407,94 @@ def spanning_links(sets: list[tuple[int, int, list[int]]], percent: int) -> list
     return out
 
 
+def every_link(sets: list[tuple[int, int, np.ndarray, int]], percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of (id, side, tokens, copies): links that span the link graph, and for each set the copies of all sets it links
+    with. Sets of one side other than 0 aren't held against each other.
+
+    Each set is held against the smaller ones that share one of its rarest tokens, as many as any link has to meet. An
+    overlap is counted over what sets have apart from the tokens that most sets have: those they lack of these, and
+    their others, so near copies cost what they differ in.
+    """
+    m = len(sets)
+    order = sorted(range(m), key=lambda i: (len(sets[i][2]), sets[i][0]))
+    ids = [sets[i][0] for i in order]
+    side, copies = (np.array([sets[i][k] for i in order], np.int64) for k in (1, 3))
+    sizes = np.array([len(sets[i][2]) for i in order], np.int64)
+    _, token, times = np.unique(np.concatenate([sets[i][2] for i in order]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), sizes)
+    # Tokens of one set alone can't be shared.
+    some = times[token] > 1
+    owner, token = owner[some], token[some]
+    inner = np.lexsort((times[token], owner))
+    owner, token = owner[inner], token[inner]
+    start = np.searchsorted(owner, np.arange(m + 1))
+    by_token = np.argsort(token, kind="stable")
+    lists, first = owner[by_token], np.searchsorted(token[by_token], np.arange(len(times) + 1))
+
+    most = np.flatnonzero(times > m // 2) if m > 2 else np.empty(0, np.int64)
+    dense = np.zeros(len(times), bool)
+    dense[most] = True
+    lacks = [np.setdiff1d(np.arange(m), lists[first[t] : first[t + 1]], assume_unique=True) for t in most]
+    lack_owner = np.concatenate([np.empty(0, np.int64), *lacks])
+    lack_token = np.repeat(most, [len(x) for x in lacks])
+    lacking = np.bincount(lack_owner, minlength=m)
+    apart_owner, apart = np.concatenate([owner[~dense[token]], lack_owner]), np.concatenate([token[~dense[token]], lack_token])
+    inner = np.argsort(apart_owner, kind="stable")
+    apart = apart[inner]
+    at = np.searchsorted(apart_owner[inner], np.arange(m + 1))
+
+    root, degree, out, mark = np.arange(m), np.zeros(m, np.int64), [], np.zeros(len(times), bool)
+    for j in range(m):
+        n = int(sizes[j])
+        low = int(np.searchsorted(sizes[:j], -(-percent * n // 100)))  # smaller sets can't link
+        if low == j:
+            continue
+        need = -(-percent * (n + int(sizes[low])) // (100 + percent))
+        own = token[start[j] : start[j + 1]]
+        parts = []
+        for t in own[: max(0, len(own) - need + 1)].tolist():
+            x = lists[first[t] : first[t + 1]]
+            parts.append(x[np.searchsorted(x, low) : np.searchsorted(x, j)])
+        if not parts:
+            continue
+        found = np.zeros(j - low, bool)
+        found[np.concatenate(parts) - low] = True
+        near = np.flatnonzero(found) + low
+        if side[j]:
+            near = near[side[near] != side[j]]
+        if not len(near):
+            continue
+        mine = apart[at[j] : at[j + 1]]
+        mark[mine] = True
+        many = at[near + 1] - at[near]
+        ends = np.cumsum(many)
+        hit = np.r_[0, np.cumsum(mark[apart[np.arange(ends[-1]) + np.repeat(at[near] - (ends - many), many)]])]
+        mark[mine] = False
+        overlap = hit[ends] - hit[ends - many] + len(most) - lacking[j] - lacking[near]
+        near = near[overlap * (100 + percent) >= percent * (n + sizes[near])]
+        if not len(near):
+            continue
+        degree[near] += copies[j]
+        degree[j] += copies[near].sum()
+        top = root[near]
+        while (root[top] != top).any():
+            top = root[top]
+        tops, which = np.unique(top, return_index=True)
+        out += [(ids[i], ids[j]) for i in near[which].tolist()]
+        root[tops] = root[near] = root[j] = tops[0]
+    return out, [(d, int(x)) for d, x in zip(ids, degree.tolist(), strict=True) if x]
+
+
+def _search_all(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that span the link graph of each block, as (a, b), and (a, null, how many documents its own links lead to)."""
+    for _, rows in runs(batches, "block"):
+        if len(rows) > 1:
+            sets = {r["doc"]: (r["doc"], r["side"], np.frombuffer(r["tokens"], np.uint64), r["copies"]) for r in reversed(rows)}
+            links, degrees = every_link(list(sets.values()), percent)
+            a, b = [x[0] for x in links] + [x[0] for x in degrees], [x[1] for x in links] + [None] * len(degrees)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(links) + [x[1] for x in degrees], pa.int64())], names=["a", "b", "n_links"])
+
+
 def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for _, rows in runs(batches, "block"):
         if len(rows) > 1:
@@ -419,9 +507,10 @@ def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, n_shingles, component_id) per row: documents link when 100 * intersection >= percent * union of their word
-    shingle sets; component_id is the smallest id reachable by links, itself included.
+def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, count_links: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, n_shingles, component_id) per row, and n_links if count_links: documents link when 100 * intersection >= percent * union of their word
+    shingle sets; component_id is the smallest id reachable by links, itself included; n_links is the number of other documents
+    a document links with.
 
     1. One pass gives each set's size and digest; equal sets collapse to one representative (pre-aggregated: a third of
        all rows may be copies of one text). Shingles that many documents of one task share are noted as frequent.
@@ -432,11 +521,11 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
        block above BLOCK_SHINGLES is cut by size class and salt into chunks, and chunks whose sizes can link meet pair
        by pair, so no task's memory grows with the block.
     4. In each block, T-occurrence search: short lists are heap-merged, long ones probed, and sets connected already are
-       skipped, so a group of near copies yields a spanning forest, not its pairs.
+       skipped, so a group of near copies yields a spanning forest, not its pairs. With count_links, every link is
+       verified, once over all blocks, and counted with the copies at its other end; pairs aren't written.
     5. Components of the links, spread to the copies.
 
-    Which links there are is exact (64-bit shingle hashes); how many is not counted, as that would be all pairs of a
-    group. Null or empty texts, and texts without words, have 0 shingles and link with nothing. Null ids link with
+    Links and their numbers are exact (64-bit shingle hashes). Counting takes time for all pairs of a group. Null or empty texts, and texts without words, have 0 shingles and link with nothing. Null ids link with
     nothing and have a null component. Rows that repeat an id get a row each. No rows give no rows.
     """
     spark = docs.sparkSession
@@ -457,7 +546,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value[0], size), "bucket int, batch long, counts binary, tokens binary, marks binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(lambda it: _shared(it, size), "batch long, about binary, shared binary")
     few = shared.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: _candidates(it, percent), "doc long")
-    first = signed.where("n > 0 and doc is not null").groupBy("mark").agg(F.min("doc").alias("doc"))
+    first = signed.where("n > 0 and doc is not null").groupBy("mark").agg(F.min("doc").alias("doc"), *([F.count_distinct("doc").alias("copies")] if count_links else []))
+    if count_links:
+        first = written(first, "first")
     candidates = written(few.distinct().join(first.select("doc"), "doc"), "candidates")
     if candidates.count() <= BROADCAST_IDS:
         candidates = F.broadcast(candidates)
@@ -474,12 +565,22 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id
     sizes = postings.groupBy("doc").agg(F.max("n").alias("n"))
     blocks = connected_components(stars).withColumnRenamed("node", "doc").join(sizes, "doc")
     blocks = written(blocks.withColumn("class", F.floor(F.log("n") / (math.log(100 / percent) * 1.0001)).cast("int")), "blocks")
-    links = written(tokens.join(_assigned(blocks), "doc").repartition(n, "block").sortWithinPartitions("block", "doc").mapInArrow(lambda it: _search(it, percent), "a long, b long"), "links")
-    parts = connected_components(links)
-
-    marked = first.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select(F.col("mark").alias("m"), F.coalesce("component", "doc").alias("component"))
+    if not count_links:
+        links = written(tokens.join(_assigned(blocks), "doc").repartition(n, "block").sortWithinPartitions("block", "doc").mapInArrow(lambda it: _search(it, percent), "a long, b long"), "links")
+    else:
+        met = tokens.join(_assigned(blocks).join(first.select("doc", "copies"), "doc"), "doc")
+        found = written(met.repartition(n, "block").sortWithinPartitions("block", "doc").mapInArrow(lambda it: _search_all(it, percent), "a long, b long, n_links long"), "links")
+        links = found.where("b is not null").select("a", "b")
+    parts = connected_components(links).withColumnRenamed("node", "doc")
+    marked = first.join(parts, "doc", "left")
+    if count_links:
+        degrees = found.where("b is null").groupBy(F.col("a").alias("doc")).agg(F.sum("n_links").alias("n_links"))
+        marked = marked.join(degrees, "doc", "left")
+    extra = [(F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")] if count_links else []
+
+    marked = marked.select(F.col("mark").alias("m"), F.coalesce("component", "doc").alias("component"), *extra)
     out = signed.join(marked, (F.col("mark") == F.col("m")) & (F.col("n") > 0) & F.col("doc").isNotNull(), "left")
-    return out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    return out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"), *([F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+    out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90, count_links=True)
     return out.withColumnRenamed("doc", "doc_id")
 
 
