@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookglass.llm.common import prepare
+from bookglass.llm.common import prepare, written
 
 #: Magic of the skippable frame that holds an archive's dictionary, and of a data frame.
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
@@ -19,6 +20,10 @@ DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 ARCHIVE_BYTES, DICT_BYTES, DICT_RECORDS = 4 * 1024 * 1024, 16 * 1024, 200
 #: Payloads below this many bytes are stored again and again.
 MIN_REVISIT = 1000
+#: Bytes of an archive that go to the decoder at once; bytes of payloads that a task holds; revisits that may be broadcast.
+CHUNK, HELD, BROADCAST_ROWS = 1 << 16, 4 * 1024 * 1024, 200_000
+#: Pieces that the rows of one digest are dealt in.
+SALTS = 16
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -30,13 +35,18 @@ def _clean(value: str) -> str:
     return "".join(f"%{b:02X}" if b < 33 or b == 127 else chr(b) for b in value.encode("utf-8")) if not value.isprintable() or " " in value else value
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def _name(page_id: int | None, payload: bytes) -> str:
+    """A record's id: the page's, or for a page without one, one made of its payload."""
+    return f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, hashlib.sha1(payload).hexdigest())}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
     """One WARC/1.1 record: an HTTP response with the payload, or a revisit of an earlier response with its headers alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
     head = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page_id}>"),
+        ("WARC-Record-ID", _name(page_id, payload)),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("WARC-Target-URI", _clean(url or "about:blank")),
         ("Content-Type", "application/http; msgtype=response"),
@@ -82,14 +92,17 @@ def frames(data: bytes) -> Iterator[bytes]:
         if magic != FRAME_MAGIC:
             raise WarcError(f"no frame begins at byte {at}")
         unpack = zstandard.ZstdDecompressor(dict_data=trained).decompressobj()
+        content, begin = [], at
         try:
-            content = unpack.decompress(view[at:])
+            while not unpack.eof and at < len(data):  # in chunks, as the decoder copies what it has not used
+                content.append(unpack.decompress(view[at : at + CHUNK]))
+                at = min(at + CHUNK, len(data))
         except zstandard.ZstdError as e:
-            raise WarcError(f"the frame at byte {at} can't be decoded: {e}") from e
+            raise WarcError(f"the frame at byte {begin} can't be decoded: {e}") from e
         if not unpack.eof:
             raise WarcError("the archive ends inside a frame")
-        at = len(data) - len(unpack.unused_data)
-        yield content
+        at -= len(unpack.unused_data)
+        yield b"".join(content)
 
 
 def parse(raw: bytes) -> dict:
@@ -121,28 +134,37 @@ def parse(raw: bytes) -> dict:
         raise WarcError("the payload's length or digest doesn't match")
     if fields["warc-type"] == "revisit" and (payload or "warc-refers-to" not in fields):
         raise WarcError("a revisit has a payload or refers to nothing")
-    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
+    number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x.startswith("<urn:page:") else None
     return {"page_id": number(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "record_type": fields["warc-type"], "payload": payload, "payload_bytes": sizes[0], "payload_digest": digest, "refers_to": number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None}
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     """(page_id, url, html, refers_to): of equal payloads of min_bytes and more, all but the largest page_id refer to it.
 
-    Only digests that occur twice are joined back; they are pre-aggregated, so a payload of a third of all pages is one
-    row per task before the shuffle, and the join can split it.
+    Digests alone are dealt, those that occur twice in SALTS pieces, so a payload of a third of all pages is no task's
+    own; what they yield, the pages that refer to another, is broadcast up to BROADCAST_ROWS and else joined by page_id.
+    A page without page_id is a response of its own, refers to nothing and isn't referred to. Rows that repeat a page_id
+    don't refer to it; if their payloads differ, each goes by its own.
     """
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
-    p = p.withColumn("digest", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.col("html").cast("binary"))))
-    again = p.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return p.join(again, "digest", "left").select("page_id", "url", "html", F.when(F.col("keeper") != F.col("page_id"), F.col("keeper")).alias("refers_to"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    digest = F.when(F.octet_length("html") >= min_bytes, F.sha1(F.col("html").cast("binary")))
+    slim = p.select("page_id", digest.alias("digest")).where("page_id is not null and digest is not null")
+    again = slim.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.min("page_id").alias("least")).where("keeper > least")
+    pieces = again.select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = slim.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(pieces, ["digest", "salt"]).where("page_id < keeper")
+    refers = written(met.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), F.col("keeper").alias("refers_to")).distinct(), "revisits")
+    if refers.count() <= BROADCAST_ROWS:
+        refers = F.broadcast(refers)
+    return p.join(refers, (F.col("page_id") == F.col("__page")) & (digest == F.col("__digest")), "left").select("page_id", "url", "html", "refers_to")
 
 
 def write_archives(pages: DataFrame, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(archive, records): zstd archives of about archive_bytes of payload each, one WARC record per page.
 
     Null html is an empty payload and a null url about:blank. A page of any size is one record; a record is held whole.
-    Pages without page_id are left out: a record needs an id. Rows that repeat a page_id are written each; a page_id
-    never refers to itself. No pages give no archives. Write the table out, or its ``archive`` column as files.
+    A page without page_id has a record id made of its payload, and is read back without page_id. Rows that repeat a
+    page_id are written each; a page_id never refers to itself. Other columns are not read, so their names may be any.
+    No pages give no archives. Write the table out, or its ``archive`` column as files.
     """
     prepare(pages.sparkSession)
 
@@ -163,23 +185,32 @@ def write_archives(pages: DataFrame, *, archive_bytes: int = ARCHIVE_BYTES) -> D
         if held:
             yield close()
 
-    return with_revisits(pages).where("page_id is not null").mapInArrow(task, "archive binary, records long")
+    return with_revisits(pages).mapInArrow(task, "archive binary, records long")
 
 
 def read_archives(archives: DataFrame, column: str = "archive", *, payloads: bool = False) -> DataFrame:
     """A row per record of archives held in a binary column, such as spark.read.format("binaryFile") gives as content.
 
     Columns page_id, url, record_type, payload_bytes, payload_digest, refers_to, and payload if asked for (empty for
-    revisits). A faulty archive raises WarcError; a null or empty one has no records.
+    revisits). Rows leave as they are read, with at most HELD bytes of payloads in hand besides the archive. A faulty
+    archive raises WarcError; a null or empty one has no records.
     """
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to"] + ["payload"] * payloads
     types = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in names], names=names)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows = [parse(x) for x in frames(data or b"")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in names], names=names)
+            for data in batch.column(0):
+                rows, held = [], 0
+                for x in frames(data.as_py() or b""):
+                    r = parse(x)
+                    rows.append({n: r[n] for n in names})
+                    held += 200 + len(r["payload"]) * payloads
+                    if held >= HELD:
+                        yield made(rows)
+                        rows, held = [], 0
+                yield made(rows)
 
     return archives.select(column).mapInArrow(task, schema)
