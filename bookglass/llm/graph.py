@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from bookglass.llm.common import written
 
+#: Edges from which a node's own go to no one task: so few nodes have as many that they may be broadcast.
+HUB = 100_000
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with an edge to another node; component is its smallest reachable node.
 
-    Nulls and loops are dropped, repeated edges count once, no edges give no rows. Each round shuffles edges by node
-    with the minimum pre-aggregated, so a node with very many edges is a row per task; rounds grow with the logarithm
-    of the nodes. Each round is written to the shared folder, so no lineage piles up.
+    Nulls and loops are dropped, repeated edges count once, no edges give no rows. Minima are pre-aggregated; the edges of
+    a node with HUB of them stay where they are and meet its minimum by broadcast, those of others are joined by node.
+    Rounds grow with the logarithm of the nodes. Each is written to the shared folder, so no lineage piles up.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _digest(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("p"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m")), F.struct(F.col("v").alias("u"), F.col("m")))).alias("p"))
         e = written(small.select("p.u", F.col("p.m").alias("v")).where("u != v").distinct(), "edges")
         before, state = state, _digest(e)
         if before == state:
@@ -32,5 +33,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return members.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least v of each u."""
+    low = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(low.where(F.col("n") >= HUB).drop("n"))
+    others = edges.join(hubs.select("u"), "u", "left_anti").join(low.where(F.col("n") < HUB).drop("n"), "u")
+    return others.unionByName(edges.join(hubs, "u"))
+
+
 def _digest(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

@@ -8,6 +8,7 @@ import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,10 @@ CACHE_WORDS, COUNT_SHINGLES, FREQUENT = 1_000_000, 2_000_000, 100_000
 BUCKET_SHINGLES, BROADCAST_IDS = 4_000_000, 500_000
 #: Shingles that one search task holds; larger blocks are cut into chunks of this size that meet pair by pair.
 BLOCK_SHINGLES = 3_000_000
+#: Sets in one piece of a shingle's list, and the most pieces.
+PIECE, PIECES = 256, 1024
+#: Entries of short lists up to which a heap merges them; more are merged by marking their places.
+HEAP = 64
 #: DivideSkip's weight of a probe against a step of the merge.
 MU = 0.02
 
@@ -54,6 +59,11 @@ def shingles(text: bytes, width: int) -> np.ndarray:
     return np.unique(h)
 
 
+def _mark(s: np.ndarray) -> bytes:
+    """A set's digest."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Iterator[tuple[int, bytes]]]]:
     for batch in batches:
         yield batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
@@ -84,7 +94,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
         for text in texts:
             s = shingles(text or b"", width)
             sizes.append(len(s))
-            marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+            marks.append(_mark(s))
             held.append(s)
             size += len(s)
             if size >= COUNT_SHINGLES:
@@ -121,14 +131,12 @@ def _find(frequent: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_bucket(t: np.ndarray, owner: np.ndarray, n: int, buckets: int, size: int = 5) -> Iterator[tuple[int, bytes, bytes]]:
     """(bucket, how many hashes of each of the n owners fall in it, those hashes by owner). owner must be sorted."""
-    bucket = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16)
+    bucket = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    packed, key = _pack(t[order], size), bucket.astype(np.int64) * n + owner
-    counts = np.bincount(key, minlength=buckets * n).reshape(buckets, n).astype(np.uint32)
-    ends = np.concatenate(([0], np.cumsum(counts.sum(axis=1, dtype=np.int64)))).tolist()
-    for b in range(buckets):
-        if ends[b + 1] > ends[b]:
-            yield b, _squeeze(counts[b]), packed[size * ends[b] : size * ends[b + 1]]
+    bucket, owner, packed = bucket[order], owner[order], _pack(t[order], size)
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
+        yield int(bucket[lo]), _squeeze(np.bincount(owner[lo:hi], minlength=n).astype(np.uint32)), packed[size * lo : size * hi]
 
 
 def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
@@ -276,8 +284,8 @@ def _times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """From the rows of _times by batch, (doc, n, shingle): of a candidate's shingles that others may have, those among
-    its first prefix_length. Its own come first, then by the number of sets, and frequent ones last, by rank: an order
+    """From the rows of _times by batch, (doc, n, shingle, pieces, piece): of a candidate's shingles that others may have,
+    those among its first prefix_length, with the pieces that the shingle's list is dealt in. Its own come first, then by the number of sets, and frequent ones last, by rank: an order
     that all sets have in common."""
 
     def settle(rows: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
@@ -292,17 +300,19 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         for bucket, (counts, tokens, n) in rows.items():
             if bucket >= 0 and tokens:
                 owners.append(np.repeat(np.arange(len(docs), dtype=np.int32), np.frombuffer(zlib.decompress(counts), np.uint32)))
-                keys.append(_unpack(tokens).view(np.int64) | (bucket << 40))
+                keys.append(_unpack(tokens).view(np.int64) + (bucket << 40))
                 times.append(np.frombuffer(zlib.decompress(n), np.uint32).astype(np.int64))
         if not owners:
             return
         owner, key, time = np.concatenate(owners), np.concatenate(keys), np.concatenate(times)
         order = np.lexsort((key, time, owner))
-        owner, key = owner[order], key[order]
+        owner, key, time = owner[order], key[order], time[order]
         k = np.bincount(owner, minlength=len(docs))
         place = np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)
         kept = place < (prefix_length(sizes, percent) - (sizes - k))[owner]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[owner[kept]]), pa.array(sizes[owner[kept]]), pa.array(key[kept])], names=["doc", "n", "shingle"])
+        doc, pieces = docs[owner[kept]], np.clip(-(-time[kept] // PIECE), 1, PIECES).astype(np.int32)
+        piece = ((doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % pieces.astype(np.uint64)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(sizes[owner[kept]]), pa.array(key[kept]), pa.array(pieces), pa.array(piece)], names=["doc", "n", "shingle", "pieces", "piece"])
 
     current, rows = None, {}
     for batch in batches:
@@ -314,6 +324,32 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     yield from settle(rows)
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, a, b) of rows (shingle, piece, pieces, doc) in that order: each set with the first of its piece, and the
+    first of each piece of a list of several with b null."""
+    current = head = None
+    for batch in batches:
+        out: list[tuple] = []
+        for shingle, piece, pieces, doc in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (shingle, piece) != current:
+                current, head = (shingle, piece), doc
+                if pieces > 1:
+                    out.append((shingle, doc, None))
+            elif doc != head:
+                out.append((shingle, doc, head))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["shingle", "a", "b"])
+
+
+def _met(postings: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all sets of each shingle's list. Lists are dealt in pieces, whose first sets meet in a second step."""
+    n = partitions(postings.sparkSession)
+    order = ["shingle", "piece", "pieces", "doc"]
+    star = lambda df: df.repartition(n, "shingle", "piece").sortWithinPartitions(*order).mapInArrow(_stars, "shingle long, a long, b long")
+    pieces = written(star(postings.select(*order)), "stars")
+    heads = star(pieces.where("b is null").select("shingle", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.col("a").alias("doc")))
+    return pieces.where("b is not null").unionByName(heads).select("a", "b").distinct()
+
+
 def linked(a: int, n: int, m: int, percent: int) -> bool:
     """Whether sets of n and m shingles with a in common have 100 * intersection >= percent * union."""
     return a * (100 + percent) >= percent * (n + m)
@@ -407,13 +443,23 @@ def spanning_links(sets: list[tuple[int, int, list[int]]], percent: int) -> list
     return out
 
 
+def _merged(lists: list[np.ndarray], low: int, high: int) -> np.ndarray:
+    """The sets between low and high that stand in any of some lists, in order."""
+    if sum(map(len, lists)) <= HEAP:
+        return np.array([k for k, _ in groupby(heapq.merge(*(x.tolist() for x in lists)))], np.int64)
+    found = np.zeros(high - low, bool)
+    for x in lists:
+        found[x - low] = True
+    return np.flatnonzero(found) + low
+
+
 def every_link(sets: list[tuple[int, int, np.ndarray, int]], percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Of (id, side, tokens, copies): links that span the link graph, and for each set the copies of all sets it links
     with. Sets of one side other than 0 aren't held against each other.
 
-    Each set is held against the smaller ones that share one of its rarest tokens, as many as any link has to meet. An
-    overlap is counted over what sets have apart from the tokens that most sets have: those they lack of these, and
-    their others, so near copies cost what they differ in.
+    DivideSkip over the lists of sets that come before: of a set's lists, the need - 1 longest are long, so what the
+    merged short ones name has to be probed in the long ones. A list that most sets are in is probed by its gaps, the
+    sets that are not in it, so near copies cost what they differ in.
     """
     m = len(sets)
     order = sorted(range(m), key=lambda i: (len(sets[i][2]), sets[i][0]))
@@ -457,9 +503,7 @@ def every_link(sets: list[tuple[int, int, np.ndarray, int]], percent: int) -> tu
             parts.append(x[np.searchsorted(x, low) : np.searchsorted(x, j)])
         if not parts:
             continue
-        found = np.zeros(j - low, bool)
-        found[np.concatenate(parts) - low] = True
-        near = np.flatnonzero(found) + low
+        near = _merged(parts, low, j)
         if side[j]:
             near = near[side[near] != side[j]]
         if not len(near):
@@ -485,25 +529,24 @@ def every_link(sets: list[tuple[int, int, np.ndarray, int]], percent: int) -> tu
     return out, [(d, int(x)) for d, x in zip(ids, degree.tolist(), strict=True) if x]
 
 
+def _distinct(rows: list[dict]) -> list[dict]:
+    return list({(r["doc"], r["tokens"]): r for r in reversed(rows)}.values())
+
+
 def _search_all(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links that span the link graph of each block, as (a, b), and (a, null, how many documents its own links lead to)."""
+    """Links that span the link graph of each block, as (a, b), and (mark, how many documents its own links lead to)."""
     for _, rows in runs(batches, "block"):
         if len(rows) > 1:
-            sets = {r["doc"]: (r["doc"], r["side"], np.frombuffer(r["tokens"], np.uint64), r["copies"]) for r in reversed(rows)}
-            links, degrees = every_link(list(sets.values()), percent)
-            a, b = [x[0] for x in links] + [x[0] for x in degrees], [x[1] for x in links] + [None] * len(degrees)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([None] * len(links) + [x[1] for x in degrees], pa.int64())], names=["a", "b", "n_links"])
+            rows = _distinct(rows)
+            links, degrees = every_link([(i, r["side"], np.frombuffer(r["tokens"], np.uint64), r["copies"]) for i, r in enumerate(rows)], percent)
+            columns = [[rows[i]["doc"] for i, _ in links] + [None] * len(degrees), [rows[j]["doc"] for _, j in links] + [None] * len(degrees), [None] * len(links) + [rows[i]["mark"] for i, _ in degrees], [None] * len(links) + [x for _, x in degrees]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["a", "b", "mark", "n_links"])
 
 
 def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for _, rows in runs(batches, "block"):
         if len(rows) > 1:
-            seen, sets = set(), []
-            for r in rows:
-                if r["doc"] not in seen:
-                    seen.add(r["doc"])
-                    sets.append((r["doc"], r["side"], np.frombuffer(r["tokens"], np.uint64).tolist()))
-            links = spanning_links(sets, percent)
+            links = spanning_links([(r["doc"], r["side"], np.frombuffer(r["tokens"], np.uint64).tolist()) for r in _distinct(rows)], percent)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
 
@@ -526,7 +569,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, co
     5. Components of the links, spread to the copies.
 
     Links and their numbers are exact (64-bit shingle hashes). Counting takes time for all pairs of a group. Null or empty texts, and texts without words, have 0 shingles and link with nothing. Null ids link with
-    nothing and have a null component. Rows that repeat an id get a row each. No rows give no rows.
+    nothing and have a null component. Rows that repeat an id get a row each and are one document: with different texts,
+    it links through each of them, its rows have one component, and n_links is that of the row's text. Other columns are
+    not read, so their names may be any. No rows give no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -539,43 +584,44 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, co
     sent = sc.broadcast((np.sort(top), (len(top) - np.argsort(top)).astype(np.int32)))
     total = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(n, -(-total // BUCKET_SHINGLES))
-    buckets = min(2 * tasks, 32_000)
+    buckets = 2 * tasks
 
     # Hashes that agree by chance only add candidates: four bytes keep them below one in 500, five where buckets are larger.
     size = 4 if total <= buckets << 23 else 5
     dealt = base.mapInArrow(lambda it: _deal(it, width, buckets, sent.value[0], size), "bucket int, batch long, counts binary, tokens binary, marks binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(lambda it: _shared(it, size), "batch long, about binary, shared binary")
     few = shared.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: _candidates(it, percent), "doc long")
-    first = signed.where("n > 0 and doc is not null").groupBy("mark").agg(F.min("doc").alias("doc"), *([F.count_distinct("doc").alias("copies")] if count_links else []))
-    if count_links:
-        first = written(first, "first")
-    candidates = written(few.distinct().join(first.select("doc"), "doc"), "candidates")
+    named = signed.where("n > 0 and doc is not null")
+    first = written(named.groupBy("mark").agg(F.min("doc").alias("doc"), *([F.count_distinct("doc").alias("copies")] if count_links else [])), "first")
+    several = named.groupBy("doc").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("doc")
+    tied = named.join(several, "doc").select(F.col("doc").alias("a"), "mark").join(first.select(F.col("doc").alias("b"), "mark"), "mark").where("a <> b").select("a", "b")
+    candidates = written(few.distinct().join(first.select("doc").distinct(), "doc"), "candidates")
     if candidates.count() <= BROADCAST_IDS:
         candidates = F.broadcast(candidates)
-    tokens = written(base.join(candidates, "doc").mapInArrow(lambda it: _tokens(it, width), "doc long, tokens binary"), "tokens")
+    tokens = written(base.join(candidates, "doc").mapInArrow(lambda it: _tokens(it, width), "doc long, n long, mark binary, tokens binary"), "tokens")
 
     total = tokens.agg(F.sum(F.length("tokens"))).first()[0] or 0
     tasks = max(n, -(-total // (8 * BUCKET_SHINGLES)))
-    lists = min(2 * tasks, 32_000)
-    every = tokens.mapInArrow(lambda it: _postings(it, lists, *sent.value), "bucket int, batch long, counts binary, tokens binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
+    lists = 2 * tasks
+    every = tokens.select("doc", "tokens").mapInArrow(lambda it: _postings(it, lists, *sent.value), "bucket int, batch long, counts binary, tokens binary").repartition(tasks, "bucket").sortWithinPartitions("bucket")
     timed = every.mapInArrow(_times, "bucket int, batch long, counts binary, tokens binary, times binary")
-    postings = written(timed.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: _prefixes(it, percent), "doc long, n long, shingle long"), "prefixes")
-    hubs = postings.groupBy("shingle").agg(F.min("doc").alias("hub"))
-    stars = postings.join(hubs, "shingle").where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
-    sizes = postings.groupBy("doc").agg(F.max("n").alias("n"))
-    blocks = connected_components(stars).withColumnRenamed("node", "doc").join(sizes, "doc")
+    postings = written(timed.repartition(tasks, "batch").sortWithinPartitions("batch").mapInArrow(lambda it: _prefixes(it, percent), "doc long, n long, shingle long, pieces int, piece int"), "prefixes")
+    sizes = postings.select("doc", "n").distinct()
+    blocks = connected_components(_met(postings)).withColumnRenamed("node", "doc").join(sizes, "doc")
     blocks = written(blocks.withColumn("class", F.floor(F.log("n") / (math.log(100 / percent) * 1.0001)).cast("int")), "blocks")
+    deal = lambda df: df.repartition(n, "block").sortWithinPartitions("block", "doc")
     if not count_links:
-        links = written(tokens.join(_assigned(blocks), "doc").repartition(n, "block").sortWithinPartitions("block", "doc").mapInArrow(lambda it: _search(it, percent), "a long, b long"), "links")
+        links = written(deal(tokens.select("doc", "n", "tokens").join(_assigned(blocks), ["doc", "n"])).mapInArrow(lambda it: _search(it, percent), "a long, b long"), "links")
     else:
-        met = tokens.join(_assigned(blocks).join(first.select("doc", "copies"), "doc"), "doc")
-        found = written(met.repartition(n, "block").sortWithinPartitions("block", "doc").mapInArrow(lambda it: _search_all(it, percent), "a long, b long, n_links long"), "links")
+        met = tokens.join(first, ["doc", "mark"]).join(_assigned(blocks), ["doc", "n"])
+        found = written(deal(met).mapInArrow(lambda it: _search_all(it, percent), "a long, b long, mark binary, n_links long"), "links")
         links = found.where("b is not null").select("a", "b")
+    links = links.unionByName(tied)
     parts = connected_components(links).withColumnRenamed("node", "doc")
     marked = first.join(parts, "doc", "left")
     if count_links:
-        degrees = found.where("b is null").groupBy(F.col("a").alias("doc")).agg(F.sum("n_links").alias("n_links"))
-        marked = marked.join(degrees, "doc", "left")
+        degrees = found.where("mark is not null").groupBy("mark").agg(F.sum("n_links").alias("n_links"))
+        marked = marked.join(degrees, "mark", "left")
     extra = [(F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links")] if count_links else []
 
     marked = marked.select(F.col("mark").alias("m"), F.coalesce("component", "doc").alias("component"), *extra)
@@ -585,27 +631,28 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, co
 
 def _tokens(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for ids, texts in _texts(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([shingles(t or b"", width).tobytes() for t in texts], pa.binary())], names=["doc", "tokens"])
+        sets = [shingles(t or b"", width) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.array([_mark(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc", "n", "mark", "tokens"])
 
 
 def _assigned(blocks: DataFrame) -> DataFrame:
-    """(doc, block, side): the search blocks each document takes part in; one, unless its block is too large for a task."""
+    """(doc, n, block, side): the search blocks each document takes part in; one, unless its block is too large for a task."""
     total = blocks.groupBy("component").agg(F.sum("n").alias("total"))
     sized = blocks.join(total, "component")
-    small = sized.where(F.col("total") <= BLOCK_SHINGLES).select("doc", F.xxhash64("component").alias("block"), F.lit(0).alias("side"))
+    small = sized.where(F.col("total") <= BLOCK_SHINGLES).select("doc", "n", F.xxhash64("component").alias("block"), F.lit(0).alias("side"))
     large = sized.where(F.col("total") > BLOCK_SHINGLES)
     chunks = large.groupBy("component", "class").agg(F.ceil(F.sum("n") / (BLOCK_SHINGLES // 2)).cast("int").alias("k"))
     salted = large.join(chunks, ["component", "class"]).withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     key = lambda c1, s1, c2, s2: F.xxhash64("component", c1, s1, c2, s2)
     every = salted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    within = every.select("doc", key("class", F.least("salt", "other"), "class", F.greatest("salt", "other")).alias("block"), F.when(F.col("salt") == F.col("other"), 0).otherwise(F.when(F.col("salt") < F.col("other"), 1).otherwise(2)).alias("side"))
+    within = every.select("doc", "n", key("class", F.least("salt", "other"), "class", F.greatest("salt", "other")).alias("block"), F.when(F.col("salt") == F.col("other"), 0).otherwise(F.when(F.col("salt") < F.col("other"), 1).otherwise(2)).alias("side"))
     parts = [small, within]
     for step in (1, -1):
         near = chunks.select("component", (F.col("class") - step).alias("class"), F.col("k").alias("k2"))
         across = salted.join(near, ["component", "class"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k2") - 1)))
         there = F.col("class") + step
         pair = key("class", "salt", there, "other") if step == 1 else key(there, "other", "class", "salt")
-        parts.append(across.select("doc", pair.alias("block"), F.lit(1 if step == 1 else 2).alias("side")))
+        parts.append(across.select("doc", "n", pair.alias("block"), F.lit(1 if step == 1 else 2).alias("side")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
