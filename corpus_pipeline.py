@@ -12,32 +12,56 @@ from bookglass.llm.common import written
 from bookglass.llm.queries import VOCABULARY, table
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """docs with doc_id, text and n_chars under these names and its other columns under names that no operator uses."""
+    return docs.toDF(*(c if c in ("doc_id", "text", "n_chars") else f"__in{i}" for i, c in enumerate(docs.columns)))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic (score of 0.3 and more) go."""
-    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, lexicon, threshold=0.3, keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(*docs.columns)
+    """Documents predicted toxic (score of 0.3 and more) go.
+
+    Null and empty texts hold no term and stay; equal texts fare alike; null and repeated ids stay row by row. Columns of
+    any names pass through. No documents give none; without toxic labels all have the labels' share as their score.
+    """
+    own = _apart(docs)
+    lexicon = toxicity.learn(own, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(own, lexicon, threshold=0.3, keep=tuple(own.columns))
+    return scored.where("predicted = 0").select(*own.columns).toDF(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of 40 code points that 5 documents share stay in the largest doc_id alone; n_chars follows the text."""
-    kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, min_chars=40, min_docs=5))
+    """Lines of 40 code points that 5 documents share stay in the largest doc_id alone; n_chars, if there is one, follows the text.
+
+    A null text stays null. Rows with a null id keep all lines; rows that repeat an id count as one document. A document
+    that loses all its lines keeps an empty text. Columns of any names pass through. No documents give none.
+    """
+    own = _apart(docs)
+    kept = linededup.apply_bitmaps(own, linededup.keep_bitmaps(own, min_chars=40, min_docs=5))
     changed = F.col("n_dropped") > 0
     columns = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
-    return kept.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
+    return kept.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in own.columns)).toDF(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 5-word shingles at a Jaccard likeness of 0.8, the smallest doc_id stays."""
-    groups = jaccard.jaccard_components(docs, width=5, percent=80)
-    gone = groups.where("component_id <> doc").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by 5-word shingles at a Jaccard likeness of 0.8, the smallest doc_id stays.
+
+    Texts that are null, empty or without words, and rows with a null id, link with nothing and stay. Rows that repeat an
+    id are one document and stay or go together. Columns of any names pass through. No documents give none.
+    """
+    groups = jaccard.jaccard_components(_apart(docs), width=5, percent=80)
+    gone = groups.where("component_id <> doc").select(F.col("doc").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item within its edit budget go."""
-    found = decontam.contaminated_regions(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold a benchmark item within its edit budget go.
+
+    Null and empty texts hold nothing and stay, as do rows with a null id; rows that repeat an id go together. Columns of
+    any names pass through. No documents give none; an empty benchmark lets all stay.
+    """
+    found = decontam.contaminated_regions(_apart(docs), table(spark, sf_dir, "benchmark"))
+    gone = found.select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
