@@ -17,21 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; a null text counts as empty, repeated rows get a row each."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every document: 3-word shingles, likeness of 0.9; texts without words link with nothing."""
     out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90, count_links=True)
     return out.withColumnRenamed("doc", "doc_id")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256 of every document: lines of 40 code points in 5 documents stay in the largest doc_id alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.apply_bitmaps(docs, linededup.keep_bitmaps(docs, min_chars=40, min_docs=5))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, and one of control strings, what is read back from its formatted examples; null texts and roles are empty."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.range(2).select(F.lit(-7).cast(turns.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(turns.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -39,11 +43,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page, read back from the archives that hold all pages; null html is an empty payload."""
     archives = written(warc.write_archives(table(spark, sf_dir, "pages")), "warc")
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, by a lexicon of labels outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score_documents(docs, lexicon, threshold=0.3)
@@ -51,14 +57,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, with their likeness and that to the next document."""
     return sketch.edit_likeness(table(spark, sf_dir, "documents"))
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page, by templates of its host or domain."""
     return wrapper.extract_text(table(spark, sf_dir, "pages"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document, by a model of labels outside the held-out third."""
     docs = table(spark, sf_dir, "documents")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
     out = quality.score_documents(docs, model, threshold=0.5)
@@ -66,10 +75,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, start, end, edits, item_chars of each region of a document that is a benchmark item within its edit budget."""
     return decontam.contaminated_regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of what the five stages keep."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

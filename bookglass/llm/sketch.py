@@ -85,7 +85,7 @@ def with_next(docs: DataFrame, columns: dict[str, Column], *, id_col: str = "doc
     ids = docs.select(key.alias("id"))
     wanted = max(1, min(10_000, max(4 * partitions(docs.sparkSession), -(-ids.count() // rows_per_chunk))))
     cuts = ids.agg(F.percentile_approx("id", [i / wanted for i in range(1, wanted)] or [0.5], 10 * wanted).alias("q")).first()["q"] or []
-    tops = sorted(r["m"] for r in ids.groupBy(_below(F.col("id"), sorted(set(cuts)))).agg(F.max("id").alias("m")).collect())
+    tops = sorted(r["m"] for r in ids.withColumn("__chunk", _below(F.col("id"), sorted(set(cuts)))).groupBy("__chunk").agg(F.max("id").alias("m")).collect())
     last = len(tops)
     rows = docs.withColumn("__id", key).withColumn("__chunk", _below(F.col("__id"), tops))
     is_top = F.element_at(F.lit(np.array(tops or [0], np.int64)), (F.col("__chunk") + 1).cast("int")) == F.col("__id")
@@ -119,7 +119,8 @@ def edit_likeness(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     Columns id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, distinct_shingles. The
     text is shuffled once, by chunks of the id order (with_next). Null texts count as empty; two empty texts have
-    likeness 1, an empty and another 0. Other columns are not read.
+    likeness 1, an empty and another 0; equal texts have equal fingerprints. Null ids count as the smallest; rows that
+    repeat an id follow each other in the order of their text. Other columns are not read. No rows give none.
     """
     d = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     d = d.withColumn("sketch", bottom_k(shingle_hashes(F.col("text"), width), k))

@@ -1,6 +1,5 @@
 """The corpus operators against brute force, round trips and their edge cases."""
 
-import base64
 import collections
 import hashlib
 import random
@@ -36,7 +35,6 @@ def test_bpe_equals_tiktoken(spark):
     out = bpe.encode_documents(docs(spark, EDGE), path, public_tokenizers.PATTERN, columns=("n_tokens", "decoded")).collect()
     assert len(out) == len(EDGE) and {r.decoded for r in out if r.doc_id in (1, 2)} == {""}
     assert bpe.encode_documents(docs(spark, []), path, public_tokenizers.PATTERN).count() == 0
-    assert base64 is not None
 
 
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
