@@ -11,7 +11,7 @@ from bookglass.functions.exprs import AGE, corr_safe, quantile, safe_div, tidy
 from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
 from bookglass.operators import models
-from bookglass.plans import comparisons
+from bookglass.plans import comparisons, research
 from bookglass.plans.sql import ORACLE
 from bookglass.sources.adapters import view
 
@@ -382,7 +382,7 @@ def k_month_fraction(t):
     return ev.month_fraction(in_months(t), 0.1).groupBy("month").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids"))
 
 
-for _f in comparisons.QUERIES.values():
+for _f in (comparisons.QUERIES | research.QUERIES).values():
     query(_f)
 
 
@@ -391,4 +391,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (ORACLE | comparisons.ORACLE).items() if k in _queries}
+    return {k: v for k, v in (ORACLE | comparisons.ORACLE | research.ORACLE).items() if k in _queries}

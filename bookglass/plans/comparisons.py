@@ -121,7 +121,7 @@ def g_bucket_shares(t):
     return cp.bucket_shares(scored(t), "regime", F.when(early, "train").otherwise("later"), early)
 
 
-@query(f"{sql_views('wide')}, {DRIFT}, c(threshold) AS (VALUES (0.1::DOUBLE), (0.3), (0.5)) SELECT threshold, count(*) FILTER (WHERE NOT coalesce(shift >= threshold, false)) AS kept, count(*) FILTER (WHERE coalesce(shift >= threshold, false)) AS dropped FROM e, c GROUP BY threshold")
+@query(f"{sql_views('wide')}, {DRIFT}, c(threshold) AS (VALUES (0.1::DOUBLE), (0.3), (0.5)) SELECT {r('threshold')} AS threshold, count(*) FILTER (WHERE NOT coalesce(shift >= threshold, false)) AS kept, count(*) FILTER (WHERE coalesce(shift >= threshold, false)) AS dropped FROM e, c GROUP BY c.threshold")
 def g_drift_pruning(t):
     return cp.kept_features(ev.drift(t("wide"), WIDE), [0.1, 0.3, 0.5])
 
@@ -179,10 +179,11 @@ def h_equity_points(t):
     return cp.month_equity(scored(t), 21)
 
 
-@query(f"{sql_views('market')}, {BOOK}, m AS (SELECT avg(mid) AS a, greatest(stddev_pop(mid), 1e-6) AS b, avg(spread) AS c, greatest(stddev_pop(spread), 1e-6) AS d FROM book WHERE sample_id % 4 <> 0) SELECT row_id, {cols({'mid': 'CASE WHEN mid IS NULL THEN 0 ELSE greatest(-6, least(6, (mid - a) / b)) END', 'spread': 'CASE WHEN spread IS NULL THEN 0 ELSE greatest(-6, least(6, (spread - c) / d)) END'})} FROM book, m")
+@query(f"{sql_views('market')}, {BOOK}, m AS (SELECT avg(mid) AS a, greatest(stddev_pop(mid), 1e-6) AS b, avg(spread) AS c, greatest(stddev_pop(spread), 1e-6) AS d FROM book WHERE sample_id % 4 <> 0) SELECT row_id, {cols({'mid': 'CASE WHEN mid IS NULL THEN 0 ELSE round(greatest(-6, least(6, (mid - a) / b)), 9) END', 'spread': 'CASE WHEN spread IS NULL THEN 0 ELSE round(greatest(-6, least(6, (spread - c) / d)), 9) END'})} FROM book, m")
 def i_channel_scaling(t):
     q = ft.book(t("market")).select("row_id", "sample_id", "mid", "spread")
-    return cp.channel_scaling(q, ["mid", "spread"], F.col("sample_id") % 4 != 0).drop("sample_id")
+    z = cp.channel_scaling(q, ["mid", "spread"], F.col("sample_id") % 4 != 0)
+    return z.select("row_id", *(F.round(c, 9).alias(c) for c in ("mid", "spread")))  # a z-score's error is that of the mean
 
 
 @query(f"{S} SELECT sample_id, {r('y')} AS y FROM s ORDER BY (sample_id * 7919) % 10007, sample_id LIMIT 100")

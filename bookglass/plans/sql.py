@@ -1,8 +1,8 @@
-"""DuckDB SQL of the registered queries, over the same views. Floats are rounded to six digits on both sides."""
+"""DuckDB SQL of the registered queries, over the same views. Floats lose their last bits on both sides (see ``tidy``)."""
 
 from __future__ import annotations
 
-from bookglass.functions.exprs import EVENT_WINDOWS, MARKET_WINDOWS, label
+from bookglass.functions.exprs import EVENT_WINDOWS, GRID, MARKET_WINDOWS, SPLIT, label
 from bookglass.operators.evaluation import FOLDS
 from bookglass.sources.adapters import sql_views
 
@@ -20,7 +20,8 @@ WIDE = ["mkt_quantity", "mkt_price", "ord_discount", "ord_tax", "txn_quantity_co
 
 
 def r(e: str) -> str:
-    return f"round({e}, 6) + 0.0"
+    x = f"((({e}) + {GRID}) - {GRID})"
+    return f"({x} * {SPLIT} - ({x} * {SPLIT} - {x})) + 0e0"
 
 
 def cols(pairs: dict[str, str], counts: tuple[str, ...] = ()) -> str:
@@ -171,9 +172,9 @@ i AS (SELECT DISTINCT sample_id, least(n, 60) AS n FROM k), g AS (SELECT sample_
 SELECT g.sample_id, (60 - g.back)::INT AS step, {cols({'mid': 'k.mid', 'spread': 'k.spread'})}, (g.back <= g.n)::INT AS valid FROM g JOIN k ON g.sample_id = k.sample_id AND k.back = least(g.back, g.n)""",
     "e_block_autocorrelation": f"{S}, b AS (SELECT month, (row_number() OVER (PARTITION BY month ORDER BY sample_id) - 1) // 10 AS block, ln(regime) AS x FROM s), c AS (SELECT month, block, avg(x) AS x FROM b GROUP BY month, block), d AS (SELECT *, lag(x) OVER (PARTITION BY month ORDER BY block) AS before FROM c) SELECT month, count(*) AS blocks, {r('CASE WHEN count(*) >= 3 THEN ' + corr('x', 'before') + ' END')} AS r FROM d GROUP BY month",
     "b_prediction_reshaping": f"{S} SELECT sample_id, {cols({'centred': 'p1 - avg(p1) OVER (PARTITION BY month)', 'power': 'sign(p1) * sqrt(abs(p1))', 'place': '(rank() OVER (PARTITION BY month ORDER BY p1)) + ((count(*) OVER (PARTITION BY month, p1)) - 1) / 2'})} FROM s",
-    "b_row_weights": f"{S}, w AS (SELECT sample_id, sqrt(abs(y)) AS w FROM s), q AS (SELECT quantile_cont(w, 0.01) AS low FROM w WHERE w > 0), g AS (SELECT sample_id, greatest(w, low) AS w FROM w, q) SELECT sample_id, {r('w / (SELECT avg(w) FROM g)')} AS weight FROM g",
+    "b_row_weights": f"{S}, w AS (SELECT sample_id, sqrt(abs(y)) AS w FROM s), q AS (SELECT quantile_cont(w, 0.01) AS low FROM w WHERE w > 0), g AS (SELECT sample_id, greatest(w, low) AS w FROM w, q), h AS (SELECT sample_id, w / (SELECT avg(w) FROM g) AS w FROM g) SELECT sample_id, {r('w')} AS weight FROM h",
     "f_training_windows": f"{S}, t AS (SELECT * FROM (VALUES ('cumulative', 36, 0, 34), ('cumulative', 48, 0, 46), ('cumulative', 60, 0, 58), ('fixed', 36, 23, 34), ('fixed', 48, 35, 46), ('fixed', 60, 47, 58)) v(kind, val_start, lo, hi)) SELECT kind, val_start, count(*) AS n, min(month) AS first, max(month) AS last, {r('avg(y)')} AS mean FROM s JOIN t ON month BETWEEN lo AND hi GROUP BY kind, val_start",
-    "h_fraction_sweep": f"{S}, k AS (SELECT *, row_number() OVER (ORDER BY abs(p1) DESC, sample_id) AS place FROM s WHERE p1 <> 0), f AS (SELECT unnest([0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS fraction) SELECT fraction, count(*) AS trades, {r('sum(sign(p1) * y - 1e-4)')} AS total, {r('avg(sign(p1) * y - 1e-4)')} AS mean FROM k JOIN f ON place <= ceil(fraction * (SELECT count(*) FROM s)) GROUP BY fraction",
+    "h_fraction_sweep": f"{S}, k AS (SELECT *, row_number() OVER (ORDER BY abs(p1) DESC, sample_id) AS place FROM s WHERE p1 <> 0), f AS (SELECT unnest([0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS fraction) SELECT {r('fraction')} AS fraction, count(*) AS trades, {r('sum(sign(p1) * y - 1e-4)')} AS total, {r('avg(sign(p1) * y - 1e-4)')} AS mean FROM k JOIN f ON place <= ceil(fraction * (SELECT count(*) FROM s)) GROUP BY f.fraction",
     "k_month_fraction": f"{S}, k AS (SELECT month, sample_id, row_number() OVER (PARTITION BY month ORDER BY (sample_id * 7919) % 10007, sample_id) AS n, count(*) OVER (PARTITION BY month) AS total FROM s) SELECT month, count(*) AS n, sum(sample_id)::BIGINT AS ids FROM k WHERE n <= round(total * 0.1::DOUBLE) GROUP BY month",
     "f_fold_rows": f"{S}, {FOLD_ROWS} SELECT fold, role, count(*) AS n, min(month) AS first, max(month) AS last FROM fr GROUP BY fold, role",
     "f_fold_leakage": f"{S}, {FOLD_ROWS}, a AS (SELECT fold, max(month) FILTER (WHERE role = 'train') AS last_train, min(month) FILTER (WHERE role = 'val') AS first_val, max(month) AS last_month FROM fr GROUP BY fold) SELECT *, first_val - last_train - 1 AS embargo, last_train >= first_val OR last_month >= 65 AS leaks FROM a",

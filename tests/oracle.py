@@ -19,7 +19,7 @@ def same(a, b):
     if a is None or b is None:
         return a is b
     if isinstance(a, float) or isinstance(b, float):
-        return math.isclose(a, b, rel_tol=1e-9, abs_tol=2e-6)
+        return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-12)
     return a == b
 
 
@@ -31,7 +31,7 @@ def differences(df, sql, con):
         return f"columns differ: {sorted(set(names) ^ set(df.columns))}"
     order = sorted(names)
     pick = [names.index(n) for n in order]
-    key = lambda r: tuple((x is None, str(x) if not isinstance(x, float) else f"{x:.4f}") for x in r)
+    key = lambda r: tuple((x is None, str(x) if not isinstance(x, float) else f"{x:.6g}") for x in r)
     want = sorted((tuple(r[i] for i in pick) for r in want), key=key)
     got = sorted((tuple(r[n] for n in order) for r in df.select(*order).collect()), key=key)
     if len(got) != len(want):
