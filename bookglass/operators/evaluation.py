@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import corr_safe, cosine, quantile, safe_div
 
-#: First and last month of each fold's training and validation; months between are the embargo.
+# Folds, costs, shares of traded rows.
+#: First and last month of each fold's training and validation; months between are the embargo.
 FOLDS = [(1, 0, 34, 36, 40), (2, 0, 40, 42, 46), (3, 0, 46, 48, 52), (4, 0, 52, 54, 58), (5, 0, 58, 60, 64)]
 COSTS_BPS = [0.0, 1.0, 2.0, 5.0]
 FRACTIONS = [0.05, 0.1, 0.2, 0.5, 1.0]
 
 
 def metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p1") -> DataFrame:
-    """Cosine, MAE, RMSE, Pearson (0 if constant) and directional accuracy (without y = 0) per group, in one pass."""
-    a, b = F.col(y), F.col(p)
-    return df.groupBy(*by).agg(cosine(a, b).alias("cosine"), F.avg(F.abs(a - b)).alias("mae"), F.sqrt(F.avg((a - b) * (a - b))).alias("rmse"), F.coalesce(corr_safe(a, b), F.lit(0.0)).alias("pearson"), F.coalesce(F.avg(F.when(a != 0, (F.signum(a) == F.signum(b)).cast("double"))), F.lit(0.0)).alias("direction"), F.count("*").alias("n"))
+    """Cosine, MAE, RMSE, Pearson (0 if constant) and directional accuracy (without y = 0) per group.
+
+    A first aggregate gives each group's largest |y|, |p| and |y - p|; squares are taken of values over these, so they
+    neither over- nor underflow. Groups of null keys are one group. An infinite residual leaves an infinite error.
+    """
+    scales = df.groupBy(*by).agg(*(F.max(F.abs(x)).alias(n) for n, x in (("__y", F.col(y)), ("__p", F.col(p)), ("__r", F.col(y) - F.col(p)))))
+    if by:
+        keys = scales.select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), "__y", "__p", "__r")
+        on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)]
+        df = df.join(keys, on, "left")
+    else:
+        df = df.crossJoin(F.broadcast(scales))
+    over = lambda x, m: F.when(F.col(m) > 0, x / F.col(m)).otherwise(x)
+    a, b, d = F.col(y), F.col(p), F.col(y) - F.col(p)
+    ys, ps, rs = over(a, "__y"), over(b, "__p"), over(d, "__r")
+    return df.groupBy(*by).agg(cosine(ys, ps).alias("cosine"), F.avg(F.abs(d)).alias("mae"), (F.max("__r") * F.sqrt(F.avg(rs * rs))).alias("rmse"), F.coalesce(corr_safe(ys, ps), F.lit(0.0)).alias("pearson"), F.coalesce(F.avg(F.when(a != 0, (F.signum(a) == F.signum(b)).cast("double"))), F.lit(0.0)).alias("direction"), F.count("*").alias("n"))
 
 
 def input_faults(df: DataFrame, y: str = "y", p: str = "p1") -> DataFrame:
@@ -55,9 +71,37 @@ def decomposition(df: DataFrame, group: str, y: str = "y", p: str = "p1") -> Dat
     return g.select(group, "n", F.coalesce(safe_div(F.col("yp"), own), F.lit(0.0)).alias("cosine"), safe_div(own, norm).alias("weight"), (F.col("n") / F.sum("n").over(every)).alias("count_weight"), safe_div(F.col("yp"), norm).alias("contribution"))
 
 
+def exact_quantiles(df: DataFrame, x: str | Column, qs: dict[str, float]) -> DataFrame:
+    """One row of exact, linearly interpolated quantiles of the values that aren't null; nulls if there are none.
+
+    Rows are counted and an approximate pass brackets each quantile; then values below a bracket are counted, and only the bracket's distinct
+    values, under a thousandth of all ranks, are put in order, so no task holds the column.
+    """
+    d = df.select((F.col(x) if isinstance(x, str) else x).cast("double").alias("v")).where(F.col("v").isNotNull())
+    n = d.count()
+    if not n:
+        return d.agg(*(F.max("v").alias(name) for name in qs))
+    wide = 3e-4 + 2 / n  # the approximate ranks' error, and the neighbours
+    cuts = d.agg(F.percentile_approx("v", [min(1.0, max(0.0, q + e)) for q in qs.values() for e in (-wide, wide)], 10_000)).first()[0]
+    brackets = [(cuts[2 * i], cuts[2 * i + 1]) for i in range(len(qs))]
+    v = F.col("v")
+    inside = F.filter(F.array(*(F.when(v.between(lo, hi), F.lit(i)) for i, (lo, hi) in enumerate(brackets))), lambda i: i.isNotNull())
+    below = d.agg(*(F.count_if(v < lo).alias(f"below{i}") for i, (lo, _) in enumerate(brackets)))
+    counts = d.select("v", F.explode(inside).alias("i")).groupBy("i", "v").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("v"))).crossJoin(F.broadcast(below))
+
+    def of(i: int, q: float) -> Column:
+        at = q * (n - 1)
+        rank = lambda k: F.min(F.when((F.col("i") == i) & (F.col("upto") + F.col(f"below{i}") > k), v))
+        lo, hi = rank(int(at)), rank(min(int(at) + 1, n - 1))
+        return lo + (hi - lo) * (at - int(at))
+
+    return upto.agg(*(of(i, q).alias(name) for i, (name, q) in enumerate(qs.items())))
+
+
 def quartiles(df: DataFrame, x: str) -> DataFrame:
     """df with quartile 1 to 4 of x: exact edges, right-closed, the lowest value in the first; null stays null."""
-    edges = df.agg(*(quantile(x, q).alias(f"__q{i}") for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))))
+    edges = exact_quantiles(df, x, {"__q1": 0.25, "__q2": 0.5, "__q3": 0.75})
     c = F.col(x)
     return df.crossJoin(F.broadcast(edges)).withColumn("quartile", F.when(c.isNull(), None).when(c <= F.col("__q1"), 1).when(c <= F.col("__q2"), 2).when(c <= F.col("__q3"), 3).otherwise(4)).drop("__q1", "__q2", "__q3")
 
@@ -67,21 +111,44 @@ def long_form(df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
 
 
 def drift(df: DataFrame, features: list[str]) -> DataFrame:
-    """Per feature, moments and null rates in the train and test split, and the shift in deviations of train."""
-    s = long_form(df, features, ["split"]).groupBy("feature").pivot("split", ["train", "test"]).agg(F.avg("value").alias("mean"), F.stddev("value").alias("std"), F.avg(F.col("value").isNull().cast("double")).alias("nulls"))
-    return s.select("feature", F.col("train_mean").alias("mean_train"), F.col("test_mean").alias("mean_test"), safe_div(F.abs(F.col("test_mean") - F.col("train_mean")), F.col("train_std")).alias("shift"), safe_div(F.col("test_std"), F.col("train_std")).alias("std_ratio"), (F.col("test_nulls") - F.col("train_nulls")).alias("null_delta"))
+    """Per feature, moments and null rates in the train and test split, and the shift in deviations of train. All features
+    are summed side by side in one pass; what is turned into rows are the two splits' sums."""
+    each = [F.struct(F.lit(f).alias("feature"), F.avg(f).alias("mean"), F.stddev(f).alias("std"), F.avg(F.col(f).isNull().cast("double")).alias("nulls")) for f in features]
+    s = df.groupBy("split").agg(F.array(*each).alias("a")).select("split", F.inline("a"))
+    one = s.groupBy("feature").agg(*(F.max(F.when(F.col("split") == x, F.col(c))).alias(f"{x}_{c}") for x in ("train", "test") for c in ("mean", "std", "nulls")))
+    return one.select("feature", F.col("train_mean").alias("mean_train"), F.col("test_mean").alias("mean_test"), safe_div(F.abs(F.col("test_mean") - F.col("train_mean")), F.col("train_std")).alias("shift"), safe_div(F.col("test_std"), F.col("train_std")).alias("std_ratio"), (F.col("test_nulls") - F.col("train_nulls")).alias("null_delta"))
 
 
 def drift_summary(d: DataFrame) -> DataFrame:
     return d.agg(F.count("*").alias("features"), *(F.count_if(F.col("shift") >= x).alias(f"above_{str(x).replace('.', 'p')}") for x in (0.1, 0.3, 0.5)), quantile("shift", 0.5).alias("median_shift"), F.max("shift").alias("max_shift"), F.count_if(F.abs("null_delta") > 0.01).alias("null_changes"))
 
 
+def _grams(batches: Iterator[pd.DataFrame], middle: np.ndarray) -> Iterator[pd.DataFrame]:
+    """(i, j, s): of a partition's rows, the sums of products of columns i and j, each less its middle, nulls as 0."""
+    k, gram = len(middle), None
+    for b in batches:
+        x = np.nan_to_num(b.to_numpy(np.float64), nan=0.0) - middle
+        gram = x.T @ x if gram is None else gram + x.T @ x
+    if gram is not None:
+        i, j = np.triu_indices(k)
+        yield pd.DataFrame({"i": i, "j": j, "s": gram[i, j]})
+
+
 def correlation_pairs(df: DataFrame, features: list[str]) -> DataFrame:
-    """|r| of every two features, nulls as 0, from one pass of pre-aggregated sums: features are a bounded list, rows aren't joined."""
+    """|r| of every two features, nulls as 0; 0 where one is constant.
+
+    Means come first; then each partition sums the products of its centred rows by one matrix product per batch and sends
+    one number per pair, so hundreds of features are no more expressions than a few, and rows are never joined.
+    """
     filled = df.select(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features))
-    pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
-    one = filled.agg(*(F.coalesce(corr_safe(F.col(a), F.col(b)), F.lit(0.0)).alias(f"{a}|{b}") for a, b in pairs))
-    return one.unpivot([], list(one.columns), "pair", "r").select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), F.abs("r").alias("r"))
+    means = filled.agg(*(F.avg(f).alias(f"m{i}") for i, f in enumerate(features))).first()
+    middle = np.array([m or 0.0 for m in means])
+    sums = filled.mapInPandas(lambda it: _grams(it, middle), "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    names = F.array(*map(F.lit, features))
+    own = sums.where("i = j").select(F.col("i").alias("k"), F.col("s").alias("v"))
+    pairs = sums.where("i < j").join(own.select(F.col("k").alias("i"), F.col("v").alias("vi")), "i").join(own.select(F.col("k").alias("j"), F.col("v").alias("vj")), "j")
+    r = F.coalesce(safe_div(F.col("s"), F.sqrt(F.col("vi")) * F.sqrt(F.col("vj"))), F.lit(0.0))
+    return pairs.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), F.abs(r).alias("r"))
 
 
 def duplicate_groups(pairs: DataFrame, features: list[str], threshold: float = 0.999) -> DataFrame:
@@ -111,25 +178,30 @@ def ranked_signals(df: DataFrame, p: str = "p1") -> DataFrame:
     return d.join(F.broadcast(before), "__range").withColumns({"rank": F.row_number().over(own) + F.col("__before"), "signal": F.signum(p)}).drop("__size", "__range", "__before")
 
 
+def deepest_fall(trades: DataFrame, by: list[str]) -> DataFrame:
+    """max_drawdown per group of the running total of pnl over (month, sample_id), from 0: each month is summed by itself
+    as (sum, highest prefix, deepest fall), then months are chained, so no task sees all rows."""
+    w = Window.partitionBy(*by, "month").orderBy("sample_id")
+    run = trades.withColumn("eq", F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = run.withColumn("peak", F.greatest(F.lit(0.0), F.max("eq").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    month = run.groupBy(*by, "month").agg(F.sum("pnl").alias("s"), F.max("eq").alias("top"), F.min(F.col("eq") - F.col("peak")).alias("fall"), F.min("eq").alias("low"))
+    m = Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    chain = month.withColumn("before", F.coalesce(F.sum("s").over(m), F.lit(0.0)))
+    chain = chain.withColumn("high", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("before") + F.col("top")).over(m), F.lit(0.0))))
+    return chain.groupBy(*by).agg(F.min(F.least(F.col("fall"), F.col("before") + F.col("low") - F.col("high"))).alias("max_drawdown"))
+
+
 def backtest(df: DataFrame, fraction: float = 0.2, costs: list[float] | None = None, y: str = "y", p: str = "p1") -> DataFrame:
     """Trades, total, mean, volatility, Sharpe per trade, drawdown and win rate for each cost, of the largest |p| of a fraction of all rows.
 
-    The equity curve runs over (month, sample_id): each month is summed by itself as (sum, highest prefix, deepest fall),
-    then months are chained, so no task sees all rows.
+    The equity curve runs over (month, sample_id); see deepest_fall.
     """
     spark = df.sparkSession
     n = df.count()
     t = ranked_signals(df, p).where(F.col("rank") <= F.ceil(F.lit(fraction) * F.lit(n)))
     c = spark.createDataFrame([(x,) for x in (costs or COSTS_BPS)], "cost_bps double")
     t = t.crossJoin(F.broadcast(c)).withColumn("pnl", F.col("signal") * F.col(y) - F.col("cost_bps") * 1e-4)
-    w = Window.partitionBy("cost_bps", "month").orderBy("sample_id")
-    run = t.withColumn("eq", F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("peak", F.greatest(F.lit(0.0), F.max("eq").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    month = run.groupBy("cost_bps", "month").agg(F.sum("pnl").alias("s"), F.max("eq").alias("top"), F.min(F.col("eq") - F.col("peak")).alias("fall"), F.min("eq").alias("low"))
-    m = Window.partitionBy("cost_bps").orderBy("month")
-    chain = month.withColumn("before", F.coalesce(F.sum("s").over(m.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    chain = chain.withColumn("high", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("before") + F.col("top")).over(m.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))))
-    fall = chain.groupBy("cost_bps").agg(F.min(F.least(F.col("fall"), F.col("before") + F.col("low") - F.col("high"))).alias("max_drawdown"))
+    fall = deepest_fall(t, ["cost_bps"])
     s = t.groupBy("cost_bps").agg(F.count("*").alias("trades"), F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"), F.stddev("pnl").alias("volatility"), safe_div(F.avg("pnl"), F.stddev("pnl")).alias("sharpe"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
     return s.join(fall, "cost_bps")
 
@@ -163,7 +235,8 @@ def block_starts(spark: SparkSession, n: int, blocks: tuple[int, ...], draws: in
     """(block_length, draw, slot): n slots a draw, in circular blocks of adjacent slots whose starts are picked by a hash; the last block is cut at n."""
     sizes = spark.createDataFrame([(b, -(-n // b)) for b in blocks], "block_length long, many long")
     starts = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(sizes)).select("block_length", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("block"))
-    starts = starts.withColumn("start", F.pmod(F.xxhash64(F.lit(seed).cast("long"), "block_length", "draw", "block"), F.lit(n).cast("long")))
+    told = F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.col(c).cast("string") for c in ("block_length", "draw", "block"))))
+    starts = starts.withColumn("start", F.conv(F.substring(told, 1, 12), 16, 10).cast("long") % n)
     places = starts.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block_length") - 1))).where(F.col("block") * F.col("block_length") + F.col("step") < n)
     return places.select("block_length", "draw", ((F.col("start") + F.col("step")) % n).alias("slot"))
 

@@ -11,7 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookglass.functions.exprs import cosine, quantile, safe_div
+from bookglass.functions.exprs import cosine, safe_div
+from bookglass.operators.evaluation import deepest_fall, exact_quantiles
 
 # Deadband of a direction, exponents of a regime's scale, gain worth keeping, margin of a free pruning.
 DEADBAND, ALPHAS, MATERIAL_GAIN, MARGIN = 0.0, (0.0, 0.25, 0.5, 0.75, 1.0, 1.5), 0.0041, 0.001
@@ -43,7 +44,7 @@ def threshold_trades(df: DataFrame, threshold: float | None = None, fraction: fl
     """One row: trades of |p| strictly above a threshold, which is the (1 - fraction) quantile of |p| unless given, with
     turnover (share of rows traded), total, mean, volatility, Sharpe per trade, deepest fall and win rate. All 0 without a trade."""
     if threshold is None:
-        limit = df.agg(quantile(F.abs(p), 1.0 - fraction).alias("threshold"))
+        limit = exact_quantiles(df, F.abs(p), {"threshold": 1.0 - fraction})
         t = df.crossJoin(F.broadcast(limit))
     else:
         t = df.withColumn("threshold", F.lit(float(threshold)))
@@ -55,19 +56,6 @@ def threshold_trades(df: DataFrame, threshold: float | None = None, fraction: fl
     return s.join(fall, F.lit(True), "left").withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0)))
 
 
-def deepest_fall(trades: DataFrame, by: list[str]) -> DataFrame:
-    """max_drawdown per group of the running total of pnl over (month, sample_id), from 0: each month is summed by itself
-    as (sum, highest prefix, deepest fall), then months are chained, so no task sees all rows."""
-    w = Window.partitionBy(*by, "month").orderBy("sample_id")
-    run = trades.withColumn("eq", F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("peak", F.greatest(F.lit(0.0), F.max("eq").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    month = run.groupBy(*by, "month").agg(F.sum("pnl").alias("s"), F.max("eq").alias("top"), F.min(F.col("eq") - F.col("peak")).alias("fall"), F.min("eq").alias("low"))
-    m = Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    chain = month.withColumn("before", F.coalesce(F.sum("s").over(m), F.lit(0.0)))
-    chain = chain.withColumn("high", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("before") + F.col("top")).over(m), F.lit(0.0))))
-    return chain.groupBy(*by).agg(F.min(F.least(F.col("fall"), F.col("before") + F.col("low") - F.col("high"))).alias("max_drawdown"))
-
-
 def sums(df: DataFrame, features: list[str], by: list[str], y: str = "y") -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
     """(Gram matrix, products with y) of each group, by one aggregate. Groups must be few: folds, blocks, seeds."""
     k = range(len(features))

@@ -55,8 +55,7 @@ def b_book_columns(t):
 
 @query
 def c_feature_assembly(t):
-    a = ft.assemble(ft.market_features(t("market")), ft.order_features(t("order_flow")), ft.trade_features(t("trade")))
-    return a.select("sample_id", "mkt_n_snapshots", "ord_n_total", "txn_n_total", "mkt_mid_last", "ord_ofi_60s", "txn_vwap_60s")
+    return ft.assemble(ft.market_features(t("market")), ft.order_features(t("order_flow")), ft.trade_features(t("trade")))
 
 
 @query
@@ -128,7 +127,9 @@ def d_target_by_month(t):
 
 @query
 def d_target_summary(t):
-    return in_months(t).agg(F.min("y").alias("least"), quantile("y", 0.25).alias("q1"), quantile("y", 0.5).alias("q2"), quantile("y", 0.75).alias("q3"), F.max("y").alias("most"), F.avg((F.col("y") == 0).cast("double")).alias("zero_share"))
+    s = in_months(t)
+    one = s.agg(F.min("y").alias("least"), F.max("y").alias("most"), F.avg((F.col("y") == 0).cast("double")).alias("zero_share"))
+    return one.crossJoin(F.broadcast(ev.exact_quantiles(s, "y", {"q1": 0.25, "q2": 0.5, "q3": 0.75})))
 
 
 @query
@@ -173,7 +174,7 @@ def f_fold_leakage(t):
 
 @query
 def f_hashed_split(t):
-    return in_months(t).select("sample_id", (F.pmod(F.crc32(F.col("sample_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"))
+    return in_months(t).select("sample_id", (F.substring(F.md5(F.col("sample_id").cast("string")), 1, 1) < "3").alias("held_out"))
 
 
 @query
@@ -261,16 +262,7 @@ def g_block_bootstrap(t):
 
 @query
 def g_adversarial_auc(t):
-    s = t("wide").select("split", F.col("mkt_price").alias("score"))
-    values = s.groupBy("score").agg(F.count_if(F.col("split") == "test").alias("pos"), F.count_if(F.col("split") == "train").alias("neg"))
-    # Counts per value in ranges of the score, chained by range totals.
-    cuts = values.agg(F.percentile_approx("score", [i / 32 for i in range(1, 32)]).alias("q")).first()["q"] or []
-    v = values.withColumn("range", F.size(F.filter(F.lit(sorted(set(cuts))), lambda x: x < F.col("score"))) if cuts else F.lit(0))
-    own = v.withColumn("below", F.coalesce(F.sum("neg").over(Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    sums = v.groupBy("range").agg(F.sum("neg").alias("n"))
-    before = sums.select("range", (F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("range")) - F.col("n")).alias("before"))
-    j = own.join(F.broadcast(before), "range")
-    return j.agg((F.sum(F.col("pos") * (F.col("below") + F.col("before") + F.col("neg") / 2)) / F.sum("pos") / F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"))
+    return research.rs.auc(t("wide").withColumn("one", F.lit(1)), "mkt_price", F.col("split") == "test", ["one"]).select("auc", "positives")
 
 
 @query
@@ -302,7 +294,7 @@ def i_blend_weights(t):
 @query
 def i_ridge(t):
     s = in_months(t)
-    out = models.ridge(s.where("month < 60"), s.where("month >= 62"), ["p1", "p2"])
+    out = models.ridge(s.where("month < 53"), s.where("month >= 55"), ["p1", "p2"])
     return ev.metrics(out, ["month"], p="prediction")
 
 
@@ -361,7 +353,7 @@ def b_prediction_reshaping(t):
 @query
 def b_row_weights(t):
     w = in_months(t).select("sample_id", F.sqrt(F.abs("y")).alias("w"))
-    low = w.where("w > 0").agg(quantile("w", 0.01).alias("low"))
+    low = ev.exact_quantiles(w.where("w > 0"), "w", {"low": 0.01})
     g = w.crossJoin(F.broadcast(low)).select("sample_id", F.greatest("w", "low").alias("w"))
     mean = g.agg(F.avg("w").alias("mean"))
     return g.crossJoin(F.broadcast(mean)).select("sample_id", (F.col("w") / F.col("mean")).alias("weight"))

@@ -152,7 +152,7 @@ ORACLE = {
     "d_trade_features": trades(),
     "e_shape_features": shape(),
     "b_book_columns": f"{sql_views('market')}, {BOOK} SELECT row_id, sample_id, is_empty_bid, is_empty_ask, {cols({c: c for c in ('mid', 'microprice', 'total_depth', 'spread', 'rel_spread', 'depth_imb_1', 'depth_imb_12', 'ask_slope', 'bid_slope')})} FROM book",
-    "c_feature_assembly": f"WITH m AS ({market()}), o AS ({orders()}), t AS ({trades()}) SELECT m.sample_id, mkt_n_snapshots, ord_n_total, txn_n_total, mkt_mid_last, ord_ofi_60s, txn_vwap_60s FROM m JOIN o ON m.sample_id = o.sample_id JOIN t ON m.sample_id = t.sample_id",
+    "c_feature_assembly": f"WITH m AS ({market()}), o AS ({orders()}), t AS ({trades()}) SELECT m.*, o.* EXCLUDE (sample_id), t.* EXCLUDE (sample_id) FROM m JOIN o ON m.sample_id = o.sample_id JOIN t ON m.sample_id = t.sample_id",
     "c_column_groups_rejoined": f"{sql_views('market')} SELECT sample_id, count(*) AS n, sum(transaction_volume)::BIGINT AS volume, {r('avg(ask_price_2 - bid_price_1)')} AS gap FROM market GROUP BY sample_id",
     "c_alignment_proof": f"{sql_views('market', 'order_flow')} SELECT count(*) AS joined, count(*) FILTER (WHERE m.sample_id <> o.sample_id) AS key_mismatches, count(*) FILTER (WHERE abs(m.{CLOCK} / 10 - o.{CLOCK}) > 1e-9) AS clock_mismatches FROM market m JOIN order_flow o ON m.row_id = o.row_id",
     "c_asof_join": f"{sql_views('market', 'trade')}, {BOOK}, {ASOF} SELECT sample_id, row_id, {r('price')} AS price, side, {r('prevailing_mid')} AS prevailing_mid FROM j WHERE kind = 1",
@@ -176,6 +176,20 @@ SELECT g.sample_id, (60 - g.back)::INT AS step, {cols({'mid': 'k.mid', 'spread':
     "f_training_windows": f"{S}, t AS (SELECT * FROM (VALUES ('cumulative', 36, 0, 34), ('cumulative', 48, 0, 46), ('cumulative', 60, 0, 58), ('fixed', 36, 23, 34), ('fixed', 48, 35, 46), ('fixed', 60, 47, 58)) v(kind, val_start, lo, hi)) SELECT kind, val_start, count(*) AS n, min(month) AS first, max(month) AS last, {r('avg(y)')} AS mean FROM s JOIN t ON month BETWEEN lo AND hi GROUP BY kind, val_start",
     "h_fraction_sweep": f"{S}, k AS (SELECT *, row_number() OVER (ORDER BY abs(p1) DESC, sample_id) AS place FROM s WHERE p1 <> 0), f AS (SELECT unnest([0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS fraction) SELECT {r('fraction')} AS fraction, count(*) AS trades, {r('sum(sign(p1) * y - 1e-4)')} AS total, {r('avg(sign(p1) * y - 1e-4)')} AS mean FROM k JOIN f ON place <= ceil(fraction * (SELECT count(*) FROM s)) GROUP BY f.fraction",
     "k_month_fraction": f"{S}, k AS (SELECT month, sample_id, row_number() OVER (PARTITION BY month ORDER BY (sample_id * 7919) % 10007, sample_id) AS n, count(*) OVER (PARTITION BY month) AS total FROM s) SELECT month, count(*) AS n, sum(sample_id)::BIGINT AS ids FROM k WHERE n <= round(total * 0.1::DOUBLE) GROUP BY month",
+    "f_hashed_split": f"{S} SELECT sample_id, substr(md5(sample_id::VARCHAR), 1, 1) < '3' AS held_out FROM s",
+    "i_ridge": f"""{S}, m AS (SELECT avg(p1) AS m1, avg(p2) AS m2, avg(y) AS my, stddev_pop(p1) AS s1, stddev_pop(p2) AS s2, count(*)::DOUBLE AS n FROM s WHERE month < 53),
+q AS (SELECT sum((p1 - m1) / s1 * ((p2 - m2) / s2)) AS c, sum((p1 - m1) / s1 * (y - my)) AS u, sum((p2 - m2) / s2 * (y - my)) AS v FROM s, m WHERE month < 53),
+w AS (SELECT *, ((n + 10) * u - c * v) / ((n + 10) * (n + 10) - c * c) AS w1, ((n + 10) * v - c * u) / ((n + 10) * (n + 10) - c * c) AS w2 FROM m, q),
+x AS (SELECT month, y, my + w1 * (p1 - m1) / s1 + w2 * (p2 - m2) / s2 AS prediction FROM s, w WHERE month >= 55)
+SELECT month, {metric_cols('y', 'prediction')} FROM x GROUP BY month""",
+    "g_block_bootstrap": f"""{S}, m AS (SELECT month, {cos('y', 'p1')} AS p1, {cos('y', 'p2')} AS p2 FROM s GROUP BY month), n AS (SELECT count(*) AS n, min(month) AS lo FROM m),
+b AS (SELECT unnest([1, 2]) AS len), g AS (SELECT len, n, lo, (n + len - 1) // len AS many FROM b, n), st AS (SELECT len, n, lo, draw, unnest(range(many)) AS block FROM g, range(10000) d(draw)),
+h AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '42', len::VARCHAR, draw::VARCHAR, block::VARCHAR)), 1, 12))::BIGINT % n AS start FROM st),
+pl AS (SELECT len, draw, (start + step) % n + lo AS month FROM h, range(2) k(step) WHERE step < len AND block * len + step < n),
+d AS (SELECT len, draw, avg(p1) AS a, avg(p2) AS b, avg(p2 - p1) AS c, avg(p1 - p1) AS z FROM pl JOIN m ON pl.month = m.month GROUP BY len, draw),
+w AS (SELECT avg(p1) AS a, avg(p2) AS b, avg(p2 - p1) AS c, count(*) FILTER (WHERE p2 > p1) AS wins FROM m)
+SELECT 'p1' AS model, len::BIGINT AS block_length, (SELECT n FROM n)::BIGINT AS periods, count(*) AS draws, {cols({'mean_cosine': 'any_value(w.a)', 'interval_low': 'quantile_cont(d.a, 0.025)', 'interval_high': 'quantile_cont(d.a, 0.975)', 'paired_delta': '0e0', 'delta_low': 'quantile_cont(d.z, 0.025)', 'delta_high': 'quantile_cont(d.z, 0.975)'})}, 0::BIGINT AS wins_vs_reference FROM d, w GROUP BY len
+UNION ALL SELECT 'p2', len, (SELECT n FROM n), count(*), {cols({'mean_cosine': 'any_value(w.b)', 'interval_low': 'quantile_cont(d.b, 0.025)', 'interval_high': 'quantile_cont(d.b, 0.975)', 'paired_delta': 'any_value(w.c)', 'delta_low': 'quantile_cont(d.c, 0.025)', 'delta_high': 'quantile_cont(d.c, 0.975)'})}, any_value(w.wins) FROM d, w GROUP BY len""",
     "f_fold_rows": f"{S}, {FOLD_ROWS} SELECT fold, role, count(*) AS n, min(month) AS first, max(month) AS last FROM fr GROUP BY fold, role",
     "f_fold_leakage": f"{S}, {FOLD_ROWS}, a AS (SELECT fold, max(month) FILTER (WHERE role = 'train') AS last_train, min(month) FILTER (WHERE role = 'val') AS first_val, max(month) AS last_month FROM fr GROUP BY fold) SELECT *, first_val - last_train - 1 AS embargo, last_train >= first_val OR last_month >= 65 AS leaks FROM a",
     "g_metrics_per_month": f"{S} SELECT month, {metric_cols()} FROM s GROUP BY month",

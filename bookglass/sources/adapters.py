@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: SQL of each view, valid for Spark and DuckDB; {src} is what it reads, {micros} the clock in microseconds.
+#: SQL of each view, valid for Spark and DuckDB; the 80 calendar months of the orders are laid onto months 0 to 70; {src} is what it reads, {micros} the clock in microseconds.
 VIEWS = {
     "base": ("events", """SELECT event_id AS row_id, user_id AS sample_id, event_type, value, CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k,
   CAST((1706659200000000 - {micros}) AS DOUBLE) / 2592000000000.0E0 AS age FROM {src}"""),
@@ -23,7 +23,7 @@ VIEWS = {
   100 * (1 + k) AS volume, CAST(row_id % 2 AS INT) AS side, CASE WHEN event_type IN ('error', 'signup') THEN 1 ELSE 0 END AS order_action FROM {src}"""),
     "trade": ("base", """SELECT row_id, sample_id, age * 60.0E0 AS seconds_before_predict, 1.0E0 + (CASE WHEN event_type = 'purchase' THEN 1 ELSE -1 END) * (5.0E-4 + k * 1.0E-6) AS price,
   CAST(floor(value * 100.0E0) AS BIGINT) AS volume, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS side FROM {src} WHERE event_type IN ('purchase', 'click')"""),
-    "scored": ("orders", """SELECT o_orderkey AS sample_id, (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS month,
+    "scored": ("orders", """SELECT o_orderkey AS sample_id, CAST(floor(((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1) * 71 / 80.0E0) AS INT) AS month,
   (CAST(floor(o_totalprice) AS BIGINT) % 101 - 50) * 1.0E-4 AS y,
   (CAST(floor(o_totalprice) AS BIGINT) % 101 - 50) * 2.0E-5 + (o_custkey % 97 - 48) * 1.0E-4 AS p1,
   (CAST(floor(o_totalprice) AS BIGINT) % 101 - 50) * 1.0E-5 + (o_orderkey % 89 - 44) * 1.0E-4 AS p2,

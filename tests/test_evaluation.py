@@ -1,23 +1,19 @@
 """Operators of evaluation without SQL, against brute force."""
 
+import hashlib
 import math
-import struct
 
 import numpy as np
 import pytest
-import xxhash
 
 from bookglass.operators import evaluation as ev
 
 
 def starts(n, length, draw, seed):
-    """The draw's slots, by Spark's chained xxhash64."""
+    """The draw's slots: each block's start is told by the md5 of seed, length, draw and block."""
     out = []
     for block in range(-(-n // length)):
-        h = 42
-        for v in (seed, length, draw, block):
-            h = xxhash.xxh64_intdigest(struct.pack("<q", v), seed=h)
-        h -= (h >= 1 << 63) << 64
+        h = int(hashlib.md5(f"{seed}:{length}:{draw}:{block}".encode()).hexdigest()[:12], 16)
         out += [(h % n + k) % n for k in range(length)]
     return out[:n]
 
