@@ -135,7 +135,8 @@ def rolling_scale(df: DataFrame, x: str, width: int = 50, least: int = 10) -> Da
     w = Window.partitionBy("month").orderBy("sample_id")
     frame = w.rowsBetween(1 - width, 0)
     d = df.withColumn("__m", F.when(F.count(x).over(frame) >= least, quantile(x, 0.5).over(frame)))
-    d = d.withColumn("__m", F.coalesce("__m", F.first("__m", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    back = Window.partitionBy("month").orderBy(F.desc("sample_id")).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn("__m", F.coalesce("__m", F.last("__m", ignorenulls=True).over(back)))
     return d.withColumn("scale", safe_div(F.col("__m"), F.avg("__m").over(Window.partitionBy("month")))).drop("__m")
 
 

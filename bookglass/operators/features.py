@@ -162,7 +162,8 @@ def filled_mid(quotes: DataFrame) -> DataFrame:
     """quotes with ``filled``: the sample's last mid so far, else its next one, else 1."""
     w = Window.partitionBy("sample_id").orderBy(F.col(AGE).desc(), "row_id")
     back = F.last("mid", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("mid", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    turned = Window.partitionBy("sample_id").orderBy(AGE, F.col("row_id").desc())  # from the other end, so that the frame grows
+    ahead = F.last("mid", ignorenulls=True).over(turned.rowsBetween(Window.unboundedPreceding, 0))
     return quotes.withColumn("filled", F.coalesce(back, ahead, F.lit(1.0)))
 
 

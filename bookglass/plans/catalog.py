@@ -11,7 +11,7 @@ from bookglass.functions.exprs import AGE, corr_safe, quantile, safe_div, tidy
 from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
 from bookglass.operators import models
-from bookglass.plans import comparisons, research
+from bookglass.plans import audits, comparisons, research
 from bookglass.plans.sql import ORACLE
 from bookglass.sources.adapters import view
 
@@ -142,11 +142,7 @@ def d_histogram(t):
 
 @query
 def e_forward_fill(t):
-    w = Window.partitionBy("sample_id").orderBy(F.col(AGE).desc(), "row_id")
-    b = ft.book(t("market"))
-    back = F.last("mid", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("mid", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return b.select("row_id", F.coalesce(back, ahead, F.lit(1.0)).alias("filled"))
+    return ft.filled_mid(ft.book(t("market"))).select("row_id", "filled")
 
 
 @query
@@ -374,7 +370,7 @@ def k_month_fraction(t):
     return ev.month_fraction(in_months(t), 0.1).groupBy("month").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids"))
 
 
-for _f in (comparisons.QUERIES | research.QUERIES).values():
+for _f in (comparisons.QUERIES | research.QUERIES | audits.QUERIES).values():
     query(_f)
 
 
@@ -383,4 +379,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (ORACLE | comparisons.ORACLE | research.ORACLE).items() if k in _queries}
+    return {k: v for k, v in (ORACLE | comparisons.ORACLE | research.ORACLE | audits.ORACLE).items() if k in _queries}

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import sum_all
@@ -41,16 +42,59 @@ def publish(df: DataFrame, path: str, run_id: str) -> None:
     write_parts(df.withColumn("run_id", F.lit(run_id)), path)
 
 
+def _written(df: DataFrame, path: str, mode: str) -> int:
+    """Rows of df, counted as they are written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode(mode).parquet(path)
+    return seen.get["n"]
+
+
 def load_in_steps(parts: list[DataFrame], path: str) -> int:
     """Parts written one by one, the first of which replaces what is there; returns the rows and raises if they don't add up."""
-    for i, part in enumerate(parts):
-        part.write.mode("append" if i else "overwrite").parquet(path)
-    want, got = sum(p.count() for p in parts), parts[0].sparkSession.read.parquet(path).count()
+    want = sum(_written(part, path, "append" if i else "overwrite") for i, part in enumerate(parts))
+    got = parts[0].sparkSession.read.parquet(path).count()
     if want != got:
         raise ValueError(f"{got} rows were written, not {want}")
     return got
 
 
+def _manifest_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("part string, n_rows long, source string").parquet(f"{path}/_manifest")
+    except AnalysisException:  # no part is done yet
+        return None
+
+
+def load_resumable(parts: dict[str, DataFrame], path: str, source: str) -> tuple[int, int]:
+    """(rows, parts written now) of a load that takes up where it stopped.
+
+    Each part replaces its own folder, and only then gets a manifest row with its rows, counted while they were written, and the source's
+    identity. Parts with a row are not evaluated again. Raises where the folder holds another source's parts or stale ones, or
+    where what is read back has not the rows of the manifest; a half-written part has no row and is never read.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    rows = _manifest_rows(spark, path)
+    done = {r["part"]: r for r in rows.collect()} if rows else {}  # a row per part
+    if any(r["source"] != source for r in done.values()):
+        raise ValueError("the folder holds parts of another source")
+    if stale := sorted(done.keys() - parts.keys()):
+        raise ValueError(f"stale parts: {', '.join(stale)}")
+    left = [n for n in parts if n not in done]
+    for name in left:
+        n = _written(parts[name], f"{path}/part={name}", "overwrite")
+        spark.createDataFrame([(name, n, source)], "part string, n_rows long, source string").coalesce(1).write.mode("append").parquet(f"{path}/_manifest")
+    want, got = _manifest_rows(spark, path).agg(F.sum("n_rows")).first()[0], read_loaded(spark, path).count()
+    if want != got:
+        raise ValueError(f"{got} rows are there, not {want}")
+    return got, len(left)
+
+
+def read_loaded(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the parts that load_resumable has finished."""
+    names = sorted(r["part"] for r in _manifest_rows(spark, path).select("part").collect())
+    return spark.read.parquet(*(f"{path}/part={n}" for n in names))
+
+
 def write_submission(predictions: DataFrame, template: DataFrame, path: str, key: str = "sample_id") -> None:
     """CSV of predictions; raises unless their keys are the template's, each once."""
     p = predictions.groupBy(key).agg(F.count("*").alias("__p"))

@@ -19,6 +19,10 @@ def test_query_agrees_with_sql(spark, con, name):
         rows = df.collect()
         whole = catalog.view(spark, SF, "market").select("sample_id").distinct().count()
         assert len(rows) == 4 and sum(r.n for r in rows) == whole and len({(r.depth, r.spread) for r in rows}) == 4
+    elif name == "i_regime_descriptors":
+        rows = df.collect()
+        shares = {r.regime: r.regime_share for r in rows}
+        assert len({r.sample_id for r in rows}) == len(rows) and abs(sum(shares.values()) - 1) < 1e-9 and all(r.regime_dist >= 0 for r in rows)
     elif name == "i_boosted":
         scores = [r.cosine for r in df.collect()]
         assert sum(scores) / len(scores) > 0
