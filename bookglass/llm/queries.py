@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookglass.llm import bpe, chat, decontam, jaccard, linededup, quality, sketch, toxicity, warc, wrapper
+from bookglass.llm import bpe, centroids, chat, decontam, jaccard, linededup, quality, sketch, toxicity, warc, wrapper
 from bookglass.llm.common import crc32_mod, prepare, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -79,6 +79,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of every whole vector of embeddings: 16 centroids, 3 rounds."""
+    return centroids.cluster_report(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, seed=1)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of what the five stages keep."""
     import corpus_pipeline
@@ -87,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_chat_format, op5_warc, op6_toxicity, op7_fingerprints, op8_html_extraction, op9_quality, op10_decontamination, pipeline]
+    own = [op1_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_chat_format, op5_warc, op6_toxicity, op7_fingerprints, op8_html_extraction, op9_quality, op10_decontamination, op12_centroid_clustering, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -141,5 +146,37 @@ FROM m
 }
 
 
+def _clustering_sql(k: int = 16, rounds: int = 3) -> str:
+    """Every round as two tables: assignments, then centroids."""
+    steps = [
+        """kept AS (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64.0 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v FROM kept ORDER BY cluster LIMIT {k}
+)""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS (
+  SELECT kept.rid, kept.vec_id, kept.v, c{r}.cluster,
+    list_sum(list_transform(list_zip(kept.v, c{r}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance
+  FROM kept, c{r} QUALIFY row_number() OVER (PARTITION BY kept.rid ORDER BY distance, c{r}.cluster) = 1
+)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS (
+  SELECT c{r}.cluster, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (
+    SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS v FROM (
+      SELECT cluster, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY cluster, i
+    ) GROUP BY cluster
+  ) m ON m.cluster = c{r}.cluster
+)""")
+    return "WITH " + ", ".join(steps) + f"""
+SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+  (sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {"op12_centroid_clustering": _clustering_sql()}
