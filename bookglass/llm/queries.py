@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookglass.llm import bpe, centroids, chat, decontam, jaccard, linededup, quality, sketch, toxicity, warc, wrapper
+from bookglass.llm import bpe, centroids, chat, decontam, jaccard, linededup, manifest, quality, sketch, toxicity, warc, wrapper
 from bookglass.llm.common import crc32_mod, prepare, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -84,6 +84,11 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_report(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, seed=1)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified of every document; a third of the leaves is tampered with."""
+    return manifest.document_manifest(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of what the five stages keep."""
     import corpus_pipeline
@@ -92,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_chat_format, op5_warc, op6_toxicity, op7_fingerprints, op8_html_extraction, op9_quality, op10_decontamination, op12_centroid_clustering, pipeline]
+    own = [op1_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_chat_format, op5_warc, op6_toxicity, op7_fingerprints, op8_html_extraction, op9_quality, op10_decontamination, op12_centroid_clustering, op13_merkle_manifest, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -178,5 +183,45 @@ FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.cluster
 """
 
 
+def _levels_sql(name: str, levels: int) -> list[str]:
+    """Of nodes {name}0 (tree, no, digest), the nodes of each level; {name}r<l>: the runs of level l, where more than one node is left."""
+    steps = []
+    for n in range(levels):
+        steps.append(f"{name}r{n} AS (SELECT tree, no // 8 AS no, list(digest ORDER BY no) AS ds FROM {name}{n} WHERE tree IN (SELECT tree FROM {name}{n} WHERE no = 1) GROUP BY tree, no // 8)")
+        steps.append(f"{name}{n + 1} AS (SELECT tree, no, sha256(array_to_string(ds, '')) AS digest FROM {name}r{n} UNION ALL SELECT tree, no, digest FROM {name}{n} WHERE tree NOT IN (SELECT tree FROM {name}{n} WHERE no = 1))")
+    return steps
+
+
+def _folds_sql(rows: str, start: str, name: str, levels: int) -> list[str]:
+    """Rows (tree, no, folded, proof, ...) of {start}, folded up the levels of {name}; they end as {rows}<levels>."""
+    steps = [f"{rows}0 AS ({start})"]
+    for n in range(levels):
+        before, after = "array_to_string(r.ds[1:f.no % 8], '')", "array_to_string(r.ds[f.no % 8 + 2:], '')"
+        steps.append(f"""{rows}{n + 1} AS (SELECT f.* REPLACE (f.no // 8 AS no, CASE WHEN r.ds IS NULL THEN f.folded ELSE sha256({before} || f.folded || {after}) END AS folded,
+  CASE WHEN r.ds IS NULL THEN f.proof ELSE f.proof || {before} || {after} END AS proof) FROM {rows}{n} f LEFT JOIN {name}r{n} r ON r.tree = f.tree AND r.no = f.no // 8)""")
+    return steps
+
+
+def _manifest_sql(levels: int = 7) -> str:
+    """Levels as tables, enough for 8 ** levels documents of a language and as many languages."""
+    bits = "list_reduce([{0}, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda d: ord(d)::BIGINT)), lambda c, d: " + bits.format("xor(c, d)") + "), 4294967295)"
+    own = lambda text: "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {own('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {own(lower)} ELSE {own('text')} END AS held FROM documents)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS no FROM leaves)",
+        "n0 AS (SELECT tree, no, leaf AS digest FROM placed)",
+        *_levels_sql("n", levels),
+        f"t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS no, digest, tree AS name FROM n{levels})",
+        *_levels_sql("t", levels),
+        *_folds_sql("f", "SELECT tree, no, held AS folded, '' AS proof, doc_id, leaf FROM placed", "n", levels),
+        *_folds_sql("g", f"SELECT '' AS tree, t0.no, f.folded, f.proof, f.doc_id, f.leaf, t0.digest AS subroot FROM f{levels} f JOIN t0 ON t0.name = f.tree", "t", levels),
+    ]
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT g.doc_id, g.leaf, g.subroot, r.digest AS root, sha256(g.proof) AS proof_sha256, g.folded AS folded_root, g.folded = r.digest AS verified FROM g{levels} g, t{levels} r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return ORACLE | {"op12_centroid_clustering": _clustering_sql()}
+    return ORACLE | {"op12_centroid_clustering": _clustering_sql(), "op13_merkle_manifest": _manifest_sql()}
