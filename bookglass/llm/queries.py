@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookglass.llm import bpe, centroids, chat, decontam, jaccard, linededup, manifest, quality, sketch, toxicity, warc, wrapper
+from bookglass.llm import bpe, centroids, chat, decontam, jaccard, linededup, manifest, quality, rules, sketch, toxicity, warc, wrapper
 from bookglass.llm.common import crc32_mod, prepare, written
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -79,6 +79,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_regions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance of every document."""
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 of every whole vector of embeddings: 16 centroids, 3 rounds."""
     return centroids.cluster_report(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64.0, seed=1)
@@ -97,7 +102,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op1_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_chat_format, op5_warc, op6_toxicity, op7_fingerprints, op8_html_extraction, op9_quality, op10_decontamination, op12_centroid_clustering, op13_merkle_manifest, pipeline]
+    own = [op1_bpe, op2_ngram_jaccard_join, op3_line_dedup, op4_chat_format, op5_warc, op6_toxicity, op7_fingerprints, op8_html_extraction, op9_quality, op10_decontamination, op11_quality_rules, op12_centroid_clustering, op13_merkle_manifest, pipeline]
     return {f.__name__: f for f in own}
 
 
