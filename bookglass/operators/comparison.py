@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import corr_safe, cosine, quantile, safe_div
+from bookglass.operators.linear import column_quantiles, group_quantiles
 
 #: First and last month of each named part.
 SPLITS = [("train", 0, 63), ("stop", 64, 64), ("holdout", 65, 70)]
@@ -25,14 +26,14 @@ def month_faults(df: DataFrame, last: int = 70) -> DataFrame:
 
 def outside_band(train: DataFrame, other: DataFrame, features: list[str]) -> DataFrame:
     """(feature, n, outside): values of ``other`` outside the 0.1 % to 99.9 % band of ``train``; nulls are in no count."""
-    band = train.unpivot([], features, "feature", "value").groupBy("feature").agg(quantile("value", 0.001).alias("lo"), quantile("value", 0.999).alias("hi"))
+    band = column_quantiles(train, features, {"lo": 0.001, "hi": 0.999})
     rows = other.unpivot([], features, "feature", "value").join(F.broadcast(band), "feature")
     return rows.groupBy("feature").agg(F.count("value").alias("n"), F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outside"))
 
 
 def reference_buckets(df: DataFrame, x: str, reference: Column) -> DataFrame:
     """df with ``bucket``: the quartile of x by the exact edges of the reference rows; a null is bucket 0."""
-    e = df.where(reference).agg(*(quantile(x, q / 4).alias(f"__q{q}") for q in (1, 2, 3)))
+    e = group_quantiles(df.where(reference), [], x, {f"__q{q}": q / 4 for q in (1, 2, 3)})
     above = [F.when(F.col(x) > F.col(f"__q{q}"), 1).otherwise(0) for q in (1, 2, 3)]
     return df.crossJoin(F.broadcast(e)).withColumn("bucket", F.when(F.col(x).isNull(), 0).otherwise(1 + above[0] + above[1] + above[2])).drop("__q1", "__q2", "__q3")
 
@@ -121,14 +122,6 @@ def local_top(df: DataFrame, features: list[str], k: int, key: str = "sample_id"
     return df.select(key, F.posexplode(top).alias("place", "x")).select(key, (F.col("place") + 1).alias("place"), "x.feature", "x.value")
 
 
-def lag_correlations(df: DataFrame, lags: list[int], x: str = "y") -> DataFrame:
-    """(lag, r): correlation of x with its value some rows before, within a month and in order of the id."""
-    w = Window.partitionBy("month").orderBy("sample_id")
-    d = df.select(x, *(F.lag(x, k).over(w).alias(f"__{k}") for k in lags))
-    one = d.agg(*(corr_safe(F.col(x), F.col(f"__{k}")).alias(str(k)) for k in lags))
-    return one.unpivot([], list(one.columns), "lag", "r").withColumn("lag", F.col("lag").cast("int"))
-
-
 def rolling_scale(df: DataFrame, x: str, width: int = 50, least: int = 10) -> DataFrame:
     """df with ``scale``: the running median of the last ``width`` rows of a month (null below ``least`` rows, then the next that
     stands), over its mean in the month. A frame holds ``width`` rows at most."""
@@ -140,16 +133,6 @@ def rolling_scale(df: DataFrame, x: str, width: int = 50, least: int = 10) -> Da
     return d.withColumn("scale", safe_div(F.col("__m"), F.avg("__m").over(Window.partitionBy("month")))).drop("__m")
 
 
-def month_equity(df: DataFrame, points: int, y: str = "y", p: str = "p1") -> DataFrame:
-    """(month, equity) at evenly spaced months, both ends kept. Months are summed first; the curve runs over those sums."""
-    m = df.groupBy("month").agg(F.sum(F.signum(p) * F.col(y)).alias("s"))
-    every = Window.partitionBy(F.lit(1)).orderBy("month")
-    c = m.select("month", F.sum("s").over(every.rowsBetween(Window.unboundedPreceding, 0)).alias("equity"), (F.row_number().over(every) - 1).alias("i"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
-    # The i-th row stands if some point falls on it: floor(j * (n - 1) / (points - 1)) for j from 0.
-    j = F.ceil(F.col("i") * (points - 1) / F.greatest(F.col("n") - 1, F.lit(1)))
-    return c.where(F.floor(j * (F.col("n") - 1) / (points - 1)) == F.col("i")).select("month", "equity")
-
-
 def channel_scaling(steps: DataFrame, channels: list[str], train: Column, floor: float = 1e-6, clip: float = 6.0) -> DataFrame:
     """steps with each channel less the training mean, over the training deviation (``floor`` at least), cut to +-``clip``; null: 0."""
     m = steps.where(train).agg(*(F.avg(c).alias(f"__m_{c}") for c in channels), *(F.greatest(F.stddev_pop(c), F.lit(floor)).alias(f"__s_{c}") for c in channels))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import corr_safe, cosine, quantile, safe_div
+from bookglass.operators.ranges import equity_curve, kept, numbered
 
 # Folds, costs, shares of traded rows.
 #: First and last month of each fold's training and validation; months between are the embargo.
@@ -120,7 +122,10 @@ def drift(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def drift_summary(d: DataFrame) -> DataFrame:
-    return d.agg(F.count("*").alias("features"), *(F.count_if(F.col("shift") >= x).alias(f"above_{str(x).replace('.', 'p')}") for x in (0.1, 0.3, 0.5)), quantile("shift", 0.5).alias("median_shift"), F.max("shift").alias("max_shift"), F.count_if(F.abs("null_delta") > 0.01).alias("null_changes"))
+    """One row: features by the size of their shift, in buckets that exclude each other, its median and maximum, and null rates that move by over 0.1."""
+    x, edges = F.col("shift"), (0.1, 0.3, 0.5)
+    inside = {"below_0p1": x < edges[0], "from_0p1": (x >= edges[0]) & (x < edges[1]), "from_0p3": (x >= edges[1]) & (x < edges[2]), "from_0p5": x >= edges[2]}
+    return d.agg(F.count("*").alias("features"), *(F.count_if(c).alias(n) for n, c in inside.items()), quantile("shift", 0.5).alias("median_shift"), F.max("shift").alias("max_shift"), F.count_if(F.abs("null_delta") > 0.1).alias("null_changes"))
 
 
 def _grams(batches: Iterator[pd.DataFrame], middle: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -166,44 +171,58 @@ def duplicate_groups(pairs: DataFrame, features: list[str], threshold: float = 0
 
 
 def ranked_signals(df: DataFrame, p: str = "p1") -> DataFrame:
-    """df with the signal's sign and the rank of |p| among the non-zero, ties by sample_id. Rows are ranked in ranges of
-    |p| first, then offset by the sizes of the ranges before, so no task sees all rows."""
-    size = F.abs(F.col(p))
-    d = df.where(F.col(p) != 0).withColumn("__size", size)
-    cuts = d.agg(F.percentile_approx("__size", [i / 64 for i in range(1, 64)], 1000).alias("q")).first()["q"] or []
-    d = d.withColumn("__range", F.lit(len(cuts)) - F.size(F.filter(F.lit(sorted(cuts)) if cuts else F.expr("cast(array() as array<double>)"), lambda x: x <= F.col("__size"))))
-    sizes = d.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__range"), (F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__range")) - F.col("__n")).alias("__before"))
-    own = Window.partitionBy("__range").orderBy(F.col("__size").desc(), "sample_id")
-    return d.join(F.broadcast(before), "__range").withColumns({"rank": F.row_number().over(own) + F.col("__before"), "signal": F.signum(p)}).drop("__size", "__range", "__before")
-
-
-def deepest_fall(trades: DataFrame, by: list[str]) -> DataFrame:
-    """max_drawdown per group of the running total of pnl over (month, sample_id), from 0: each month is summed by itself
-    as (sum, highest prefix, deepest fall), then months are chained, so no task sees all rows."""
-    w = Window.partitionBy(*by, "month").orderBy("sample_id")
-    run = trades.withColumn("eq", F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("peak", F.greatest(F.lit(0.0), F.max("eq").over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    month = run.groupBy(*by, "month").agg(F.sum("pnl").alias("s"), F.max("eq").alias("top"), F.min(F.col("eq") - F.col("peak")).alias("fall"), F.min("eq").alias("low"))
-    m = Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    chain = month.withColumn("before", F.coalesce(F.sum("s").over(m), F.lit(0.0)))
-    chain = chain.withColumn("high", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("before") + F.col("top")).over(m), F.lit(0.0))))
-    return chain.groupBy(*by).agg(F.min(F.least(F.col("fall"), F.col("before") + F.col("low") - F.col("high"))).alias("max_drawdown"))
+    """df with the signal's sign and the rank of |p| among the non-zero, ties by sample_id. Rows are numbered in ranges of
+    (|p|, sample_id), so neither all rows nor all rows of one |p| meet in a task. The ranges are written when this is called."""
+    d = df.where(F.col(p) != 0).withColumn("__size", -F.abs(F.col(p)))
+    return numbered(d, ["__size", "sample_id"], "rank").withColumns({"rank": F.col("rank") + 1, "signal": F.signum(p)}).drop("__size")
 
 
-def backtest(df: DataFrame, fraction: float = 0.2, costs: list[float] | None = None, y: str = "y", p: str = "p1") -> DataFrame:
-    """Trades, total, mean, volatility, Sharpe per trade, drawdown and win rate for each cost, of the largest |p| of a fraction of all rows.
+def trade_measures(trades: DataFrame, by: list[str], rows: int) -> DataFrame:
+    """Per group: trades, turnover (their share of all rows), total, mean, volatility, Sharpe per trade, drawdown and win rate of trades
+    (pnl, month, sample_id, from_zero: whether rows that don't trade come before the first one). The equity curve runs over (month, sample_id)."""
+    c = equity_curve(trades, by, ["month", "sample_id"], from_zero="from_zero")
+    x = F.col("pnl")
+    spread = F.coalesce(F.stddev(x), F.lit(0.0))
+    return c.groupBy(*by).agg(F.count("*").alias("trades"), (F.count("*") / F.lit(rows)).alias("turnover"), F.sum(x).alias("total"), F.avg(x).alias("mean"), spread.alias("volatility"), F.coalesce(safe_div(F.avg(x), spread), F.lit(0.0)).alias("sharpe"), F.avg((x > 0).cast("double")).alias("win_rate"), F.min("drawdown").alias("max_drawdown"))
 
-    The equity curve runs over (month, sample_id); see deepest_fall.
-    """
+
+def _for_all(groups: DataFrame, measures: DataFrame, by: str) -> DataFrame:
+    """A row for every group, all 0 where it has no trade."""
+    out = groups.join(measures, by, "left")
+    return out.select(by, *(F.coalesce(c, F.lit(0)).cast(measures.schema[c].dataType).alias(c) for c in measures.columns if c != by))
+
+
+def _first_rank(df: DataFrame, ranked: DataFrame) -> tuple[int, int | None]:
+    """(rows, the rank of the first row of all in order of (month, sample_id)); None where it can't trade."""
+    one = df.agg(F.count("*").alias("n"), F.min(F.struct("month", "sample_id")).alias("first")).first()
+    if not one["n"]:
+        return 0, None
+    first = ranked.where((F.col("month") == one["first"]["month"]) & (F.col("sample_id") == one["first"]["sample_id"])).select("rank").first()
+    return one["n"], first["rank"] if first else None
+
+
+def trade_curve(df: DataFrame, fraction: float = 0.2, cost_bps: float = 1.0, y: str = "y", p: str = "p1") -> DataFrame:
+    """(month, sample_id, pnl, equity, peak, drawdown) of each trade of the largest |p| of a fraction of all rows, in order of (month, sample_id).
+    The peak is the highest equity of all rows so far, those that don't trade (equity 0 before the first trade) too."""
+    ranked = kept(ranked_signals(df, p), "ranked")
+    n, first = _first_rank(df, ranked)
+    many = math.ceil(fraction * n)
+    t = ranked.where(F.col("rank") <= many).select("month", "sample_id", (F.col("signal") * F.col(y) - cost_bps * 1e-4).alias("pnl"), F.lit(first is None or first > many).alias("from_zero"))
+    return equity_curve(t, [], ["month", "sample_id"], from_zero="from_zero").drop("from_zero")
+
+
+def backtest(df: DataFrame, fraction: float = 0.2, costs: list[float] | None = None, y: str = "y", p: str = "p1") -> DataFrame:
+    """Threshold ((1 - fraction) quantile of |p|) and measures (see trade_measures) for each cost, of the largest |p| of a fraction
+    of all rows. All 0 without a trade. Ranks are written once, when this is called."""
     spark = df.sparkSession
-    n = df.count()
-    t = ranked_signals(df, p).where(F.col("rank") <= F.ceil(F.lit(fraction) * F.lit(n)))
-    c = spark.createDataFrame([(x,) for x in (costs or COSTS_BPS)], "cost_bps double")
-    t = t.crossJoin(F.broadcast(c)).withColumn("pnl", F.col("signal") * F.col(y) - F.col("cost_bps") * 1e-4)
-    fall = deepest_fall(t, ["cost_bps"])
-    s = t.groupBy("cost_bps").agg(F.count("*").alias("trades"), F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"), F.stddev("pnl").alias("volatility"), safe_div(F.avg("pnl"), F.stddev("pnl")).alias("sharpe"), F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"))
-    return s.join(fall, "cost_bps")
+    ranked = kept(ranked_signals(df, p), "ranked")
+    n, first = _first_rank(df, ranked)
+    many = math.ceil(fraction * n)
+    c = spark.createDataFrame([(float(x),) for x in (COSTS_BPS if costs is None else costs)], "cost_bps double")
+    t = ranked.where(F.col("rank") <= many).crossJoin(F.broadcast(c))
+    t = t.select("cost_bps", "month", "sample_id", (F.col("signal") * F.col(y) - F.col("cost_bps") * 1e-4).alias("pnl"), F.lit(first is None or first > many).alias("from_zero"))
+    limit = exact_quantiles(df, F.abs(p), {"threshold": 1.0 - fraction})
+    return _for_all(c, trade_measures(t, ["cost_bps"], max(n, 1)), "cost_bps").crossJoin(F.broadcast(limit))
 
 
 def month_sample(df: DataFrame, quota: int = 50) -> DataFrame:
@@ -269,11 +288,17 @@ def window_rows(df: DataFrame, starts: tuple[int, ...] = (36, 48, 60), width: in
 
 
 def fraction_sweep(df: DataFrame, cost_bps: float = 1.0, y: str = "y", p: str = "p1") -> DataFrame:
-    """Trades, total and mean for each of FRACTIONS of all rows by |p|. Rows are ranked once; each adds to the fractions it is in."""
-    n = df.count()
-    inside = F.filter(F.array(*map(F.lit, FRACTIONS)), lambda f: F.col("rank") <= F.ceil(f * F.lit(n)))
-    t = ranked_signals(df, p).select((F.col("signal") * F.col(y) - cost_bps * 1e-4).alias("pnl"), F.explode(inside).alias("fraction"))
-    return t.groupBy("fraction").agg(F.count("*").alias("trades"), F.sum("pnl").alias("total"), F.avg("pnl").alias("mean"))
+    """Threshold and measures (see trade_measures) for each of FRACTIONS of all rows by |p|; all 0 without a trade. Rows are ranked once, when
+    this is called; each adds to the fractions it is in."""
+    ranked = kept(ranked_signals(df, p), "ranked")
+    n, first = _first_rank(df, ranked)
+    spark, many = df.sparkSession, {f: math.ceil(f * n) for f in FRACTIONS}
+    limits = exact_quantiles(df, F.abs(p), {f"q{i}": 1.0 - f for i, f in enumerate(FRACTIONS)}).first()
+    groups = spark.createDataFrame([(f, limits[f"q{i}"]) for i, f in enumerate(FRACTIONS)], "fraction double, threshold double")
+    inside = F.filter(F.array(*(F.struct(F.lit(f).alias("fraction"), F.lit(k).alias("k"), F.lit(first is None or first > k).alias("from_zero")) for f, k in many.items())), lambda s: F.col("rank") <= s["k"])
+    t = ranked.select("month", "sample_id", "rank", (F.col("signal") * F.col(y) - cost_bps * 1e-4).alias("pnl"), F.explode(inside).alias("x"))
+    t = t.select("month", "sample_id", "pnl", "x.fraction", "x.from_zero")
+    return _for_all(groups.select("fraction"), trade_measures(t, ["fraction"], max(n, 1)), "fraction").join(F.broadcast(groups), "fraction")
 
 
 def month_fraction(df: DataFrame, fraction: float) -> DataFrame:

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookglass.functions.exprs import quantile, safe_div
+from bookglass.functions.exprs import safe_div
+from bookglass.operators.linear import column_quantiles, ridge_fits, with_predictions
 
 
 def median_impute(df: DataFrame, features: list[str], train) -> DataFrame:
-    """Nulls and infinities as the median of the training rows; 0 where a feature has none."""
-    clean = df.select(*(F.when(F.abs(F.col(c)).isin(float("inf")), None).otherwise(F.col(c)).alias(c) if c in features else F.col(c) for c in df.columns))
-    mid = clean.where(train).agg(*(F.coalesce(quantile(c, 0.5), F.lit(0.0)).alias(f"__{c}") for c in features))
-    return clean.crossJoin(F.broadcast(mid)).select(*(F.coalesce(F.col(c), F.col(f"__{c}")).alias(c) if c in features else F.col(c) for c in df.columns))
+    """Nulls and values that aren't finite as the median of the training rows' finite ones; 0 where a feature has none. The exact medians of all
+    features come from two passes (see group_quantiles), the first when this is called; one number per feature is sent back."""
+    mid = {r["feature"]: r["median"] or 0.0 for r in column_quantiles(df.where(train), features, {"median": 0.5}).collect()}
+    filled = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c)).otherwise(F.lit(mid.get(c, 0.0)))
+    return df.select(*(filled(c).alias(c) if c in features else F.col(c) for c in df.columns))
 
 
 def standardise(df: DataFrame, features: list[str], train) -> DataFrame:
@@ -39,18 +43,10 @@ def _vector(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def ridge(train: DataFrame, test: DataFrame, features: list[str], y: str = "y", alpha: float = 10.0) -> DataFrame:
-    """test with ``prediction`` of a ridge on standardised features; the constant isn't shrunk.
-
-    Two passes over the training rows: moments, then products of standardised features with each other and with the
-    centred target; k * (k + 1) numbers come to the driver, and the rows stay where they are. A constant feature has weight 0.
-    """
-    k = range(len(features))
-    m = train.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(features)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)), F.avg(y).alias("my")).first()
-    z = [(F.col(c) - m[f"m{i}"]) / (m[f"s{i}"] or 1.0) for i, c in enumerate(features)]
-    g = train.agg(*(F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i in k for j in k if i <= j), *(F.sum(z[i] * (F.col(y) - m["my"])).alias(f"b{i}") for i in k)).first()
-    gram = np.array([[g[f"g{min(i, j)}_{max(i, j)}"] for j in k] for i in k]) + alpha * np.eye(len(features))
-    w = np.linalg.solve(gram, np.array([g[f"b{i}"] for i in k]))
-    return test.withColumn("prediction", sum((z[i] * float(w[i]) for i in k), F.lit(float(m["my"]))))
+    """test with ``prediction`` of a ridge on standardised features, missing values filled with the training medians; the constant isn't
+    shrunk, and a constant feature has weight 0. Any number of columns is one pass of matrix products over the training rows (see linear.py)."""
+    fits = ridge_fits(train.withColumn("__month", F.lit(0)), {0: (0, 0)}, features, y=y, alpha=alpha, month="__month")
+    return with_predictions(test, fits, features)
 
 
 def boosted(train: DataFrame, test: DataFrame, features: list[str], y: str = "y", rounds: int = 10) -> DataFrame:
@@ -59,6 +55,19 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str], y: str = "y"
     return fit.transform(_vector(test, features)).drop("__x")
 
 
+def boosted_classifier(train: DataFrame, test: DataFrame, features: list[str], positive: Column, rounds: int = 10) -> DataFrame:
+    """test with ``score``, the probability of a positive row by boosted trees; missing values are the training medians. Without rows of both
+    labels to learn from, all score alike."""
+    label = positive.cast("double")
+    if train.select(label.alias("y")).distinct().count() < 2 or test.isEmpty():
+        return test.withColumn("score", F.lit(0.5))
+    both = median_impute(train.withColumn("__train", F.lit(True)).unionByName(test.withColumn("__train", F.lit(False))), features, F.col("__train"))
+    rows = _vector(both.withColumn("__y", label), features)
+    fit = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=4, seed=7).fit(rows.where("__train"))
+    scored = fit.transform(rows.where("not __train")).withColumn("score", vector_to_array("probability")[1])
+    return scored.select(*test.columns, "score")
+
+
 def regimes(df: DataFrame, features: list[str], k: int = 4, key: str = "sample_id") -> DataFrame:
     """(key, regime) by k-means over standardised features."""
     v = _vector(df, features)

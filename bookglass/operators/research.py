@@ -5,6 +5,7 @@ Linear fits read the rows once: sums of products per group are all that comes to
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import cosine, safe_div
-from bookglass.operators.evaluation import deepest_fall, exact_quantiles
+from bookglass.operators.evaluation import exact_quantiles
+from bookglass.operators.linear import grouped_products
+from bookglass.operators.ranges import equity_curve, ranged
 
 # Deadband of a direction, exponents of a regime's scale, gain worth keeping, margin of a free pruning.
 DEADBAND, ALPHAS, MATERIAL_GAIN, MARGIN = 0.0, (0.0, 0.25, 0.5, 0.75, 1.0, 1.5), 0.0041, 0.001
@@ -50,17 +53,17 @@ def threshold_trades(df: DataFrame, threshold: float | None = None, fraction: fl
         t = df.withColumn("threshold", F.lit(float(threshold)))
     signal = F.when(F.col(p) > F.col("threshold"), 1).when(F.col(p) < -F.col("threshold"), -1).otherwise(0)
     t = t.withColumn("signal", signal).withColumn("pnl", F.when(F.col("signal") != 0, F.col("signal") * F.col(y) - cost_bps * 1e-4))
-    fall = deepest_fall(t.where("signal <> 0").withColumn("one", F.lit(1)), ["one"]).select("max_drawdown")
+    first = t.agg(F.min_by(F.col("signal") == 0, F.struct("month", "sample_id")).alias("z")).first()["z"]
+    trades = t.where("signal <> 0").withColumns({"one": F.lit(1), "from_zero": F.lit(bool(first))})
+    fall = equity_curve(trades.select("one", "month", "sample_id", "pnl", "from_zero"), ["one"], ["month", "sample_id"], from_zero="from_zero").agg(F.min("drawdown").alias("max_drawdown"))
     x = F.col("pnl")
     s = t.agg(F.max("threshold").alias("threshold"), F.count(x).alias("trades"), F.avg(x.isNotNull().cast("double")).alias("turnover"), F.coalesce(F.sum(x), F.lit(0.0)).alias("total"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev(x), F.lit(0.0)).alias("volatility"), F.coalesce(safe_div(F.avg(x), F.stddev(x)), F.lit(0.0)).alias("sharpe"), F.coalesce(F.avg((x > 0).cast("double")), F.lit(0.0)).alias("win_rate"))
     return s.join(fall, F.lit(True), "left").withColumn("max_drawdown", F.coalesce("max_drawdown", F.lit(0.0)))
 
 
 def sums(df: DataFrame, features: list[str], by: list[str], y: str = "y") -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
-    """(Gram matrix, products with y) of each group, by one aggregate. Groups must be few: folds, blocks, seeds."""
-    k = range(len(features))
-    g = df.groupBy(*by).agg(*(F.sum(F.col(features[i]) * F.col(features[j])).alias(f"g{i}_{j}") for i in k for j in k if i <= j), *(F.sum(F.col(f) * F.col(y)).alias(f"b{i}") for i, f in enumerate(features)))
-    return {tuple(r[c] for c in by): (np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in k] for i in k]), np.array([r[f"b{i}"] for i in k])) for r in g.collect()}
+    """(Gram matrix, products with y) of each group, over the rows that lack no value, by one pass of matrix products. Groups must be few: folds, blocks, seeds."""
+    return grouped_products(df, features, by, y)
 
 
 def least_squares(gram: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,11 +142,40 @@ def grid_on_fresh_seeds(df: DataFrame, weights: tuple[float, ...] = (0.0, 0.25,
     return best.select("seed", "b.weight", "b.chosen_on", "b.fresh", (F.col("b.chosen_on") - F.col("b.fresh")).alias("optimism"))
 
 
+def student_t(n: int, share: float = 0.95) -> float:
+    """The value that |t| of n degrees of freedom stays below with the share's probability, by halving the closed form of its distribution."""
+
+    def inside(t: float) -> float:
+        angle = math.atan(t / math.sqrt(n))
+        c, term, total = math.cos(angle), 1.0, 0.0
+        if n % 2:
+            term = c
+            for k in range(1, (n - 1) // 2 + 1):
+                total += term
+                term *= c * c * 2 * k / (2 * k + 1)
+            return (angle + math.sin(angle) * total) * 2 / math.pi
+        for k in range(1, n // 2 + 1):
+            total += term
+            term *= c * c * (2 * k - 1) / (2 * k)
+        return math.sin(angle) * total
+
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if inside(middle) < share else (low, middle)
+    return low
+
+
+#: The 97.5 % quantiles of Student's t at 1, 2, ... degrees of freedom; the expansion beyond is right to 1e-7.
+T_VALUES = [student_t(n) for n in range(1, 60)]
+
+
 def t_quantile(n: Column) -> Column:
-    """The 97.5 % quantile of Student's t at n degrees of freedom, by its expansion about the normal's (to 1e-4 from n = 5 on)."""
+    """The 97.5 % quantile of Student's t at n degrees of freedom; null below one."""
     z = 1.959963984540054
     terms = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384]
-    return F.lit(z) + terms[0] / n + terms[1] / (n * n) + terms[2] / (n * n * n)
+    many = F.lit(z) + terms[0] / n + terms[1] / (n * n) + terms[2] / (n * n * n)
+    return F.when(n < 1, None).when(n <= len(T_VALUES), F.element_at(F.array(*map(F.lit, T_VALUES)), n.cast("int"))).otherwise(many)
 
 
 def paired_verdict(periods: DataFrame, gain: Column, margin: float = MARGIN, material: float = MATERIAL_GAIN) -> DataFrame:
@@ -163,15 +195,16 @@ def trend(periods: DataFrame, x: str, v: str) -> DataFrame:
     return s.select("slope", "start", "n", "se", ((F.col("slope") - 1.96 * F.col("se")) * F.col("span")).alias("span_low"), ((F.col("slope") + 1.96 * F.col("se")) * F.col("span")).alias("span_high"), "noise")
 
 
-def auc(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
+def auc(df: DataFrame, score: str, positive: Column, by: list[str], rows: int = 200_000) -> DataFrame:
     """(by, auc, positives, negatives): share of (positive, negative) pairs in order, ties as a half. Counts per value are
-    summed in ranges of the score and chained by the ranges' totals, so no task sees all values of a group."""
-    values = df.withColumn("__positive", positive).groupBy(*by, score).agg(F.count_if("__positive").alias("pos"), F.count_if(~F.col("__positive")).alias("neg"))
-    cuts = values.agg(F.percentile_approx(score, [i / 32 for i in range(1, 32)]).alias("q")).first()["q"] or []
-    v = values.withColumn("range", F.size(F.filter(F.lit(sorted(set(cuts))), lambda x: x < F.col(score))) if cuts else F.lit(0))
-    own = v.withColumn("below", F.coalesce(F.sum("neg").over(Window.partitionBy(*by, "range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    summed in ranges of (by, score), as many as the values need, and chained by the ranges' totals, so no task sees all values
+    of a group. Rows without a score count in no pair. The ranges are written when this is called."""
+    known = df.withColumns({"__positive": positive, "__score": F.col(score).cast("double")}).where(F.col("__score").isNotNull())
+    values = known.groupBy(*by, "__score").agg(F.count_if("__positive").alias("pos"), F.count_if(~F.col("__positive")).alias("neg"))
+    v = ranged(values, [*by, "__score"], rows)
+    own = v.withColumn("below", F.coalesce(F.sum("neg").over(Window.partitionBy(*by, "range").orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     part = own.groupBy(*by, "range").agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("inside"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    chain = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over 32 ranges at most
+    chain = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     part = part.withColumn("before", F.coalesce(F.sum("neg").over(chain), F.lit(0)))
     return part.groupBy(*by).agg(safe_div(F.sum(F.col("inside") + F.col("pos") * F.col("before")), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookglass.functions.exprs import safe_div
+from bookglass.functions.exprs import corr_safe, safe_div
 from bookglass.operators.features import snapshot_channels
+from bookglass.operators.ranges import ROWS, kept, with_previous
 from bookglass.sources.sinks import scratch
 
-#: Fixed value: snapshots in a sequence.
-STEPS = 176
+#: Snapshots in a sequence; rows in the blocks whose means are compared, each a multiple of the one before.
+STEPS, BLOCK_SIZES = 176, (10, 100, 1000, 10000)
 
 
 def positions(df: DataFrame, span: int = 1_000_000) -> DataFrame:
@@ -25,6 +26,53 @@ def positions(df: DataFrame, span: int = 1_000_000) -> DataFrame:
     return placed.withColumn("pos", F.row_number().over(own) - 1 + F.col("__before")).drop("__range", "__m", "__r", "__before", "__n")
 
 
+def block_pyramid(df: DataFrame, x: str, sizes: tuple[int, ...] = BLOCK_SIZES, *, within: bool = False, span: int = 1_000_000) -> dict[int, DataFrame]:
+    """Per size, (block, x): the mean log of x in blocks of that many rows of the whole order (month, sample_id), less its month's mean
+    if ``within``. Values that aren't positive are missing; blocks without a value drop. Rows are placed and summed once, in the smallest blocks,
+    from which the larger ones are added up."""
+    v = F.when(F.col(x) > 0, F.log(x))
+    d = positions(df.select("month", "sample_id", v.alias("__v")), span)
+    if within:
+        means = df.groupBy("month").agg(F.avg(v).alias("__mean")).withColumnRenamed("month", "__of")
+        d = d.join(F.broadcast(means), F.col("month").eqNullSafe(F.col("__of"))).withColumn("__v", F.col("__v") - F.col("__mean"))  # a row per month
+    level = kept(d.groupBy(F.floor(F.col("pos") / sizes[0]).alias("block")).agg(F.sum("__v").alias("s"), F.count("__v").alias("n")), "blocks")
+    out, size = {}, sizes[0]
+    for wanted in sizes:
+        if wanted % size:
+            raise ValueError(f"blocks of {wanted} rows aren't made of whole blocks of {size}")
+        level = level.groupBy(F.floor(F.col("block") / (wanted // size)).alias("block")).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        size = wanted
+        out[wanted] = level.where("n > 0").select("block", (F.col("s") / F.col("n")).alias("x"))
+    return out
+
+
+def block_autocorrelations(df: DataFrame, x: str, sizes: tuple[int, ...] = BLOCK_SIZES, *, within: bool = False, span: int = 1_000_000, rows: int = ROWS) -> DataFrame:
+    """(block, n_blocks, autocorr, noise_se, expected) per size: the correlation of each block's mean (see block_pyramid) with the one before, null for
+    fewer than 3 blocks; its noise without any order; and, if ``within``, what an order-free table would show: -1 over a month's mean blocks less one."""
+    month = df.groupBy("month").agg(F.count("*").alias("n")).agg(F.avg("n").alias("per"))
+    out = None
+    for size, means in block_pyramid(df, x, sizes, within=within, span=span).items():
+        d = with_previous(means, ["block"], {"before": "x"}, rows)
+        n = F.count("*")
+        one = d.agg(F.lit(size).alias("block"), n.alias("n_blocks"), F.when(n >= 3, corr_safe(F.col("x"), F.col("before"))).alias("autocorr"), safe_div(F.lit(1.0), F.sqrt(n)).alias("noise_se"))
+        out = one if out is None else out.unionByName(one)
+    expected = safe_div(F.lit(-1.0), F.col("per") / F.col("block") - 1) if within else F.lit(None).cast("double")
+    return out.crossJoin(F.broadcast(month)).withColumn("expected", expected).drop("per")
+
+
+def lag_correlations(df: DataFrame, lags: list[int], x: str = "y", *, chunk: int = 100_000, span: int = 1_000_000) -> DataFrame:
+    """(lag, r): correlation of x with its value some rows before, in the whole order (month, sample_id). Rows go to chunks of positions; the last
+    rows of a chunk, as many as the longest lag, visit the next one too, so lags cross the borders and no task holds a month."""
+    most = max(lags)
+    p = positions(df.select("month", "sample_id", x), span).withColumn("__own", F.floor(F.col("pos") / chunk))
+    near = F.sequence(F.col("__own"), F.floor((F.col("pos") + most) / chunk))
+    w = Window.partitionBy("__chunk").orderBy("pos")
+    d = p.withColumn("__chunk", F.explode(near))
+    d = d.select("__own", "__chunk", x, *(F.lag(x, k).over(w).alias(f"__{k}") for k in lags)).where("__own = __chunk")
+    one = d.agg(*(corr_safe(F.col(x), F.col(f"__{k}")).alias(str(k)) for k in lags))
+    return one.unpivot([], list(one.columns), "lag", "r").withColumn("lag", F.col("lag").cast("int"))
+
+
 def running_scale(df: DataFrame, x: str, width: int = 200, least: int = 50, centred: bool = False, chunk: int = 100_000, span: int = 1_000_000) -> DataFrame:
     """df with ``scale``: the running median of x over (month, sample_id), over its mean.
 

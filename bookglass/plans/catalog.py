@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from bookglass.functions.exprs import AGE, corr_safe, quantile, safe_div, tidy
 from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
-from bookglass.operators import models
+from bookglass.operators import models, series
+from bookglass.operators.linear import group_quantiles
 from bookglass.plans import audits, comparisons, research
 from bookglass.plans.sql import ORACLE
 from bookglass.sources.adapters import view
@@ -89,7 +90,8 @@ def d_aggressor_table(t):
 def d_window_coverage(t):
     parts = [t(n).select(F.lit(n).alias("source"), "sample_id", AGE) for n in ("market", "order_flow", "trade")]
     one = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("source", "sample_id").agg(F.max(AGE).alias("span"), F.count("*").alias("n"))
-    return one.groupBy("source").agg(quantile("span", 0.5).alias("median_span"), F.max("span").alias("max_span"), F.count_if(F.col("span") > 60).alias("beyond_60s"), F.avg("n").alias("rows_per_sample"))
+    middles = group_quantiles(one, ["source"], "span", {"median_span": 0.5})
+    return middles.join(one.groupBy("source").agg(F.max("span").alias("max_span"), F.count_if(F.col("span") > 60).alias("beyond_60s"), F.avg("n").alias("rows_per_sample")), "source")
 
 
 @query
@@ -152,10 +154,7 @@ def e_sequence_steps(t):
 
 @query
 def e_block_autocorrelation(t):
-    s = in_months(t).withColumn("rn", F.row_number().over(Window.partitionBy("month").orderBy("sample_id")) - 1)
-    blocks = s.groupBy("month", F.floor(F.col("rn") / 10).alias("block")).agg(F.avg(F.log("regime")).alias("x"))
-    lagged = blocks.withColumn("before", F.lag("x").over(Window.partitionBy("month").orderBy("block")))
-    return lagged.groupBy("month").agg(F.count("*").alias("blocks"), F.when(F.count("*") >= 3, corr_safe(F.col("x"), F.col("before"))).alias("r"))
+    return series.block_autocorrelations(in_months(t), "regime")
 
 
 @query

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import corr_safe, cosine, quantile
 from bookglass.operators import comparison as cp
 from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
-from bookglass.plans.sql import BOOK, CLOCK, DRIFT, S, WIDE, cols, corr, cos, r
+from bookglass.operators import ranges, series
+from bookglass.plans.sql import BOOK, CLOCK, DRIFT, S, WIDE, blocks_sql, cols, corr, cos, curve, r
 from bookglass.sources import sinks
 from bookglass.sources.adapters import sql_views
 
@@ -81,19 +82,15 @@ def e_rolling_scale(t):
 LAGS = [1, 2, 5, 10, 50]
 
 
-@query(f"{S}, k AS (SELECT y, " + ", ".join(f"lag(y, {k}) OVER w AS l{k}" for k in LAGS) + " FROM s WINDOW w AS (PARTITION BY month ORDER BY sample_id)) " + " UNION ALL ".join(f"SELECT {k} AS lag, {r(f'corr(y, l{k})')} AS r FROM k" for k in LAGS))
+@query(f"{S}, k AS (SELECT y, " + ", ".join(f"lag(y, {k}) OVER w AS l{k}" for k in LAGS) + " FROM s WINDOW w AS (ORDER BY month, sample_id)) " + " UNION ALL ".join(f"SELECT {k} AS lag, {r(f'corr(y, l{k})')} AS r FROM k" for k in LAGS))
 def e_target_lags(t):
-    return cp.lag_correlations(scored(t), LAGS)
+    return series.lag_correlations(scored(t), LAGS)
 
 
-@query(f"{S}, b AS (SELECT month, (row_number() OVER (PARTITION BY month ORDER BY sample_id) - 1) // 10 AS block, ln(regime) - avg(ln(regime)) OVER (PARTITION BY month) AS x FROM s), c AS (SELECT month, block, avg(x) AS x FROM b GROUP BY month, block), d AS (SELECT *, lag(x) OVER (ORDER BY month, block) AS before FROM c) SELECT count(*) AS blocks, {cols({'r': 'corr(x, before)', 'expected': '-1.0::DOUBLE / (count(*) - 1)'})} FROM d")
+@query(f"{S}, k AS (SELECT CASE WHEN regime > 0 THEN ln(regime) END - avg(CASE WHEN regime > 0 THEN ln(regime) END) OVER (PARTITION BY month) AS v, row_number() OVER (ORDER BY month, sample_id) - 1 AS pos FROM s), {blocks_sql((10, 100))}, pm AS (SELECT avg(n) AS per FROM (SELECT count(*) AS n FROM s GROUP BY month)) SELECT block, n_blocks, {cols({'autocorr': 'e.r', 'noise_se': '1.0 / sqrt(n_blocks)', 'expected': '-1.0::DOUBLE / (per / block - 1)'})} FROM e, pm")
 def e_residual_blocks(t):
-    m = Window.partitionBy("month")
-    s = scored(t).select("month", F.floor((F.row_number().over(m.orderBy("sample_id")) - 1) / 10).alias("block"), (F.log("regime") - F.avg(F.log("regime")).over(m)).alias("x"))
-    # The order over months is taken on the blocks' means; a month's first block follows the month before's last.
-    b = s.groupBy("month", "block").agg(F.avg("x").alias("x"))
-    d = b.withColumn("before", F.lag("x").over(Window.partitionBy(F.lit(1)).orderBy("month", "block")))
-    return d.agg(F.count("*").alias("blocks"), corr_safe(F.col("x"), F.col("before")).alias("r"), (F.lit(-1.0) / (F.count("*") - 1)).alias("expected"))
+    """Within months: blocks of the residuals, against what an order-free table would show."""
+    return series.block_autocorrelations(scored(t), "regime", (10, 100), within=True)
 
 
 @query(f"{S}, p(part, lo, hi) AS (VALUES ('train', 0, 63), ('stop', 64, 64), ('holdout', 65, 70)) SELECT part, count(*) AS n, min(month) AS first, max(month) AS last, {r('avg(y)')} AS mean FROM s JOIN p ON month BETWEEN lo AND hi GROUP BY part")
@@ -174,9 +171,22 @@ def g_local_top(t):
     return cp.local_top(scored(t), ["p1", "p2", "y"], 2)
 
 
-@query(f"{S}, m AS (SELECT month, sum(sign(p1) * y) AS s FROM s GROUP BY month), c AS (SELECT month, sum(s) OVER (ORDER BY month) AS equity, row_number() OVER (ORDER BY month) - 1 AS i, count(*) OVER () AS n FROM m), j AS (SELECT DISTINCT (j * (n - 1)) // 20 AS i FROM range(21) x(j), (SELECT count(*) AS n FROM m)) SELECT month, {r('equity')} AS equity FROM c WHERE i IN (SELECT i FROM j)")
+CURVE = curve("cost_bps", "g.cost_bps * 1e-4::DOUBLE", "ceil(0.2::DOUBLE * (SELECT count(*) FROM s))", [1.0])
+
+
+def trade_curve(t: Callable) -> DataFrame:
+    return ev.trade_curve(scored(t), 0.2, 1.0)
+
+
+@query(f"{S}, {CURVE} SELECT month, sample_id, {cols({'pnl': 'pnl', 'equity': 'equity', 'peak': 'peak', 'drawdown': 'fall'})} FROM d WHERE traded")
+def h_trade_equity(t):
+    return trade_curve(t)
+
+
+@query(f"{S}, {CURVE}, o AS (SELECT *, row_number() OVER (ORDER BY month, sample_id) - 1 AS pos, count(*) OVER () AS n FROM d WHERE traded), j AS (SELECT DISTINCT CASE WHEN n <= 21 THEN j ELSE round_even(j * (n - 1) / 20, 0)::BIGINT END AS spot FROM (SELECT unnest(range(21)) AS j), (SELECT max(n) AS n FROM o)) SELECT pos, month, sample_id, {cols({'pnl': 'pnl', 'equity': 'equity', 'peak': 'peak', 'drawdown': 'fall'})} FROM o WHERE pos IN (SELECT spot FROM j)")
 def h_equity_points(t):
-    return cp.month_equity(scored(t), 21)
+    """21 trades at even places of the curve, the first and the last among them."""
+    return ranges.thinned(trade_curve(t), ["month", "sample_id"], 21)
 
 
 @query(f"{sql_views('market')}, {BOOK}, m AS (SELECT avg(mid) AS a, greatest(stddev_pop(mid), 1e-6) AS b, avg(spread) AS c, greatest(stddev_pop(spread), 1e-6) AS d FROM book WHERE sample_id % 4 <> 0) SELECT row_id, {cols({'mid': 'CASE WHEN mid IS NULL THEN 0 ELSE round(greatest(-6, least(6, (mid - a) / b)), 9) END', 'spread': 'CASE WHEN spread IS NULL THEN 0 ELSE round(greatest(-6, least(6, (spread - c) / d)), 9) END'})} FROM book, m")

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookglass.functions.exprs import corr_safe, cosine, quantile
+from bookglass.functions.exprs import corr_safe, cosine
+from bookglass.operators import adversarial
 from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
+from bookglass.operators import linear
 from bookglass.operators import research as rs
+from bookglass.operators.linear import group_quantiles
 from bookglass.plans.sql import BOOK, DRIFT, FOLD_ROWS, S, WIDE, cols, corr, cos, metric_cols, r
 from bookglass.sources.adapters import sql_views
 
@@ -18,10 +21,11 @@ QUERIES: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str) -> Callable:
+def query(sql: str = "") -> Callable:
     def put(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
-        ORACLE[f.__name__] = sql
+        if sql:
+            ORACLE[f.__name__] = sql
         return f
 
     return put
@@ -138,7 +142,9 @@ def g_ever_empty(t):
 
 @query(f"{S}, e AS (SELECT quantile_cont(regime, 0.25) AS a, quantile_cont(regime, 0.5) AS b, quantile_cont(regime, 0.75) AS c FROM s), z AS (SELECT s.*, CASE WHEN regime <= a THEN 1 WHEN regime <= b THEN 2 WHEN regime <= c THEN 3 ELSE 4 END AS quartile FROM s, e) SELECT quartile, count(*) AS n, {cols({'cosine': cos('y', 'p1'), 'median': 'quantile_cont(regime, 0.5)'})} FROM z GROUP BY quartile")
 def g_quartile_medians(t):
-    return ev.quartiles(scored(t), "regime").groupBy("quartile").agg(F.count("*").alias("n"), cosine(F.col("y"), F.col("p1")).alias("cosine"), quantile("regime", 0.5).alias("median"))
+    z = ev.quartiles(scored(t), "regime")
+    middles = group_quantiles(z, ["quartile"], "regime", {"median": 0.5})
+    return z.groupBy("quartile").agg(F.count("*").alias("n"), cosine(F.col("y"), F.col("p1")).alias("cosine")).join(middles, "quartile")
 
 
 @query(f"""{S}, g AS (SELECT grp, sum(y * p1) AS yp, sum(y * y) AS yy, sum(p1 * p1) AS pp FROM s GROUP BY grp), q AS (SELECT sum(yp) / (sqrt(sum(yy)) * sqrt(sum(pp))) AS pooled, sum(sqrt(yy) * sqrt(pp)) / (sqrt(sum(yy)) * sqrt(sum(pp))) AS weight_sum FROM g)
@@ -150,7 +156,9 @@ def g_decomposition_identity(t):
     return pooled.crossJoin(F.broadcast(parts)).withColumn("holds", F.abs(F.col("pooled") - F.col("rebuilt")) < 1e-12)
 
 
-T = "(1.959963984540054e0 + {0!r} / (n - 1) + {1!r} / ((n - 1) * (n - 1)) + {2!r} / ((n - 1) * (n - 1) * (n - 1.0e0)))".format(*((lambda z: ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384))(1.959963984540054)))
+#: Beyond the exact values, the expansion about the normal's quantile.
+BEYOND = "1.959963984540054e0 + {0!r} / (n - 1) + {1!r} / ((n - 1) * (n - 1)) + {2!r} / ((n - 1) * (n - 1) * (n - 1.0e0))".format(*((lambda z: ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384))(1.959963984540054)))
+T = f"(CASE WHEN n - 1 <= {len(rs.T_VALUES)} THEN ({rs.T_VALUES!r}::DOUBLE[])[(n - 1)::INT] ELSE {BEYOND} END)"
 
 
 @query(f"""{S}, m AS (SELECT month, {cos('y', 'p1')} - {cos('y', 'p2')} AS g FROM s GROUP BY month), v AS (SELECT avg(g) AS gain, stddev_samp(g) / sqrt(count(g)) AS se, count(*) FILTER (WHERE g > 0) AS improved, count(g) AS n FROM m)
@@ -205,6 +213,28 @@ def g_auc_distance(t):
     return f.crossJoin(F.broadcast(a.where("lo = 65").select(F.col("auc").alias("test")))).withColumn("implied_distance", (F.col("test") - F.col("start")) / F.col("slope"))
 
 
+def dated(t: Callable) -> DataFrame:
+    """The rows of wide with the month of their order, and ``line``, what tells an order's rows apart."""
+    return t("wide").join(scored(t).select(F.col("sample_id").alias("l_orderkey"), "month"), "l_orderkey").withColumn("line", F.xxhash64(*WIDE))
+
+
+@query()
+def g_adversarial_blocks(t):
+    """Per block of months, how well all features tell it from months 0 to 5; block -1: even from odd hashes of the orders, which nothing should tell."""
+    d, m = dated(t), F.col("month")
+    k = F.broadcast(d.sparkSession.createDataFrame(BLOCKS[1:], "lo int, hi int"))
+    pairs = d.join(k, m.between(0, 5) | m.between(F.col("lo"), F.col("hi"))).select("*", (m > 5).alias("later")).drop("hi")
+    control = d.select("*", F.lit(-1).alias("lo"), (F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 1).alias("later"))
+    return adversarial.adversarial_auc(pairs.unionByName(control), F.col("later"), WIDE, ["l_orderkey", "line"], ["lo"])
+
+
+@query()
+def g_adversarial_boosted(t):
+    """How well boosted trees over all features tell the test split's rows from the training split's."""
+    d = t("wide").withColumn("line", F.xxhash64(*WIDE))
+    return adversarial.adversarial_auc(d, F.col("split") == "test", WIDE, ["l_orderkey", "line"], model="boosted", rounds=5)
+
+
 @query(f"{S} SELECT 'p1' AS a, 'p2' AS b, {r('abs(' + corr('p1', 'p2') + ')')} AS r FROM s UNION ALL SELECT 'p1', 'y', {r('abs(' + corr('p1', 'y') + ')')} FROM s UNION ALL SELECT 'p2', 'y', {r('abs(' + corr('p2', 'y') + ')')} FROM s")
 def g_prediction_correlations(t):
     return ev.correlation_pairs(scored(t), ["p1", "p2", "y"])
@@ -239,8 +269,8 @@ def g_shares_and_spread(t):
     return scored(t).agg(F.avg((F.col("y") == 0).cast("double")).alias("zero_targets"), *(f(p).alias(f"{p}_{n}") for p in ("p1", "p2") for n, f in (("mean", F.avg), ("std", F.stddev))))
 
 
-TRADES = """k AS (SELECT *, sign(p1) * y - 1e-4 AS pnl FROM s, lim WHERE abs(p1) > threshold), d AS (SELECT *, sum(pnl) OVER w AS eq FROM k WINDOW w AS (ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING)),
-e AS (SELECT *, eq - greatest(0, max(eq) OVER (ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING)) AS fall FROM d)"""
+TRADES = """k AS (SELECT *, CASE WHEN abs(p1) > threshold THEN sign(p1) * y - 1e-4 END AS pnl FROM s, lim), d AS (SELECT *, sum(coalesce(pnl, 0)) OVER w AS eq FROM k WINDOW w AS (ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT *, eq - max(eq) OVER (ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING) AS fall FROM d)"""
 TRADE_COLS = cols({"threshold": "(SELECT threshold FROM lim)", "turnover": "count(pnl) / (SELECT count(*) FROM s)", "total": "coalesce(sum(pnl), 0)", "mean": "coalesce(avg(pnl), 0)", "volatility": "coalesce(stddev_samp(pnl), 0)", "sharpe": "coalesce(avg(pnl) / nullif(stddev_samp(pnl), 0), 0)", "win_rate": "coalesce(avg((pnl > 0)::INT), 0)", "max_drawdown": "coalesce(min(fall), 0)"})
 
 
@@ -265,6 +295,29 @@ def i_walk_forward(t):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query(f"""{S}, {FOLD_ROWS}, m AS (SELECT fold, avg(p1) AS m1, avg(p2) AS m2, avg(y) AS my, stddev_pop(p1) AS s1, stddev_pop(p2) AS s2, count(*)::DOUBLE AS n FROM fr WHERE role = 'train' GROUP BY fold),
+q AS (SELECT fold, sum((p1 - m1) / s1 * ((p2 - m2) / s2)) AS c, sum((p1 - m1) / s1 * (y - my)) AS u, sum((p2 - m2) / s2 * (y - my)) AS v FROM fr JOIN m USING (fold) WHERE role = 'train' GROUP BY fold),
+w AS (SELECT *, ((n + 10) * u - c * v) / ((n + 10) * (n + 10) - c * c) AS w1, ((n + 10) * v - c * u) / ((n + 10) * (n + 10) - c * c) AS w2 FROM m JOIN q USING (fold)),
+x AS (SELECT fold, y, my + w1 * (p1 - m1) / s1 + w2 * (p2 - m2) / s2 AS prediction FROM fr JOIN w USING (fold) WHERE role = 'val')
+SELECT fold, {metric_cols('y', 'prediction')} FROM x GROUP BY fold""")
+def i_walk_forward_ridge(t):
+    return ev.metrics(linear.walk_forward_ridge(scored(t), ["p1", "p2"]), ["fold"], p="prediction")
+
+
+def featured(t: Callable) -> tuple[DataFrame, list[str]]:
+    """(sample_id, month, y, all features of the assembly) of the samples, the month and target being those of the order of that number."""
+    x = ft.assemble(ft.market_features(t("market")), ft.order_features(t("order_flow")), ft.trade_features(t("trade")))
+    features = rs.feature_columns(x, ("sample_id",))
+    return x.join(scored(t).select("sample_id", "month", "y"), "sample_id"), features
+
+
+@query()
+def i_ridge_features(t):
+    """Per fold, the scores of a ridge on all features of the assembly, whose nulls are filled with the fold's own medians."""
+    x, features = featured(t)
+    return ev.metrics(linear.walk_forward_ridge(x, features), ["fold"], p="prediction")
+
+
 @query(f"""{S}, w AS (SELECT {FIT} FROM (SELECT {GRAM} FROM s WHERE month <= 34)) SELECT ((month - 36) // 6)::BIGINT AS block, count(*) AS n, {cols({'cosine': cos('y', '(w1 * p1 + w2 * p2)'), 'rmse': 'sqrt(avg((y - w1 * p1 - w2 * p2) * (y - w1 * p1 - w2 * p2)))'})} FROM s, w WHERE month >= 36 GROUP BY block""")
 def i_fixed_fit_blocks(t):
     s = scored(t)

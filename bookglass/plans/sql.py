@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bookglass.functions.exprs import EVENT_WINDOWS, GRID, MARKET_WINDOWS, SPLIT, label
-from bookglass.operators.evaluation import FOLDS
+from bookglass.operators.evaluation import COSTS_BPS, FOLDS, FRACTIONS
 from bookglass.sources.adapters import sql_views
 
 CLOCK = "seconds_before_predict"
@@ -41,6 +41,28 @@ def corr(x: str, y: str) -> str:
     return f"covar_pop({x}, {y}) / nullif(sqrt(var_pop({x}) {both} * var_pop({y}) {both}), 0)"
 
 
+#: Of rows (traded, pnl, fall), what a backtest tells.
+MEASURES = {
+    "trades": "count(*) FILTER (WHERE traded)", "turnover": "count(*) FILTER (WHERE traded) / (SELECT count(*) FROM s)", "total": "coalesce(sum(pnl) FILTER (WHERE traded), 0)",
+    "mean": "coalesce(avg(pnl) FILTER (WHERE traded), 0)", "volatility": "coalesce(stddev_samp(pnl) FILTER (WHERE traded), 0)",
+    "sharpe": "coalesce(avg(pnl) FILTER (WHERE traded) / nullif(stddev_samp(pnl) FILTER (WHERE traded), 0), 0)", "win_rate": "coalesce(avg((pnl > 0)::INT) FILTER (WHERE traded), 0)", "max_drawdown": "min(fall)",
+}
+
+
+def curve(by: str, cost: str, limit: str, values: list[float]) -> str:
+    """d: per value of ``by`` every row of s in order, those that don't trade too, with its equity and its fall from the highest so far."""
+    return f"""k AS (SELECT *, CASE WHEN p1 <> 0 THEN row_number() OVER (PARTITION BY p1 <> 0 ORDER BY abs(p1) DESC, sample_id) END AS place FROM s), g({by}) AS (VALUES {", ".join(f"({v}::DOUBLE)" for v in values)}),
+t AS (SELECT g.{by}, month, sample_id, coalesce(place <= {limit}, false) AS traded, CASE WHEN place <= {limit} THEN sign(p1) * y - {cost} ELSE 0e0 END AS pnl FROM k, g),
+e AS (SELECT *, sum(pnl) OVER (PARTITION BY {by} ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING) AS equity FROM t),
+d AS (SELECT *, max(equity) OVER (PARTITION BY {by} ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING) AS peak, equity - max(equity) OVER (PARTITION BY {by} ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING) AS fall FROM e)"""
+
+
+def blocks_sql(sizes: tuple[int, ...]) -> str:
+    """e: (block, n_blocks, r) of k (v, pos) per size."""
+    return f"""z AS (SELECT unnest({list(sizes)}) AS block), m AS (SELECT block, pos // block AS spot, avg(v) AS x FROM k, z GROUP BY block, pos // block HAVING count(v) > 0),
+b AS (SELECT *, lag(x) OVER (PARTITION BY block ORDER BY spot) AS before FROM m), e AS (SELECT block, count(*) AS n_blocks, CASE WHEN count(*) >= 3 THEN {corr("x", "before")} END AS r FROM b GROUP BY block)"""
+
+
 def market() -> str:
     c: dict[str, str] = {}
     for w in MARKET_WINDOWS:
@@ -170,11 +192,11 @@ ORACLE = {
     "e_sequence_steps": f"""{sql_views('market')}, {BOOK}, k AS (SELECT sample_id, mid, spread, row_number() OVER (PARTITION BY sample_id ORDER BY {CLOCK}, row_id) AS back, count(*) OVER (PARTITION BY sample_id) AS n FROM book),
 i AS (SELECT DISTINCT sample_id, least(n, 60) AS n FROM k), g AS (SELECT sample_id, n, unnest(range(1, 61)) AS back FROM i)
 SELECT g.sample_id, (60 - g.back)::INT AS step, {cols({'mid': 'k.mid', 'spread': 'k.spread'})}, (g.back <= g.n)::INT AS valid FROM g JOIN k ON g.sample_id = k.sample_id AND k.back = least(g.back, g.n)""",
-    "e_block_autocorrelation": f"{S}, b AS (SELECT month, (row_number() OVER (PARTITION BY month ORDER BY sample_id) - 1) // 10 AS block, ln(regime) AS x FROM s), c AS (SELECT month, block, avg(x) AS x FROM b GROUP BY month, block), d AS (SELECT *, lag(x) OVER (PARTITION BY month ORDER BY block) AS before FROM c) SELECT month, count(*) AS blocks, {r('CASE WHEN count(*) >= 3 THEN ' + corr('x', 'before') + ' END')} AS r FROM d GROUP BY month",
+    "e_block_autocorrelation": f"{S}, k AS (SELECT CASE WHEN regime > 0 THEN ln(regime) END AS v, row_number() OVER (ORDER BY month, sample_id) - 1 AS pos FROM s), {blocks_sql((10, 100, 1000, 10000))} SELECT block, n_blocks, {cols({'autocorr': 'r', 'noise_se': '1.0 / sqrt(n_blocks)', 'expected': 'NULL::DOUBLE'})} FROM e",
     "b_prediction_reshaping": f"{S} SELECT sample_id, {cols({'centred': 'p1 - avg(p1) OVER (PARTITION BY month)', 'power': 'sign(p1) * sqrt(abs(p1))', 'place': '(rank() OVER (PARTITION BY month ORDER BY p1)) + ((count(*) OVER (PARTITION BY month, p1)) - 1) / 2'})} FROM s",
     "b_row_weights": f"{S}, w AS (SELECT sample_id, sqrt(abs(y)) AS w FROM s), q AS (SELECT quantile_cont(w, 0.01) AS low FROM w WHERE w > 0), g AS (SELECT sample_id, greatest(w, low) AS w FROM w, q), h AS (SELECT sample_id, w / (SELECT avg(w) FROM g) AS w FROM g) SELECT sample_id, {r('w')} AS weight FROM h",
     "f_training_windows": f"{S}, t AS (SELECT * FROM (VALUES ('cumulative', 36, 0, 34), ('cumulative', 48, 0, 46), ('cumulative', 60, 0, 58), ('fixed', 36, 23, 34), ('fixed', 48, 35, 46), ('fixed', 60, 47, 58)) v(kind, val_start, lo, hi)) SELECT kind, val_start, count(*) AS n, min(month) AS first, max(month) AS last, {r('avg(y)')} AS mean FROM s JOIN t ON month BETWEEN lo AND hi GROUP BY kind, val_start",
-    "h_fraction_sweep": f"{S}, k AS (SELECT *, row_number() OVER (ORDER BY abs(p1) DESC, sample_id) AS place FROM s WHERE p1 <> 0), f AS (SELECT unnest([0.05, 0.1, 0.2, 0.5, 1.0])::DOUBLE AS fraction) SELECT {r('fraction')} AS fraction, count(*) AS trades, {r('sum(sign(p1) * y - 1e-4)')} AS total, {r('avg(sign(p1) * y - 1e-4)')} AS mean FROM k JOIN f ON place <= ceil(fraction * (SELECT count(*) FROM s)) GROUP BY f.fraction",
+    "h_fraction_sweep": f"{S}, {curve('fraction', '1e-4::DOUBLE', 'ceil(g.fraction * (SELECT count(*) FROM s))', FRACTIONS)}, q AS (" + " UNION ALL ".join(f"SELECT {f}::DOUBLE AS fraction, quantile_cont(abs(p1), {1.0 - f!r}) AS threshold FROM s" for f in FRACTIONS) + f") SELECT {r('d.fraction')} AS fraction, {r('max(q.threshold)')} AS threshold, {cols(MEASURES, ('trades',))} FROM d JOIN q ON q.fraction = d.fraction GROUP BY d.fraction",
     "k_month_fraction": f"{S}, k AS (SELECT month, sample_id, row_number() OVER (PARTITION BY month ORDER BY (sample_id * 7919) % 10007, sample_id) AS n, count(*) OVER (PARTITION BY month) AS total FROM s) SELECT month, count(*) AS n, sum(sample_id)::BIGINT AS ids FROM k WHERE n <= round(total * 0.1::DOUBLE) GROUP BY month",
     "f_hashed_split": f"{S} SELECT sample_id, substr(md5(sample_id::VARCHAR), 1, 1) < '3' AS held_out FROM s",
     "i_ridge": f"""{S}, m AS (SELECT avg(p1) AS m1, avg(p2) AS m2, avg(y) AS my, stddev_pop(p1) AS s1, stddev_pop(p2) AS s2, count(*)::DOUBLE AS n FROM s WHERE month < 53),
@@ -202,17 +224,13 @@ UNION ALL SELECT 'p2', len, (SELECT n FROM n), count(*), {cols({'mean_cosine': '
     "g_trend_slope": f"{S}, m AS (SELECT month, avg(y) AS v FROM s GROUP BY month) SELECT {cols({'slope': 'regr_slope(v, month)', 'start': 'regr_intercept(v, month)', 'n': 'count(*)'}, ('n',))} FROM m",
     "g_paired_verdict": f"{S}, m AS (SELECT month, {cos('y', 'p1')} - {cos('y', 'p2')} AS g FROM s GROUP BY month) SELECT {cols({'gain': 'avg(g)', 'se': 'stddev_samp(g) / sqrt(count(*))', 'improved': 'count(*) FILTER (WHERE g > 0)', 'n': 'count(*)'}, ('improved', 'n'))} FROM m",
     "g_drift": f"{sql_views('wide')}, {DRIFT} SELECT feature, {cols({'mean_train': 'm1', 'mean_test': 'm2', 'shift': 'shift', 'std_ratio': 'std_ratio', 'null_delta': 'null_delta'})} FROM e",
-    "g_drift_summary": f"{sql_views('wide')}, {DRIFT} SELECT count(*) AS features, count(*) FILTER (WHERE shift >= 0.1) AS above_0p1, count(*) FILTER (WHERE shift >= 0.3) AS above_0p3, count(*) FILTER (WHERE shift >= 0.5) AS above_0p5, {cols({'median_shift': 'quantile_cont(shift, 0.5)', 'max_shift': 'max(shift)'})}, count(*) FILTER (WHERE abs(null_delta) > 0.01) AS null_changes FROM e",
+    "g_drift_summary": f"{sql_views('wide')}, {DRIFT} SELECT count(*) AS features, count(*) FILTER (WHERE shift < 0.1) AS below_0p1, count(*) FILTER (WHERE shift >= 0.1 AND shift < 0.3) AS from_0p1, count(*) FILTER (WHERE shift >= 0.3 AND shift < 0.5) AS from_0p3, count(*) FILTER (WHERE shift >= 0.5) AS from_0p5, {cols({'median_shift': 'quantile_cont(shift, 0.5)', 'max_shift': 'max(shift)'})}, count(*) FILTER (WHERE abs(null_delta) > 0.1) AS null_changes FROM e",
     "g_drift_by_family": f"{sql_views('wide')}, {DRIFT} SELECT split_part(feature, '_', 1) AS family, count(*) AS n, {cols({'most': 'max(shift)', 'mean': 'avg(shift)'})} FROM e GROUP BY family",
     "g_correlation_pairs": f"{pairs()} SELECT a, b, {r('r')} AS r FROM pr",
     "g_duplicate_groups": pairs().replace("WITH ", "WITH RECURSIVE ", 1) + ", n(feature, i) AS (VALUES " + ", ".join(f"('{f}', {i})" for i, f in enumerate(WIDE)) + "), ed AS (SELECT a, b FROM pr WHERE r > 0.999 UNION ALL SELECT b, a FROM pr WHERE r > 0.999), reach(feature, other) AS (SELECT feature, feature FROM n UNION SELECT reach.feature, ed.b FROM reach JOIN ed ON reach.other = ed.a) SELECT feature, leader, feature <> leader AS duplicate FROM (SELECT reach.feature, arg_min(other, n.i) AS leader FROM reach JOIN n ON other = n.feature GROUP BY reach.feature)",
     "g_adversarial_auc": f"{sql_views('wide')}, k AS (SELECT split, rank() OVER (ORDER BY mkt_price) + (count(*) OVER (PARTITION BY mkt_price) - 1) / 2 AS rk FROM wide), c AS (SELECT count(*) FILTER (WHERE split = 'test') AS p, count(*) FILTER (WHERE split = 'train') AS q, sum(rk) FILTER (WHERE split = 'test') AS s FROM k) SELECT {r('(s - p * (p + 1) / 2) / p / q')} AS auc, p AS positives FROM c",
     "h_ranked_signals": f"{S} SELECT sample_id, row_number() OVER (ORDER BY abs(p1) DESC, sample_id) AS rank, {r('sign(p1)::DOUBLE')} AS signal FROM s WHERE p1 <> 0",
-    "h_backtest_costs": f"""{S}, k AS (SELECT *, row_number() OVER (ORDER BY abs(p1) DESC, sample_id) AS rank FROM s WHERE p1 <> 0), c(cost_bps) AS (VALUES (0.0::DOUBLE), (1.0), (2.0), (5.0)),
-t AS (SELECT cost_bps, month, sample_id, sign(p1) * y - cost_bps * 1e-4::DOUBLE AS pnl FROM k, c WHERE rank <= ceil(0.2::DOUBLE * (SELECT count(*) FROM s))),
-e AS (SELECT *, sum(pnl) OVER w AS eq FROM t WINDOW w AS (PARTITION BY cost_bps ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING)),
-d AS (SELECT *, eq - greatest(0, max(eq) OVER (PARTITION BY cost_bps ORDER BY month, sample_id ROWS UNBOUNDED PRECEDING)) AS fall FROM e)
-SELECT cost_bps, {cols({'trades': 'count(*)', 'total': 'sum(pnl)', 'mean': 'avg(pnl)', 'volatility': 'stddev_samp(pnl)', 'sharpe': 'avg(pnl) / nullif(stddev_samp(pnl), 0)', 'win_rate': 'avg((pnl > 0)::INT)', 'max_drawdown': 'min(fall)'}, ('trades',))} FROM d GROUP BY cost_bps""",
+    "h_backtest_costs": f"{S}, {curve('cost_bps', 'g.cost_bps * 1e-4::DOUBLE', 'ceil(0.2::DOUBLE * (SELECT count(*) FROM s))', COSTS_BPS)} SELECT cost_bps, {r('(SELECT quantile_cont(abs(p1), 0.8) FROM s)')} AS threshold, {cols(MEASURES, ('trades',))} FROM d GROUP BY cost_bps",
     "i_median_impute": f"{sql_views('wide')}, m AS (SELECT coalesce(quantile_cont(txn_unit_price, 0.5) FILTER (WHERE split = 'train'), 0) AS v FROM wide) SELECT split, {r('avg(coalesce(txn_unit_price, v))')} AS mean, count(*) AS n FROM wide, m GROUP BY split",
     "i_standardise": f"{sql_views('wide')}, m AS (SELECT avg(mkt_price) FILTER (WHERE split = 'train') AS a, stddev_pop(mkt_price) FILTER (WHERE split = 'train') AS s FROM wide) SELECT split, {cols({'mean': 'avg((mkt_price - a) / s)', 'std': 'stddev_pop((mkt_price - a) / s)', 'constant': '0.0::DOUBLE'})} FROM wide, m GROUP BY split",
     "i_blend_weights": f"{S}, g AS (SELECT sum(p1*p1) AS a, sum(p1*p2) AS b, sum(p2*p2) AS d, sum(p1*y) AS u, sum(p2*y) AS v FROM s), w AS (SELECT (d*u - b*v) / (a*d - b*b) AS w1, (a*v - b*u) / (a*d - b*b) AS w2 FROM g) SELECT 'p1' AS model, {r('w1 / (abs(w1) + abs(w2))')} AS weight FROM w UNION ALL SELECT 'p2', {r('w2 / (abs(w1) + abs(w2))')} FROM w",

@@ -26,6 +26,12 @@ def test_query_agrees_with_sql(spark, con, name):
     elif name == "i_boosted":
         scores = [r.cosine for r in df.collect()]
         assert sum(scores) / len(scores) > 0
+    elif name == "i_ridge_features":  # held to numpy in test_linear.py
+        rows = df.collect()
+        assert rows and all(abs(r.cosine) <= 1 and r.rmse >= 0 for r in rows)
+    elif name in ("g_adversarial_blocks", "g_adversarial_boosted"):
+        rows = {r["lo"] if "lo" in df.columns else 0: r for r in df.collect()}
+        assert all(0.3 < r.auc < 0.7 and r.positives and r.negatives for r in rows.values()) and len(rows) == (7 if "blocks" in name else 1)
     elif sql is None:
         raise AssertionError(f"{name} has neither SQL nor a test of its own")
     else:
