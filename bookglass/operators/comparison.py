@@ -7,11 +7,27 @@ from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import corr_safe, cosine, quantile, safe_div
 from bookglass.operators.linear import column_quantiles, group_quantiles
+from bookglass.operators.ranges import with_previous
 
 #: First and last month of each named part.
 SPLITS = [("train", 0, 63), ("stop", 64, 64), ("holdout", 65, 70)]
 
 
+#: The parts of the fit that is shipped.
+SHIP_SPLITS = [("train", 0, 67), ("stop", 68, 68), ("blend", 69, 70)]
+
+
+def checked_splits(df: DataFrame, splits: list[tuple] = SPLITS) -> DataFrame:
+    """split_rows, after one pass that raises ValueError where parts overlap or aren't in order, or one has no rows."""
+    for (a, _, hi), (b, lo, _) in zip(splits, splits[1:], strict=False):
+        if hi >= lo:
+            raise ValueError(f"{b} from month {lo} doesn't follow {a} to month {hi}")
+    one = df.agg(*(F.count_if(F.col("month").between(lo, hi)).alias(n) for n, lo, hi in splits)).first()
+    if empty := [n for n, _, _ in splits if not one[n]]:
+        raise ValueError(f"no rows in {', '.join(empty)}")
+    return split_rows(df, splits)
+
+
 def split_rows(df: DataFrame, splits: list[tuple] = SPLITS) -> DataFrame:
     """df with the name of the part that each month is in; months in none drop."""
     t = df.sparkSession.createDataFrame(splits, "part string, lo int, hi int")
@@ -19,9 +35,10 @@ def split_rows(df: DataFrame, splits: list[tuple] = SPLITS) -> DataFrame:
 
 
 def month_faults(df: DataFrame, last: int = 70) -> DataFrame:
-    """Counts of months that are missing, not whole, negative or past the last one."""
+    """Counts of months that are missing, not whole, negative, past the last one, or below that of the sample before."""
     m = F.col("month").cast("double")
-    return df.agg(F.count("*").alias("n"), F.count_if(m.isNull()).alias("missing"), F.count_if(m != F.floor(m)).alias("not_whole"), F.count_if(m < 0).alias("negative"), F.count_if(m > last).alias("late"))
+    d = with_previous(df.select("sample_id", "month"), ["sample_id"], {"before": "month"})
+    return d.agg(F.count("*").alias("n"), F.count_if(m.isNull()).alias("missing"), F.count_if(m != F.floor(m)).alias("not_whole"), F.count_if(m < 0).alias("negative"), F.count_if(m > last).alias("late"), F.count_if(F.col("month") < F.col("before")).alias("out_of_order"))
 
 
 def outside_band(train: DataFrame, other: DataFrame, features: list[str]) -> DataFrame:

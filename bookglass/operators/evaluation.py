@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import corr_safe, cosine, quantile, safe_div
-from bookglass.operators.ranges import equity_curve, kept, numbered
+from bookglass.operators.ranges import ROWS, equity_curve, kept, numbered, ranged
 
 # Folds, costs, shares of traded rows.
 #: First and last month of each fold's training and validation; months between are the embargo.
@@ -52,6 +52,24 @@ def fold_rows(df: DataFrame, folds: list[tuple] = FOLDS) -> DataFrame:
     return df.join(F.broadcast(t), F.col("month").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
+def checked_folds(df: DataFrame, folds: list[tuple] = FOLDS, holdout: int = 65, embargo: int = 1) -> DataFrame:
+    """fold_rows, after one pass that raises ValueError where a month is null, negative or not whole, a fold's training or validation rows are
+    missing, fewer than ``embargo`` months lie between them, or a fold reaches into the hold-out."""
+    for f, a, b, c, d in folds:
+        if not (0 <= a <= b and c <= d and b + embargo < c):
+            raise ValueError(f"fold {f}: validation months {c} to {d} don't follow training months {a} to {b} and an embargo of {embargo}")
+        if d >= holdout:
+            raise ValueError(f"fold {f} reaches into the hold-out from month {holdout}")
+    m = F.col("month").cast("double")
+    inside = [F.count_if(m.between(lo, hi)).alias(f"n{i}") for i, (lo, hi) in enumerate(x for _, a, b, c, d in folds for x in ((a, b), (c, d)))]
+    one = df.agg(F.count_if(m.isNull() | (m < 0) | (m != F.floor(m))).alias("bad"), *inside).first()
+    if one["bad"]:
+        raise ValueError(f"{one['bad']} months are null, negative or not whole")
+    if empty := [f"fold {folds[i // 2][0]}: no {('training', 'validation')[i % 2]} rows" for i in range(2 * len(folds)) if not one[f"n{i}"]]:
+        raise ValueError("; ".join(empty))
+    return fold_rows(df, folds)
+
+
 def fold_faults(df: DataFrame, folds: list[tuple] = FOLDS, holdout: int = 65) -> DataFrame:
     """Per fold: last training and first validation month, the embargo between, and whether they leak into each other or the hold-out."""
     r = fold_rows(df, folds).groupBy("fold").agg(F.max(F.when(F.col("role") == "train", F.col("month"))).alias("last_train"), F.min(F.when(F.col("role") == "val", F.col("month"))).alias("first_val"), F.max("month").alias("last_month"))
@@ -225,9 +243,12 @@ def backtest(df: DataFrame, fraction: float = 0.2, costs: list[float] | None = N
     return _for_all(c, trade_measures(t, ["cost_bps"], max(n, 1)), "cost_bps").crossJoin(F.broadcast(limit))
 
 
-def month_sample(df: DataFrame, quota: int = 50) -> DataFrame:
-    """The first rows by id of each month."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy("month").orderBy("sample_id"))).where(F.col("__n") <= quota).drop("__n")
+def month_sample(df: DataFrame, quota: int = 50, slices: int = 32) -> DataFrame:
+    """The first rows by id of each month. Slices of a month, dealt by the id, keep their first rows before these meet, so a month's
+    task orders quota * slices rows at most."""
+    slice_ = Window.partitionBy("month", F.pmod(F.xxhash64("sample_id"), F.lit(slices))).orderBy("sample_id")
+    near = df.withColumn("__n", F.row_number().over(slice_)).where(F.col("__n") <= quota)
+    return near.withColumn("__n", F.row_number().over(Window.partitionBy("month").orderBy("sample_id"))).where(F.col("__n") <= quota).drop("__n")
 
 
 def sequence_steps(quotes: DataFrame, steps: int = 16) -> DataFrame:
@@ -302,7 +323,24 @@ def fraction_sweep(df: DataFrame, cost_bps: float = 1.0, y: str = "y", p: str =
 
 
 def month_fraction(df: DataFrame, fraction: float) -> DataFrame:
-    """A fraction of each month's rows, rounded, in an order spread by the id."""
-    w = Window.partitionBy("month")
-    spread = F.pmod(F.col("sample_id") * 7919, F.lit(10007))
-    return df.withColumns({"__n": F.row_number().over(w.orderBy(spread, "sample_id")), "__of": F.count("*").over(w)}).where(F.col("__n") <= F.round(F.col("__of") * fraction)).drop("__n", "__of")
+    """A fraction of each month's rows, rounded, in an order spread by the id. Rows are numbered in ranges of (month, order), so no task
+    holds a month; the ranges are written when this is called."""
+    d = df.withColumn("__spread", F.pmod(F.col("sample_id") * 7919, F.lit(10007)))
+    d = numbered(d, ["month", "__spread", "sample_id"], "__n")
+    months = d.groupBy(F.col("month").alias("__m")).agg(F.min("__n").alias("__from"), F.count("*").alias("__of"))
+    d = d.join(F.broadcast(months), F.col("month").eqNullSafe(F.col("__m")))  # a row per month
+    return d.where(F.col("__n") - F.col("__from") < F.round(F.col("__of") * fraction)).drop("__spread", "__n", "__m", "__from", "__of")
+
+
+def month_places(df: DataFrame, x: str, rows: int = ROWS) -> DataFrame:
+    """df with ``place``: the mean rank, from 1, of x among its month's rows, ties sharing theirs; null for null. Values are counted before
+    they are ordered, in ranges of (month, value) whose counts are chained, so no task holds a month."""
+    counts = ranged(df.where(F.col(x).isNotNull()).groupBy("month", x).agg(F.count("*").alias("__n")), ["month", x], rows)
+    w = Window.partitionBy("month", "range").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("__below", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    parts = counts.groupBy("month", "range").agg(F.sum("__n").alias("__sum"))
+    chain = Window.partitionBy("month").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = parts.select(F.col("month").alias("__pm"), F.col("range").alias("__pr"), F.coalesce(F.sum("__sum").over(chain), F.lit(0)).alias("__before"))
+    counts = counts.join(parts, F.col("month").eqNullSafe(F.col("__pm")) & (F.col("range") == F.col("__pr")))
+    counts = counts.select(F.col("month").alias("__m"), F.col(x).alias("__x"), (F.col("__before") + F.col("__below") + (F.col("__n") + 1) / 2).alias("place"))
+    return df.join(counts, F.col("month").eqNullSafe(F.col("__m")) & (F.col(x) == F.col("__x")), "left").drop("__m", "__x")

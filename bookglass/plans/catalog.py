@@ -159,7 +159,7 @@ def e_block_autocorrelation(t):
 
 @query
 def f_fold_rows(t):
-    return ev.fold_rows(in_months(t)).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"))
+    return ev.checked_folds(in_months(t)).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"))
 
 
 @query
@@ -340,9 +340,10 @@ def k_missing_keys(t):
 
 @query
 def b_prediction_reshaping(t):
-    m = Window.partitionBy("month")
-    ties = F.count("*").over(Window.partitionBy("month", "p1"))
-    return in_months(t).select("sample_id", (F.col("p1") - F.avg("p1").over(m)).alias("centred"), (F.signum("p1") * F.sqrt(F.abs("p1"))).alias("power"), (F.rank().over(m.orderBy("p1")) + (ties - 1) / 2).alias("place"))
+    s = in_months(t)
+    means = s.groupBy("month").agg(F.avg("p1").alias("mean"))  # a row per month
+    placed = ev.month_places(s, "p1").join(F.broadcast(means), "month")
+    return placed.select("sample_id", (F.col("p1") - F.col("mean")).alias("centred"), (F.signum("p1") * F.sqrt(F.abs("p1"))).alias("power"), "place")
 
 
 @query

@@ -13,7 +13,7 @@ from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
 from bookglass.operators import ranges, series
 from bookglass.plans.sql import BOOK, CLOCK, DRIFT, S, WIDE, blocks_sql, cols, corr, cos, curve, r
-from bookglass.sources import sinks
+from bookglass.sources import exports, sinks
 from bookglass.sources.adapters import sql_views
 
 QUERIES: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {}
@@ -61,7 +61,7 @@ def b_outside_band(t):
 @query(f"{sql_views('market', 'trade')}, a AS (SELECT sample_id, count(*) AS snapshots FROM market GROUP BY sample_id), b AS (SELECT sample_id, count(*) AS trades FROM trade GROUP BY sample_id) SELECT a.sample_id, snapshots, trades FROM a LEFT JOIN b ON a.sample_id = b.sample_id")
 def c_one_to_one_left_join(t):
     a = t("market").groupBy("sample_id").agg(F.count("*").alias("snapshots"))
-    return a.join(t("trade").groupBy("sample_id").agg(F.count("*").alias("trades")), "sample_id", "left")
+    return exports.joined_once(a, t("trade").groupBy("sample_id").agg(F.count("*").alias("trades")), ["sample_id"])
 
 
 IMPORTANCE = "w AS (SELECT feature, avg(abs(coalesce(v, 0))) AS mean_size FROM u GROUP BY feature)"
@@ -95,10 +95,15 @@ def e_residual_blocks(t):
 
 @query(f"{S}, p(part, lo, hi) AS (VALUES ('train', 0, 63), ('stop', 64, 64), ('holdout', 65, 70)) SELECT part, count(*) AS n, min(month) AS first, max(month) AS last, {r('avg(y)')} AS mean FROM s JOIN p ON month BETWEEN lo AND hi GROUP BY part")
 def f_named_splits(t):
-    return cp.split_rows(scored(t)).groupBy("part").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"), F.avg("y").alias("mean"))
+    return cp.checked_splits(scored(t)).groupBy("part").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"), F.avg("y").alias("mean"))
 
 
-@query(f"{sql_views('scored')} SELECT count(*) AS n, count(*) FILTER (WHERE month IS NULL) AS missing, count(*) FILTER (WHERE month <> floor(month)) AS not_whole, count(*) FILTER (WHERE month < 0) AS negative, count(*) FILTER (WHERE month > 70) AS late FROM scored")
+@query(f"{S}, p(part, lo, hi) AS (VALUES ('train', 0, 67), ('stop', 68, 68), ('blend', 69, 70)) SELECT part, count(*) AS n, min(month) AS first, max(month) AS last FROM s JOIN p ON month BETWEEN lo AND hi GROUP BY part")
+def f_ship_splits(t):
+    return cp.checked_splits(scored(t), cp.SHIP_SPLITS).groupBy("part").agg(F.count("*").alias("n"), F.min("month").alias("first"), F.max("month").alias("last"))
+
+
+@query(f"{sql_views('scored')} SELECT count(*) AS n, count(*) FILTER (WHERE month IS NULL) AS missing, count(*) FILTER (WHERE month <> floor(month)) AS not_whole, count(*) FILTER (WHERE month < 0) AS negative, count(*) FILTER (WHERE month > 70) AS late, count(*) FILTER (WHERE month < before) AS out_of_order FROM (SELECT *, lag(month) OVER (ORDER BY sample_id) AS before FROM scored)")
 def f_month_faults(t):
     return cp.month_faults(t("scored"))
 
@@ -196,6 +201,45 @@ def i_channel_scaling(t):
     return z.select("row_id", *(F.round(c, 9).alias(c) for c in ("mid", "spread")))  # a z-score's error is that of the mean
 
 
+@query(f"{S} SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS unordered, 0::BIGINT AS overlapping, arg_min(sample_id, (month, sample_id)) AS first_id, arg_max(sample_id, (month, sample_id)) AS last_id FROM s")
+def k_ordered_export(t):
+    """What is read back from files numbered in the order of (month, sample_id)."""
+    s = scored(t).select("month", "sample_id", "y")
+    f = exports.export_ordered(s, sinks.scratch(s.sparkSession, "ordered"), ["month", "sample_id"], rows_per_file=100_000)
+    return f.agg(F.sum("n").alias("n_rows"), F.sum("unordered").alias("unordered"), F.count_if("overlaps").alias("overlapping"), F.min("first")["sample_id"].alias("first_id"), F.max("last")["sample_id"].alias("last_id"))
+
+
+@query(f"{S} SELECT 'scored' AS table_name, count(*) AS n_rows, 'y' AS out_of_range FROM s UNION ALL SELECT 'wide', count(*), 'mkt_price' FROM lineitem")
+def j_footer_audit(t):
+    """Rows and columns that leave their bounds, told from the footers of two written tables."""
+    s, w = scored(t).select("sample_id", "month", "y"), t("wide")
+    at = {n: sinks.scratch(s.sparkSession, n) for n in ("scored", "wide")}
+    sinks.write_parts(s, at["scored"])
+    sinks.write_parts(w, at["wide"])
+    bounds = {"month": (0, 70), "y": (0.0, 1.0), "mkt_price": (0.0, 1.0), "ord_tax": (0.0, 1.0)}
+    return exports.footer_audit(s.sparkSession, at, bounds).select("table_name", "n_rows", "out_of_range")
+
+
+@query(f"{S}, a AS (SELECT month, {cos('y', 'p1')} AS c FROM s GROUP BY month) SELECT month, CASE WHEN month = 0 THEN 'only in the first' WHEN month = 70 THEN 'only in the second' WHEN abs(c - (round(c * 100) / 100)) > 0.002 THEN 'differs' ELSE 'agrees' END AS status, CASE WHEN month NOT IN (0, 70) AND abs(c - (round(c * 100) / 100)) > 0.002 THEN 'cosine' ELSE '' END AS columns FROM a")
+def g_reconciled_results(t):
+    """Monthly scores published as JSON, less the last month, against those published as CSV with two digits, less the first one."""
+    s = scored(t).groupBy("month").agg(cosine(F.col("y"), F.col("p1")).alias("cosine"))
+    spark, whole, short = s.sparkSession, *(sinks.scratch(s.sparkSession, n) for n in ("json", "csv"))
+    s.where("month < 70").write.json(whole)
+    s.where("month > 0").select("month", (F.round(F.col("cosine") * 100) / 100).alias("cosine")).write.option("header", True).csv(short)
+    schema = "month int, cosine double"
+    return exports.reconcile(spark.read.schema(schema).json(whole), spark.read.schema(schema).option("header", True).csv(short), ["month"], ["cosine"], 0.002)
+
+
+@query(f"{S} SELECT count(*) AS n, sum(sample_id)::BIGINT AS ids FROM s")
+def a_whole_load(t):
+    """Rows of a load in three parts that became visible together, keyed from 0."""
+    s = ranges.kept(ranges.numbered(scored(t).select("sample_id"), ["sample_id"]))
+    path = sinks.scratch(s.sparkSession, "load")
+    exports.load_whole({f"p{i}": s.where(F.col("pos") % 3 == i) for i in range(3)}, path, "scored", "pos")
+    return exports.read_whole(s.sparkSession, path).agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids"))
+
+
 @query(f"{S} SELECT sample_id, {r('y')} AS y FROM s ORDER BY (sample_id * 7919) % 10007, sample_id LIMIT 100")
 def k_spread_sample(t):
     return scored(t).orderBy(F.pmod(F.col("sample_id") * 7919, F.lit(10007)), "sample_id").limit(100).select("sample_id", "y")
