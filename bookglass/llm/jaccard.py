@@ -8,7 +8,6 @@ import math
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,8 @@ BUCKET_SHINGLES, BROADCAST_IDS = 4_000_000, 500_000
 BLOCK_SHINGLES = 3_000_000
 #: Sets in one piece of a shingle's list, and the most pieces.
 PIECE, PIECES = 256, 1024
-#: Entries of short lists up to which a heap merges them; more are merged by marking their places.
-HEAP = 64
-#: DivideSkip's weight of a probe against a step of the merge.
-MU = 0.02
+#: DivideSkip's weight of a probe against a step of the merge; probes made together.
+MU, PROBES = 0.02, 1 << 20
 
 
 class _Words(dict):
@@ -129,49 +126,63 @@ def _find(frequent: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return frequent[at] == t, at
 
 
-def _by_bucket(t: np.ndarray, owner: np.ndarray, n: int, buckets: int, size: int = 5) -> Iterator[tuple[int, bytes, bytes]]:
-    """(bucket, how many hashes of each of the n owners fall in it, those hashes by owner). owner must be sorted."""
+def _by_bucket(t: np.ndarray, owner: np.ndarray, buckets: int, size: int = 5) -> Iterator[tuple[int, bytes, bytes, np.ndarray]]:
+    """(bucket, owners with how many hashes they have in it, those hashes by owner, the owners). Only owners with a hash in the bucket are
+    told, so what is dealt grows with the hashes alone, however many buckets there are. owner must be sorted."""
     bucket = ((t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, owner, packed = bucket[order], owner[order], _pack(t[order], size)
     starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
     for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]):
-        yield int(bucket[lo]), _squeeze(np.bincount(owner[lo:hi], minlength=n).astype(np.uint32)), packed[size * lo : size * hi]
+        who, many = _counted(owner[lo:hi])
+        yield int(bucket[lo]), _squeeze(np.stack([who, many])), packed[size * lo : size * hi], who
+
+
+def _counted(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array and how often each stands in it."""
+    first = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+    return a[first].astype(np.int32), np.diff(np.r_[first, len(a)]).astype(np.int32)
+
+
+def _pairs(b: bytes) -> np.ndarray:
+    """What _squeeze made of two rows of 32-bit numbers."""
+    return np.frombuffer(zlib.decompress(b), np.int32).reshape(2, -1)
 
 
 def _deal(batches: Iterator[pa.RecordBatch], width: int, buckets: int, frequent: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
-    """A row per batch of documents and bucket of hashes: how many shingles of each document fall in it, and those, by
-    document. And a row of a negative bucket with the documents, their sizes and how many frequent shingles they have."""
+    """A row per batch of documents and bucket of hashes: the documents with shingles in it, how many, those shingles, and the documents'
+    digests. And a row of a negative bucket with all documents, their sizes and how many frequent shingles they have."""
     for ids, texts in _texts(batches):
         sets = [(d, shingles(t or b"", width)) for d, t in zip(ids, texts, strict=True) if d is not None]
         sets = [(d, s) for d, s in sets if len(s)]
         if not sets:
             continue
         docs, sizes = np.array([d for d, _ in sets], np.int64), np.array([len(s) for _, s in sets], np.int64)
-        marks = b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for _, s in sets)
-        batch = xxhash.xxh3_64_intdigest(docs.tobytes() + marks) >> 1
+        marks = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=8).digest() for _, s in sets), np.int64)
+        batch = xxhash.xxh3_64_intdigest(docs.tobytes() + marks.tobytes()) >> 1
         t = np.concatenate([s for _, s in sets])
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
         often, _ = _find(frequent, t)
         many = np.bincount(owner[often], minlength=len(sets)).astype(np.int64)
-        rows = [*_by_bucket(t[~often], owner[~often], len(sets), buckets, size), (-1 - batch % buckets, _squeeze(np.stack([docs, sizes, many])), b"")]
+        rows = [*_by_bucket(t[~often], owner[~often], buckets, size), (-1 - batch % buckets, _squeeze(np.stack([docs, sizes, many])), b"", np.empty(0, np.int64))]
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([r[0] for r in rows], pa.int32()),
                 pa.array([batch] * len(rows), pa.int64()),
                 pa.array([r[1] for r in rows], pa.binary()),
                 pa.array([r[2] for r in rows], pa.binary()),
-                pa.array([marks] * (len(rows) - 1) + [b""], pa.binary()),
+                pa.array([marks[r[3]].tobytes() for r in rows], pa.binary()),
             ],
             names=["bucket", "batch", "counts", "tokens", "marks"],
         )
 
 
 def _shared(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(batch, about, shared): for each batch in a bucket, how many shingles of each document other sets have too."""
+    """(batch, about, shared): for each batch in a bucket, its documents there with how many of these shingles other sets have too."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        counts = [np.frombuffer(zlib.decompress(c), np.uint32) for _, c, _, _ in rows]
+        known = [_pairs(c) for _, c, _, _ in rows]
+        counts = [k[1] for k in known]
         t = _unpack(b"".join(r[2] for r in rows), size)
         mark = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
         owner = np.repeat(np.arange(len(mark), dtype=np.int64), np.concatenate(counts))
@@ -185,9 +196,9 @@ def _shared(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         other = np.r_[False, (tt[1:] == tt[:-1]) & (mm[1:] != mm[:-1])] if len(tt) else new
         group = np.cumsum(new) - 1
         wide = np.bincount(group, weights=other)[group] > 0 if len(tt) else new
-        shared = np.bincount(owner[twice[order][wide]], minlength=len(mark)).astype(np.uint32)
+        shared = np.bincount(owner[twice[order][wide]], minlength=len(mark)).astype(np.int32)
         ends = np.cumsum([len(c) for c in counts])[:-1]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(shared, ends)], pa.binary())], names=["batch", "about", "shared"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([_squeeze(np.stack([k[0], x])) for k, x in zip(known, np.split(shared, ends), strict=True)], pa.binary())], names=["batch", "about", "shared"])
 
     current, rows = None, []
     for batch in batches:
@@ -210,23 +221,24 @@ def _shared(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Documents with fewer shingles of their own than prefix_length: all others share none of any prefix, and link with nothing."""
 
-    def settle(about: bytes | None, shared: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def settle(about: bytes | None, shared: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if about is not None:
             doc, n, often = np.frombuffer(about, np.int64).reshape(3, -1)
-            own = n - often - (0 if shared is None else shared)
+            own = n - often
+            for who, many in shared:
+                own[who] -= many
             yield pa.RecordBatch.from_arrays([pa.array(doc[own < n - (percent * n + 99) // 100 + 1])], names=["doc"])
 
-    current, about, shared = None, None, None
+    current, about, shared = None, None, []
     for batch in batches:
         for key, a, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if key != current:
                 yield from settle(about, shared)
-                current, about, shared = key, None, None
+                current, about, shared = key, None, []
             if a is not None:
                 about = zlib.decompress(a)
             else:
-                more = np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64)
-                shared = more if shared is None else shared + more
+                shared.append(_pairs(x))
     yield from settle(about, shared)
 
 
@@ -243,7 +255,7 @@ def _postings(batches: Iterator[pa.RecordBatch], buckets: int, frequent: np.ndar
         key = xxhash.xxh3_64_intdigest(docs.tobytes() + t.tobytes()) >> 1
         often, at = _find(frequent, t)
         about = (-1 - key % buckets, _squeeze(np.stack([docs, sizes])), _squeeze(np.stack([owner[often], rank[at[often]]])) if often.any() else b"")
-        rows = [*_by_bucket(t[~often], owner[~often], len(sets), buckets), about]
+        rows = [*(r[:3] for r in _by_bucket(t[~often], owner[~often], buckets)), about]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([key] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "batch", "counts", "tokens"])
 
 
@@ -252,18 +264,19 @@ def _times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["bucket", "batch", "counts", "tokens", "times"]
 
     def settle(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        counts = [np.frombuffer(zlib.decompress(c), np.uint32) for _, c, _ in rows]
+        known = [_pairs(c) for _, c, _ in rows]
+        counts = [k[1] for k in known]
         t = _unpack(b"".join(r[2] for r in rows))
         owner = np.repeat(np.arange(sum(len(c) for c in counts), dtype=np.int64), np.concatenate(counts))
         _, at, n = np.unique(t, return_inverse=True, return_counts=True)
         n = n[at]
         some = n > 1
-        left = np.bincount(owner[some], minlength=sum(len(c) for c in counts)).astype(np.uint32)
+        left = np.bincount(owner[some], minlength=sum(len(c) for c in counts)).astype(np.int32)
         per_row = np.split(left, np.cumsum([len(c) for c in counts])[:-1])
         ends = np.cumsum([0, *(int(c.sum()) for c in per_row)]).tolist()
         t, n = t[some], n[some].astype(np.uint32)
         pieces = list(zip(ends, ends[1:]))
-        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([_squeeze(c) for c in per_row], pa.binary()), pa.array([_pack(t[a:b]) for a, b in pieces], pa.binary()), pa.array([_squeeze(n[a:b]) for a, b in pieces], pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), pa.array([_squeeze(np.stack([k[0], c])) for k, c in zip(known, per_row, strict=True)], pa.binary()), pa.array([_pack(t[a:b]) for a, b in pieces], pa.binary()), pa.array([_squeeze(n[a:b]) for a, b in pieces], pa.binary())], names=names)
 
     current, rows = None, []
     for batch in batches:
@@ -299,7 +312,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             owners, keys, times = [owner], [rank.astype(np.int64) | (1 << 62)], [np.full(len(rank), 1 << 40, np.int64)]
         for bucket, (counts, tokens, n) in rows.items():
             if bucket >= 0 and tokens:
-                owners.append(np.repeat(np.arange(len(docs), dtype=np.int32), np.frombuffer(zlib.decompress(counts), np.uint32)))
+                owners.append(np.repeat(*_pairs(counts)))
                 keys.append(_unpack(tokens).view(np.int64) + (bucket << 40))
                 times.append(np.frombuffer(zlib.decompress(n), np.uint32).astype(np.int64))
         if not owners:
@@ -443,23 +456,20 @@ def spanning_links(sets: list[tuple[int, int, list[int]]], percent: int) -> list
     return out
 
 
-def _merged(lists: list[np.ndarray], low: int, high: int) -> np.ndarray:
-    """The sets between low and high that stand in any of some lists, in order."""
-    if sum(map(len, lists)) <= HEAP:
-        return np.array([k for k, _ in groupby(heapq.merge(*(x.tolist() for x in lists)))], np.int64)
-    found = np.zeros(high - low, bool)
-    for x in lists:
-        found[x - low] = True
-    return np.flatnonzero(found) + low
+def _merged(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sets that stand in any of some ascending lists, in order, and in how many. The lists are runs of one array, which a stable
+    sort merges run by run."""
+    return np.unique(np.concatenate(lists), return_counts=True) if len(lists) > 1 else (lists[0], np.ones(len(lists[0]), np.int64))
 
 
 def every_link(sets: list[tuple[int, int, np.ndarray, int]], percent: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Of (id, side, tokens, copies): links that span the link graph, and for each set the copies of all sets it links
     with. Sets of one side other than 0 aren't held against each other.
 
-    DivideSkip over the lists of sets that come before: of a set's lists, the need - 1 longest are long, so what the
-    merged short ones name has to be probed in the long ones. A list that most sets are in is probed by its gaps, the
-    sets that are not in it, so near copies cost what they differ in.
+    DivideSkip over the lists of the sets that come before. Of a set's lists, the longest are kept apart, fewer than the occurrences
+    that a link needs; the short ones are merged and their occurrences counted; the sets with enough of these are
+    probed in the long lists by binary search, and leave as soon as the lists left can't make up what they lack. A list that most
+    sets are in is told by its gaps, the sets that are not in it: these are what is merged, so near copies cost what they differ in.
     """
     m = len(sets)
     order = sorted(range(m), key=lambda i: (len(sets[i][2]), sets[i][0]))
@@ -476,20 +486,18 @@ def every_link(sets: list[tuple[int, int, np.ndarray, int]], percent: int) -> tu
     start = np.searchsorted(owner, np.arange(m + 1))
     by_token = np.argsort(token, kind="stable")
     lists, first = owner[by_token], np.searchsorted(token[by_token], np.arange(len(times) + 1))
+    entries = token[by_token] * m + lists  # all lists one after another, each ascending
 
     most = np.flatnonzero(times > m // 2) if m > 2 else np.empty(0, np.int64)
-    dense = np.zeros(len(times), bool)
-    dense[most] = True
-    lacks = [np.setdiff1d(np.arange(m), lists[first[t] : first[t + 1]], assume_unique=True) for t in most]
-    lack_owner = np.concatenate([np.empty(0, np.int64), *lacks])
-    lack_token = np.repeat(most, [len(x) for x in lacks])
-    lacking = np.bincount(lack_owner, minlength=m)
-    apart_owner, apart = np.concatenate([owner[~dense[token]], lack_owner]), np.concatenate([token[~dense[token]], lack_token])
-    inner = np.argsort(apart_owner, kind="stable")
-    apart = apart[inner]
-    at = np.searchsorted(apart_owner[inner], np.arange(m + 1))
-
-    root, degree, out, mark = np.arange(m), np.zeros(m, np.int64), [], np.zeros(len(times), bool)
+    place = np.full(len(times), -1)
+    place[most] = np.arange(len(most))
+    gaps = [np.setdiff1d(np.arange(m), lists[first[t] : first[t + 1]], assume_unique=True) for t in most]
+    lacking = np.bincount(np.concatenate([np.empty(0, np.int64), *gaps]), minlength=m)
+
+    def part(x: np.ndarray, low: int, high: int) -> np.ndarray:
+        return x[np.searchsorted(x, low) : np.searchsorted(x, high)]
+
+    root, degree, out = np.arange(m), np.zeros(m, np.int64), []
     for j in range(m):
         n = int(sizes[j])
         low = int(np.searchsorted(sizes[:j], -(-percent * n // 100)))  # smaller sets can't link
@@ -497,25 +505,48 @@ def every_link(sets: list[tuple[int, int, np.ndarray, int]], percent: int) -> tu
             continue
         need = -(-percent * (n + int(sizes[low])) // (100 + percent))
         own = token[start[j] : start[j + 1]]
-        parts = []
-        for t in own[: max(0, len(own) - need + 1)].tolist():
-            x = lists[first[t] : first[t + 1]]
-            parts.append(x[np.searchsorted(x, low) : np.searchsorted(x, j)])
-        if not parts:
+        common = place[own]
+        rare, common = own[common < 0], common[common >= 0]
+        need -= len(common)
+        if need > len(rare):
             continue
-        near = _merged(parts, low, j)
+        long = min(need - 1, int(need / (MU * math.log2(times[rare[-1]] + 1) + 1))) if need > 1 else 0
+        short = [x for t in rare[: len(rare) - long].tolist() if len(x := part(lists[first[t] : first[t + 1]], low, j))]
+        near, seen = _merged(short) if short else (np.empty(0, np.int64), np.empty(0, np.int64))
+        if need > 0:
+            enough = seen >= need - long
+            near, seen = near[enough], seen[enough]
+        else:  # what most sets have is enough by itself
+            count = np.zeros(j - low, np.int64)
+            count[near - low] = seen
+            near, seen = np.arange(low, j), count
         if side[j]:
-            near = near[side[near] != side[j]]
+            other = side[near] != side[j]
+            near, seen = near[other], seen[other]
         if not len(near):
             continue
-        mine = apart[at[j] : at[j + 1]]
-        mark[mine] = True
-        many = at[near + 1] - at[near]
-        ends = np.cumsum(many)
-        hit = np.r_[0, np.cumsum(mark[apart[np.arange(ends[-1]) + np.repeat(at[near] - (ends - many), many)]])]
-        mark[mine] = False
-        overlap = hit[ends] - hit[ends - many] + len(most) - lacking[j] - lacking[near]
-        near = near[overlap * (100 + percent) >= percent * (n + sizes[near])]
+        if len(most):
+            lacks = np.ones(len(most), bool)
+            lacks[common] = False
+            both = [x for t in np.flatnonzero(lacks).tolist() if len(x := part(gaps[t], low, j))]
+            seen = seen + len(common) - lacking[near]
+            if both:
+                count = np.bincount(np.concatenate(both) - low, minlength=j - low)
+                seen = seen + count[near - low]
+        wanted = -(-percent * (n + sizes[near]) // (100 + percent))
+        left = rare[len(rare) - long :]
+        while len(left):  # as many long lists at a time as a million probes are
+            some = left[: max(1, PROBES // len(near))]
+            keys = (some[:, None] * m + near).ravel()
+            at = np.searchsorted(entries, keys)
+            at[at == len(entries)] = 0
+            seen = seen + (entries[at] == keys).reshape(len(some), -1).sum(0)
+            left = left[len(some) :]
+            alive = seen + len(left) >= wanted
+            near, seen, wanted = near[alive], seen[alive], wanted[alive]
+            if not len(near):
+                break
+        near = near[seen >= wanted]
         if not len(near):
             continue
         degree[near] += copies[j]
@@ -563,8 +594,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80, co
     3. Shingles of candidates are dealt and counted in the same way. Candidates that share one of their rarest n - ceil(t n) + 1 shingles meet in a block, by connected components. A
        block above BLOCK_SHINGLES is cut by size class and salt into chunks, and chunks whose sizes can link meet pair
        by pair, so no task's memory grows with the block.
-    4. In each block, T-occurrence search: short lists are heap-merged, long ones probed, and sets connected already are
-       skipped, so a group of near copies yields a spanning forest, not its pairs. With count_links, every link is
+    4. In each block, T-occurrence search by DivideSkip: short lists are merged (by a heap where sets connected already are
+       skipped, so a group of near copies yields a spanning forest, not its pairs), long ones probed. With count_links, every link is
        verified, once over all blocks, and counted with the copies at its other end; pairs aren't written.
     5. Components of the links, spread to the copies.
 
