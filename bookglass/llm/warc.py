@@ -60,18 +60,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def archive(records: list[bytes]) -> bytes:
-    """A dictionary in a leading skippable frame, then a frame per record. Too few or too short records: no dictionary."""
+    """A dictionary in a leading skippable frame, then a frame per record. Every archive has one: trained on its records, or, where
+    these are too few or too much alike to train on, the beginnings of the records themselves."""
     samples = records[:: max(1, len(records) // DICT_RECORDS)]
-    trained = None
-    if len(samples) >= 16 and sum(map(len, samples)) >= 8 * DICT_BYTES:
-        try:
-            trained = zstandard.train_dictionary(DICT_BYTES, samples)
-        except zstandard.ZstdError:
-            trained = None
-    packer = zstandard.ZstdCompressor(level=3, dict_data=trained, write_content_size=True, write_checksum=True)
-    raw = trained.as_bytes() if trained else b""
-    lead = struct.pack("<II", DICT_MAGIC, len(raw)) + raw if raw else b""
-    return lead + b"".join(map(packer.compress, records))
+    try:
+        lead = zstandard.train_dictionary(DICT_BYTES, samples)
+    except zstandard.ZstdError:
+        each = max(64, DICT_BYTES // max(1, len(samples)))
+        lead = zstandard.ZstdCompressionDict(b"".join(x[:each] for x in samples)[:DICT_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    packer = zstandard.ZstdCompressor(level=3, dict_data=lead, write_content_size=True, write_checksum=True)
+    raw = lead.as_bytes()
+    return struct.pack("<II", DICT_MAGIC, len(raw)) + raw + b"".join(map(packer.compress, records))
 
 
 def frames(data: bytes) -> Iterator[bytes]:
