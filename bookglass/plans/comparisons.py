@@ -231,6 +231,17 @@ def g_reconciled_results(t):
     return exports.reconcile(spark.read.schema(schema).json(whole), spark.read.schema(schema).option("header", True).csv(short), ["month"], ["cosine"], 0.002)
 
 
+@query(f"{sql_views('market', 'trade')}, a AS (SELECT sample_id, count(*) AS snapshots FROM market GROUP BY sample_id), b AS (SELECT sample_id, count(*) AS trades FROM trade GROUP BY sample_id) SELECT a.sample_id, snapshots, trades FROM a JOIN b ON a.sample_id = b.sample_id")
+def c_bucketed_join(t):
+    """Two tables written in as many buckets of the sample, grouped and joined without an exchange."""
+    tables = []
+    for name, count in (("market", "snapshots"), ("trade", "trades")):
+        path = sinks.scratch(t(name).sparkSession, name)
+        d = exports.write_bucketed(t(name).select("sample_id", "row_id"), f"bucketed_{path.rsplit('-', 1)[-1]}", path, buckets=8)
+        tables.append(d.groupBy("sample_id").agg(F.count("*").alias(count)))
+    return tables[0].join(tables[1], "sample_id")
+
+
 @query(f"{S} SELECT count(*) AS n, sum(sample_id)::BIGINT AS ids FROM s")
 def a_whole_load(t):
     """Rows of a load in three parts that became visible together, keyed from 0."""
