@@ -1,4 +1,4 @@
-"""Per-sample features: one scan and one shuffle by sample, all nested windows as conditional aggregates."""
+"""Per-sample features of nested windows: one scan each, rows combined by sample before they are exchanged."""
 
 from __future__ import annotations
 
@@ -35,24 +35,46 @@ def book(raw: DataFrame) -> DataFrame:
     })
 
 
+def ring(windows: list[int]) -> Column:
+    """The place of the smallest window that a row is in; their number for rows in none or without an age."""
+    at = F.lit(len(windows))
+    for i, w in reversed(list(enumerate(windows))):
+        at = F.when(within(w), F.lit(i)).otherwise(at)
+    return at
+
+
 def market_features(raw: DataFrame, windows: list[int] = MARKET_WINDOWS) -> DataFrame:
-    """159 features of each sample's book. The newest two-sided snapshot is taken as one row, in an aggregate of its own
-    that shares the exchange's partitioning, so the numeric aggregates keep hashing."""
-    b = book(raw)
+    """159 features of each sample's book. Each row counts once, in its ring: the part of its smallest window that the next smaller one leaves.
+    The rings, at most one more than the windows for each sample, are added up to windows after a second exchange, which carries them alone;
+    deviations are merged about the newest ring's mean. A sample of any number of rows is combined before it is exchanged.
+    Equal ages go by row_id; rows without an age are in no window, and are nobody's newest or oldest."""
     c = F.col
+    b = book(raw).withColumn("ring", ring(windows))
+    means = {"mid_mean": c("mid"), "spread_mean": c("spread"), "rel_spread_mean": c("rel_spread"), "depth_imb1_mean": c("depth_imb_1"), "depth_imb12_mean": c("depth_imb_12"), "micro_minus_mid": c("microprice") - c("mid"), "ask_slope": c("ask_slope"), "bid_slope": c("bid_slope"), "total_depth_mean": c("total_depth"), "trade_aggression": safe_div(c("transaction_avgprice") - c("mid"), c("spread"))}
+    spreads = {"mid_std": ("mid", "mid_mean"), "depth_imb1_std": ("depth_imb_1", "depth_imb1_mean")}
+    age, seen = F.struct(c(AGE), c("row_id")), c("mid").isNotNull() & c(AGE).isNotNull()
+    parts = [x for n, v in means.items() for x in (F.sum(v).alias(f"s_{n}"), F.count(v).alias(f"n_{n}"))]
+    parts += [F.var_pop(v).alias(f"v_{n}") for n, (v, _) in spreads.items()]
+    parts += [F.max("mid").alias("high"), F.min("mid").alias("low"), F.sum(c("transaction_volume").cast("double")).alias("volume"), F.sum(c("transaction_count").cast("double")).alias("trades"), F.count("*").alias("rows"), F.sum("is_empty_bid").alias("no_bid"), F.count("is_empty_bid").alias("bids"), F.sum("is_empty_ask").alias("no_ask"), F.count("is_empty_ask").alias("asks"), count(c("mid").isNull()).alias("no_mid"), F.min("spread").alias("least_spread"), F.min(AGE).alias("newest_age")]
+    parts += [F.min_by(F.struct(*SNAPSHOT, AGE), F.when(seen, age)).alias("newest"), F.max_by("mid", F.when(seen, age)).alias("oldest_mid")]
+    outward = Window.partitionBy("sample_id").orderBy("ring")
+    rings = b.groupBy("sample_id", "ring").agg(*parts)
+    near = {n: safe_div(c(f"s_{m}"), c(f"n_{m}")) for n, (_, m) in spreads.items()}
+    rings = rings.withColumns({f"d_{n}": x - F.first(x, ignorenulls=True).over(outward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for n, x in near.items()})
+
     sums: list[Column] = []
-    for w in windows:
-        t, on = label(w), within(w)
-        means = {"mid_mean": c("mid"), "spread_mean": c("spread"), "rel_spread_mean": c("rel_spread"), "depth_imb1_mean": c("depth_imb_1"), "depth_imb12_mean": c("depth_imb_12"), "micro_minus_mid": c("microprice") - c("mid"), "ask_slope": c("ask_slope"), "bid_slope": c("bid_slope"), "total_depth_mean": c("total_depth"), "trade_aggression": safe_div(c("transaction_avgprice") - c("mid"), c("spread"))}
-        sums += [mean_in(w, x).alias(f"mkt_{n}_{t}") for n, x in means.items()]
-        sums += [F.stddev(F.when(on, c("mid"))).alias(f"mkt_mid_std_{t}"), F.stddev(F.when(on, c("depth_imb_1"))).alias(f"mkt_depth_imb1_std_{t}"), (F.max(F.when(on, c("mid"))) - F.min(F.when(on, c("mid")))).alias(f"mkt_mid_range_{t}")]
-        sums += [(total(on, c("transaction_volume")) / w).alias(f"mkt_trade_volume_rate_{t}"), (total(on, c("transaction_count")) / w).alias(f"mkt_trade_count_rate_{t}"), (count(on) / w).alias(f"mkt_snapshot_rate_{t}")]
-    sums += [F.avg("is_empty_bid").alias("mkt_empty_bid_share"), F.avg("is_empty_ask").alias("mkt_empty_ask_share"), (count(c("mid").isNull()) / F.count("*")).alias("mkt_null_mid_share"), F.avg("spread").alias("mkt_spread_mean_clean"), F.min("spread").alias("mkt_spread_min"), F.min(AGE).alias("mkt_last_seconds_gap"), F.count("*").alias("mkt_n_snapshots")]
-    age = F.struct(c(AGE), c("row_id"))
-    seen = c("mid").isNotNull()
-    points = [F.min_by(F.struct(*SNAPSHOT, AGE), F.when(seen, age)).alias("last")] + [F.max_by("mid", F.when(seen & within(w), age)).alias(f"mkt_mid_start_{label(w)}") for w in windows]
-    # Both aggregates read one exchange: rows meet by sample once.
-    one = b.groupBy("sample_id").agg(*sums).join(b.groupBy("sample_id").agg(*points), "sample_id")
+    for i, w in enumerate(windows):
+        t, on = label(w), c("ring") <= i
+        inside = lambda x, on=on: F.sum(F.when(on, x))
+        sums += [safe_div(inside(c(f"s_{n}")), inside(c(f"n_{n}"))).alias(f"mkt_{n}_{t}") for n in means]
+        for n, (_, m) in spreads.items():
+            rows, d = c(f"n_{m}"), c(f"d_{n}")
+            apart = inside(rows * c(f"v_{n}")) + inside(rows * d * d) - safe_div(inside(rows * d) * inside(rows * d), inside(rows))
+            sums.append(F.sqrt(safe_div(F.when(apart < 0, 0.0).otherwise(apart), inside(rows) - 1)).alias(f"mkt_{n}_{t}"))
+        sums += [(F.max(F.when(on, c("high"))) - F.min(F.when(on, c("low")))).alias(f"mkt_mid_range_{t}"), F.max_by("oldest_mid", F.when(on & c("oldest_mid").isNotNull(), c("ring"))).alias(f"mkt_mid_start_{t}")]
+        sums += [(total(on, x) / w).alias(f"mkt_{n}_{t}") for n, x in (("trade_volume_rate", F.coalesce("volume", F.lit(0.0))), ("trade_count_rate", F.coalesce("trades", F.lit(0.0))), ("snapshot_rate", c("rows")))]
+    sums += [safe_div(F.sum("no_bid"), F.sum("bids")).alias("mkt_empty_bid_share"), safe_div(F.sum("no_ask"), F.sum("asks")).alias("mkt_empty_ask_share"), (F.sum("no_mid") / F.sum("rows")).alias("mkt_null_mid_share"), safe_div(F.sum("s_spread_mean"), F.sum("n_spread_mean")).alias("mkt_spread_mean_clean"), F.min("least_spread").alias("mkt_spread_min"), F.min("newest_age").alias("mkt_last_seconds_gap"), F.sum("rows").alias("mkt_n_snapshots"), F.min_by("newest", F.when(c("newest").isNotNull(), c("ring"))).alias("last")]
+    one = rings.groupBy("sample_id").agg(*sums)
     names = {f: f"mkt_{f.replace('imb_1', 'imb1')}_last" for f in SNAPSHOT} | {AGE: "mkt_last_valid_gap"}
     one = one.withColumns({n: c(f"last.{f}") for f, n in names.items()}).drop("last")
     far = label(windows[-1])
