@@ -118,12 +118,13 @@ def best_offset(df: DataFrame, fit: Column, width: float, steps: int = 201, y: s
 
 
 def family_value(df: DataFrame, families: dict[str, list[str]], y: str = "y") -> DataFrame:
-    """(family, full, standalone, without, marginal, share) of the cosine of summed predictions of all families, of one, of the rest."""
+    """(family, full, standalone, without, marginal, share) of the cosine of summed predictions of all families, of one, of the rest; share is what a family reaches
+    alone, of the full cosine. Nothing is refitted: ablation.py does that."""
     total = lambda names: sum((F.col(c) for c in names), F.lit(0.0))
     a = F.col(y)
     one = df.agg(cosine(a, total([c for v in families.values() for c in v])).alias("full"), *(cosine(a, total(v)).alias(f"own_{k}") for k, v in families.items()), *(cosine(a, total([c for o, v in families.items() if o != k for c in v])).alias(f"not_{k}") for k in families))
     rows = one.select("full", F.explode(F.array(*(F.struct(F.lit(k).alias("family"), F.col(f"own_{k}").alias("standalone"), F.col(f"not_{k}").alias("without")) for k in families))).alias("x"))
-    return rows.select("x.family", "full", "x.standalone", "x.without", (F.col("full") - F.col("x.without")).alias("marginal"), safe_div(F.col("full") - F.col("x.without"), F.col("full")).alias("share"))
+    return rows.select("x.family", "full", "x.standalone", "x.without", (F.col("full") - F.col("x.without")).alias("marginal"), safe_div(F.col("x.standalone"), F.col("full")).alias("share"))
 
 
 def importance(df: DataFrame, features: list[str]) -> DataFrame:

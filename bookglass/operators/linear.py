@@ -77,7 +77,12 @@ def column_quantiles(df: DataFrame, features: list[str], qs: dict[str, float], k
     return q.select(*(keys or []), F.element_at(names, F.col("at") + 1).alias("feature"), *qs)
 
 
-def _matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
+def finite(name: str) -> Column:
+    return F.abs(F.col(name).cast("double")) < float("inf")
+
+
+def matrix(batch: pa.RecordBatch, first: int) -> np.ndarray:
+    """The columns of a batch from ``first`` on, as doubles."""
     columns = [c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in batch.columns[first:]]
     return np.column_stack(columns) if columns else np.empty((batch.num_rows, 0))
 
@@ -91,7 +96,7 @@ def _products(centre: np.ndarray):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             part, y = b.column(0).to_numpy(zero_copy_only=False), b.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            x = _matrix(b, 2)
+            x = matrix(b, 2)
             lacks = ~np.isfinite(x)
             z = np.where(lacks, 0.0, x - centre)
             some = np.flatnonzero(lacks.any(0))  # few columns lack values, and only these have products
@@ -170,14 +175,14 @@ def fold_parts(spans: dict[int, tuple[int, int]], month: str = "month") -> tuple
     return part, {f: list(range(cuts.index(lo) + 1, cuts.index(hi + 1) + 1)) for f, (lo, hi) in spans.items()}
 
 
-def ridge_fits(df: DataFrame, spans: dict[int, tuple[int, int]], features: list[str], *, y: str = "y", alpha: float = 10.0, month: str = "month") -> dict[int, Fit]:
-    """A ridge per span of training months, each with the medians of its own rows in place of missing values.
+def fold_products(df: DataFrame, spans: dict[int, tuple[int, int]], features: list[str], *, y: str = "y", month: str = "month") -> tuple[dict[int, np.ndarray], dict[int, np.ndarray], np.ndarray]:
+    """(sums of part_products, medians) of each span of training months, and the centre that the sums are taken about.
 
     Spans overlap, as expanding folds do; the products are summed once per part of months and added up per span. Values
-    that aren't finite are missing; a feature without values is 0 everywhere; a span without rows predicts 0.
+    that aren't finite are missing; a feature without values has a median of 0, and a span without rows has sums of 0.
     """
     spark = df.sparkSession
-    rows = df.where(F.abs(F.col(y).cast("double")) < float("inf"))
+    rows = df.where(finite(y))
     known = F.broadcast(spark.createDataFrame([(f, *s) for f, s in spans.items()], "__fold int, __lo int, __hi int"))
     trained = rows.join(known, F.col(month).between(F.col("__lo"), F.col("__hi")))
     medians = {f: np.zeros(len(features)) for f in spans}
@@ -189,7 +194,14 @@ def ridge_fits(df: DataFrame, spans: dict[int, tuple[int, int]], features: list[
     inside = reduce(Column.__or__, (F.col(month).between(lo, hi) for lo, hi in spans.values()))
     sums = part_products(rows.where(inside), part, features, y, centre)
     empty = np.zeros((2 * len(features) + 2,) * 2)
-    return {f: solve_ridge(sum((sums[p] for p in parts[f] if p in sums), empty), medians[f], centre, alpha) for f in spans}
+    return {f: sum((sums[p] for p in parts[f] if p in sums), empty) for f in spans}, medians, centre
+
+
+def ridge_fits(df: DataFrame, spans: dict[int, tuple[int, int]], features: list[str], *, y: str = "y", alpha: float = 10.0, month: str = "month") -> dict[int, Fit]:
+    """A ridge per span of training months, each with the medians of its own rows in place of missing values (see fold_products).
+    A feature without values is 0 everywhere; a span without rows predicts 0."""
+    totals, medians, centre = fold_products(df, spans, features, y=y, month=month)
+    return {f: solve_ridge(totals[f], medians[f], centre, alpha) for f in spans}
 
 
 def with_predictions(df: DataFrame, fits: dict[int, Fit], features: list[str], *, fold: str | None = None, name: str = "prediction") -> DataFrame:
@@ -199,7 +211,7 @@ def with_predictions(df: DataFrame, fits: dict[int, Fit], features: list[str], *
 
     def step(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b, len(keep))
+            x = matrix(b, len(keep))
             p = np.full(len(x), np.nan)
             which = b.column(keep.index(fold)).to_numpy(zero_copy_only=False) if fold else None
             for f, fit in fits.items() if fold else [(None, only)]:

@@ -161,7 +161,7 @@ def g_best_offset(t):
     return cp.best_offset(scored(t), F.col("month") % 2 == 0, 0.01)
 
 
-@query(f"{S}, v AS (SELECT {cos('y', '(p1 + p2)')} AS b, {cos('y', 'p1')} AS x, {cos('y', 'p2')} AS z FROM s) SELECT 'p1' AS family, {cols({'full': 'b', 'standalone': 'x', 'without': 'z', 'marginal': 'b - z', 'share': '(b - z) / nullif(b, 0)'}).replace('AS full', 'AS \"full\"').replace('AS without', 'AS \"without\"')} FROM v UNION ALL SELECT 'p2', {cols({'full': 'b', 'standalone': 'z', 'without': 'x', 'marginal': 'b - x', 'share': '(b - x) / nullif(b, 0)'}).replace('AS full', 'AS \"full\"').replace('AS without', 'AS \"without\"')} FROM v")
+@query(f"{S}, v AS (SELECT {cos('y', '(p1 + p2)')} AS b, {cos('y', 'p1')} AS x, {cos('y', 'p2')} AS z FROM s) SELECT 'p1' AS family, {cols({'full': 'b', 'standalone': 'x', 'without': 'z', 'marginal': 'b - z', 'share': 'x / nullif(b, 0)'}).replace('AS full', 'AS \"full\"').replace('AS without', 'AS \"without\"')} FROM v UNION ALL SELECT 'p2', {cols({'full': 'b', 'standalone': 'z', 'without': 'x', 'marginal': 'b - x', 'share': 'z / nullif(b, 0)'}).replace('AS full', 'AS \"full\"').replace('AS without', 'AS \"without\"')} FROM v")
 def g_family_value(t):
     return cp.family_value(scored(t), {"p1": ["p1"], "p2": ["p2"]})
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import corr_safe, cosine
-from bookglass.operators import adversarial
+from bookglass.operators import ablation, adversarial
 from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
 from bookglass.operators import linear
@@ -318,6 +318,35 @@ def i_ridge_features(t):
     return ev.metrics(linear.walk_forward_ridge(x, features), ["fold"], p="prediction")
 
 
+#: A ridge on each of two families of one feature, and on both, per fold: m, q and w as for i_walk_forward_ridge.
+ABLATION = f"""{S}, {FOLD_ROWS}, m AS (SELECT fold, avg(p1) AS m1, avg(p2) AS m2, avg(y) AS my, stddev_pop(p1) AS s1, stddev_pop(p2) AS s2, count(*)::DOUBLE AS n FROM fr WHERE role = 'train' GROUP BY fold),
+q AS (SELECT fold, sum((p1 - m1) / s1 * ((p2 - m2) / s2)) AS c, sum((p1 - m1) / s1 * (y - my)) AS u, sum((p2 - m2) / s2 * (y - my)) AS v FROM fr JOIN m USING (fold) WHERE role = 'train' GROUP BY fold),
+w AS (SELECT *, ((n + 10) * u - c * v) / ((n + 10) * (n + 10) - c * c) AS w1, ((n + 10) * v - c * u) / ((n + 10) * (n + 10) - c * c) AS w2 FROM m JOIN q USING (fold)),
+x AS (SELECT fold, y, my + u / (n + 10) * (p1 - m1) / s1 AS a, my + v / (n + 10) * (p2 - m2) / s2 AS b, my + w1 * (p1 - m1) / s1 + w2 * (p2 - m2) / s2 AS ab FROM fr JOIN w USING (fold) WHERE role = 'val'),
+z AS (SELECT fold, 'first' AS families, 1 AS n, {cos('y', 'a')} AS cosine FROM x GROUP BY fold UNION ALL SELECT fold, 'second', 1, {cos('y', 'b')} FROM x GROUP BY fold UNION ALL SELECT fold, 'first+second', 2, {cos('y', 'ab')} FROM x GROUP BY fold),
+t AS (SELECT families, n, avg(cosine) AS mean, coalesce(stddev_samp(cosine), 0) AS std, min(cosine) AS lowest, arg_min(fold, cosine) AS worst_fold FROM z GROUP BY families, n)"""
+PAIR = {"first": ["p1"], "second": ["p2"]}
+
+
+@query(f"{ABLATION} SELECT families, n AS n_families, n AS n_features, {cols({'cosine_mean': 'mean', 'cosine_std': 'std', 'cosine_min': 'lowest'})}, worst_fold FROM t")
+def i_ablation(t):
+    """Both families of predictions and each alone, refitted on every fold."""
+    return ablation.ablation(ablation.subset_scores(scored(t), PAIR))
+
+
+@query(f"{ABLATION} SELECT o.families AS family, o.n AS n_features, {cols({'standalone': 'o.mean', 'without_it': 'w.mean', 'marginal_gain': 'b.mean - w.mean', 'share_of_full': 'o.mean / nullif(b.mean, 0)'})} FROM t o, t w, t b WHERE o.n = 1 AND w.n = 1 AND o.families <> w.families AND b.n = 2")
+def g_family_refits(t):
+    """What each family adds to the other and reaches alone, by refits."""
+    return ablation.marginal_values(ablation.ablation(ablation.subset_scores(scored(t), PAIR)), list(PAIR))
+
+
+@query()
+def i_ablation_features(t):
+    """All subsets of the market, order and trade features of the assembly, refitted on every fold."""
+    x, features = featured(t)
+    return ablation.ablation(ablation.subset_scores(x, {f: [c for c in features if c.startswith(f + "_")] for f in ("mkt", "ord", "txn")}))
+
+
 @query(f"""{S}, w AS (SELECT {FIT} FROM (SELECT {GRAM} FROM s WHERE month <= 34)) SELECT ((month - 36) // 6)::BIGINT AS block, count(*) AS n, {cols({'cosine': cos('y', '(w1 * p1 + w2 * p2)'), 'rmse': 'sqrt(avg((y - w1 * p1 - w2 * p2) * (y - w1 * p1 - w2 * p2)))'})} FROM s, w WHERE month >= 36 GROUP BY block""")
 def i_fixed_fit_blocks(t):
     s = scored(t)

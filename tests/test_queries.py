@@ -32,6 +32,9 @@ def test_query_agrees_with_sql(spark, con, name):
     elif name in ("g_adversarial_blocks", "g_adversarial_boosted"):
         rows = {r["lo"] if "lo" in df.columns else 0: r for r in df.collect()}
         assert all(0.3 < r.auc < 0.7 and r.positives and r.negatives for r in rows.values()) and len(rows) == (7 if "blocks" in name else 1)
+    elif name == "i_ablation_features":  # held to numpy in test_ablation.py
+        rows = {r.families: r for r in df.collect()}
+        assert len(rows) == 7 and rows["mkt+ord+txn"].n_features == 292 and all(abs(r.cosine_mean) <= 1 for r in rows.values())
     elif sql is None:
         raise AssertionError(f"{name} has neither SQL nor a test of its own")
     else:
