@@ -235,7 +235,7 @@ def score_batch(df: DataFrame, members: dict[str, dict[str, float]], weights: di
 
 
 def pool_descriptors(df: DataFrame, pool: Column, x: Column) -> DataFrame:
-    """(pool, n, static, fitted): per pool, the mean of log x as a z-score by the first pool's moments, and the deviation by its own."""
+    """(pool, n, static, spread): per pool, the mean of log x as a z-score by the first pool's moments, and its deviation over the first pool's."""
     d = df.select(pool.alias("pool"), F.log(F.greatest(x, F.lit(1e-9))).alias("v"))
     s = d.groupBy("pool").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
     first = s.where(F.col("pool") == 0).select(F.col("mean").alias("m0"), F.col("std").alias("s0"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bookglass.operators import audit, series
 from bookglass.operators import features as ft
+from bookglass.operators import pools
 from bookglass.operators.audit import Rule
 from bookglass.plans.comparisons import CHANNELS, FILLED
 from bookglass.plans.sql import BOOK, CLOCK, S, cols, r
@@ -92,3 +93,11 @@ def signals(t: Callable) -> DataFrame:
 def i_regime_descriptors(t):
     s = signals(t)
     return audit.regime_descriptors(s.where("sample_id % 4 <> 0"), s, ["depth", "spread", "volatility"])
+
+
+@query()
+def i_pool_regimes(t):
+    """Samples of three pools by the regimes of the first, and by their own pool's."""
+    s = signals(t)
+    name = F.when(F.col("sample_id") % 4 == 0, "test").when(F.col("sample_id") % 4 == 1, "val").otherwise("train")
+    return pools.pool_regimes(s.withColumn("pool", name), ["train", "val", "test"], ["depth", "spread", "volatility"])

@@ -23,6 +23,9 @@ def test_query_agrees_with_sql(spark, con, name):
         rows = df.collect()
         shares = {r.regime: r.regime_share for r in rows}
         assert len({r.sample_id for r in rows}) == len(rows) and abs(sum(shares.values()) - 1) < 1e-9 and all(r.regime_dist >= 0 for r in rows)
+    elif name == "i_pool_regimes":  # held to numpy in test_pools.py
+        rows = df.collect()
+        assert rows and len({(r.sample_id, r.variant) for r in rows}) == len(rows) and {r.variant for r in rows} == {"static", "own"} and all(r.regime_dist >= 0 for r in rows)
     elif name == "i_boosted":
         scores = [r.cosine for r in df.collect()]
         assert sum(scores) / len(scores) > 0
