@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
@@ -12,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookglass.functions.exprs import safe_div
-from bookglass.operators.linear import column_quantiles, ridge_fits, with_predictions
+from bookglass.operators.evaluation import FOLDS
+from bookglass.operators.linear import column_quantiles, finite, ridge_fits, with_predictions
 
 
 def median_impute(df: DataFrame, features: list[str], train) -> DataFrame:
@@ -55,6 +58,27 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str], y: str = "y"
     return fit.transform(_vector(test, features)).drop("__x")
 
 
+def walk_forward_boosted(df: DataFrame, features: list[str], *, folds: list[tuple] = FOLDS, y: str = "y", rounds: int = 10) -> DataFrame:
+    """The validation rows of every fold with ``fold`` and the ``prediction`` of boosted trees of fixed rounds, fitted on the fold's training
+    months alone: missing values are those months' medians. Rows without a finite target teach nothing but are predicted. A fold without training
+    rows predicts 0. Folds are fitted when this is called, one after the other, each on all executors."""
+    months = lambda a, b: F.col("month").between(a, b)
+    taught, parts = df.where(finite(y)), []
+    for fold, a, b, c, d in folds:
+        val = df.where(months(c, d)).withColumn("fold", F.lit(fold))
+        train = taught.where(months(a, b)).withColumn("fold", F.lit(fold))
+        if train.isEmpty():
+            parts.append(val.withColumn("prediction", F.lit(0.0)))
+            continue
+        both = median_impute(train.withColumn("__train", F.lit(True)).unionByName(val.withColumn("__train", F.lit(False))), features, F.col("__train"))
+        filled = both.select(*(F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)), both[y], "__train")
+        names = [f"__f{i}" for i in range(len(features))]
+        fit = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=rounds, maxDepth=4, seed=7).fit(_vector(filled.where("__train"), names))
+        rows = both.where("not __train").withColumns({n: F.col(f).cast("double") for n, f in zip(names, features, strict=True)})
+        parts.append(fit.transform(_vector(rows, names)).select(*val.columns, "prediction"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def boosted_classifier(train: DataFrame, test: DataFrame, features: list[str], positive: Column, rounds: int = 10) -> DataFrame:
     """test with ``score``, the probability of a positive row by boosted trees; missing values are the training medians. Without rows of both
     labels to learn from, all score alike."""

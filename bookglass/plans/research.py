@@ -11,7 +11,7 @@ from bookglass.functions.exprs import corr_safe, cosine
 from bookglass.operators import ablation, adversarial
 from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
-from bookglass.operators import linear
+from bookglass.operators import linear, models
 from bookglass.operators import research as rs
 from bookglass.operators.linear import group_quantiles
 from bookglass.plans.sql import BOOK, DRIFT, FOLD_ROWS, S, WIDE, cols, corr, cos, metric_cols, r
@@ -304,6 +304,12 @@ def i_walk_forward_ridge(t):
     return ev.metrics(linear.walk_forward_ridge(scored(t), ["p1", "p2"]), ["fold"], p="prediction")
 
 
+@query()
+def i_walk_forward_boosted(t):
+    """Per fold, the scores of boosted trees fitted on the fold's training months."""
+    return ev.metrics(models.walk_forward_boosted(scored(t), ["p1", "p2"], rounds=5), ["fold"], p="prediction")
+
+
 def featured(t: Callable) -> tuple[DataFrame, list[str]]:
     """(sample_id, month, y, all features of the assembly) of the samples, the month and target being those of the order of that number."""
     x = ft.assemble(ft.market_features(t("market")), ft.order_features(t("order_flow")), ft.trade_features(t("trade")))

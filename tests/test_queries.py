@@ -26,6 +26,9 @@ def test_query_agrees_with_sql(spark, con, name):
     elif name == "i_pool_regimes":  # held to numpy in test_pools.py
         rows = df.collect()
         assert rows and len({(r.sample_id, r.variant) for r in rows}) == len(rows) and {r.variant for r in rows} == {"static", "own"} and all(r.regime_dist >= 0 for r in rows)
+    elif name == "i_walk_forward_boosted":  # held to single fits in test_boosted.py
+        rows = df.collect()
+        assert sorted(r.fold for r in rows) == [1, 2, 3, 4, 5] and sum(r.cosine for r in rows) > 0
     elif name == "i_boosted":
         scores = [r.cosine for r in df.collect()]
         assert sum(scores) / len(scores) > 0
