@@ -12,7 +12,7 @@ from bookglass.operators import evaluation as ev
 from bookglass.operators import features as ft
 from bookglass.operators import models, series
 from bookglass.operators.linear import group_quantiles
-from bookglass.plans import audits, comparisons, research
+from bookglass.plans import audits, comparisons, research, selection
 from bookglass.plans.sql import ORACLE
 from bookglass.sources.adapters import view
 
@@ -370,7 +370,7 @@ def k_month_fraction(t):
     return ev.month_fraction(in_months(t), 0.1).groupBy("month").agg(F.count("*").alias("n"), F.sum("sample_id").alias("ids"))
 
 
-for _f in (comparisons.QUERIES | research.QUERIES | audits.QUERIES).values():
+for _f in (comparisons.QUERIES | research.QUERIES | audits.QUERIES | selection.QUERIES).values():
     query(_f)
 
 
@@ -379,4 +379,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in (ORACLE | comparisons.ORACLE | research.ORACLE | audits.ORACLE).items() if k in _queries}
+    return {k: v for k, v in (ORACLE | comparisons.ORACLE | research.ORACLE | audits.ORACLE | selection.ORACLE).items() if k in _queries}

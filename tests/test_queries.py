@@ -29,6 +29,9 @@ def test_query_agrees_with_sql(spark, con, name):
     elif name == "i_walk_forward_boosted":  # held to single fits in test_boosted.py
         rows = df.collect()
         assert sorted(r.fold for r in rows) == [1, 2, 3, 4, 5] and sum(r.cosine for r in rows) > 0
+    elif name == "i_tuned_boosted":  # its protocol is held to the plain way in test_tuning.py
+        one = df.collect()
+        assert len(one) == 1 and one[0].best in (1, 2) and one[0].n_folds == 2 and abs(one[0].claimed_gain - one[0].honest_gain - one[0].selection_optimism) < 1e-9
     elif name == "i_boosted":
         scores = [r.cosine for r in df.collect()]
         assert sum(scores) / len(scores) > 0
