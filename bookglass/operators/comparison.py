@@ -140,17 +140,6 @@ def local_top(df: DataFrame, features: list[str], k: int, key: str = "sample_id"
     return df.select(key, F.posexplode(top).alias("place", "x")).select(key, (F.col("place") + 1).alias("place"), "x.feature", "x.value")
 
 
-def rolling_scale(df: DataFrame, x: str, width: int = 50, least: int = 10) -> DataFrame:
-    """df with ``scale``: the running median of the last ``width`` rows of a month (null below ``least`` rows, then the next that
-    stands), over its mean in the month. A frame holds ``width`` rows at most."""
-    w = Window.partitionBy("month").orderBy("sample_id")
-    frame = w.rowsBetween(1 - width, 0)
-    d = df.withColumn("__m", F.when(F.count(x).over(frame) >= least, quantile(x, 0.5).over(frame)))
-    back = Window.partitionBy("month").orderBy(F.desc("sample_id")).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("__m", F.coalesce("__m", F.last("__m", ignorenulls=True).over(back)))
-    return d.withColumn("scale", safe_div(F.col("__m"), F.avg("__m").over(Window.partitionBy("month")))).drop("__m")
-
-
 def channel_scaling(steps: DataFrame, channels: list[str], train: Column, floor: float = 1e-6, clip: float = 6.0) -> DataFrame:
     """steps with each channel less the training mean, over the training deviation (``floor`` at least), cut to +-``clip``; null: 0."""
     m = steps.where(train).agg(*(F.avg(c).alias(f"__m_{c}") for c in channels), *(F.greatest(F.stddev_pop(c), F.lit(floor)).alias(f"__s_{c}") for c in channels))

@@ -106,6 +106,29 @@ def running_scale(df: DataFrame, x: str, width: int = 200, least: int = 50, cent
     return filled.crossJoin(F.broadcast(mean)).withColumn("scale", safe_div(F.col("__m"), F.col("__mean"))).drop("__m", "__mean", "pos")
 
 
+def rolling_scale(df: DataFrame, x: str, width: int = 50, least: int = 10, *, chunk: int = 100_000, span: int = 1_000_000) -> DataFrame:
+    """df with ``scale``: the running median of the last ``width`` rows of a month, over its mean in the month. Frames with fewer than ``least``
+    values take the next median of the month that stands; null if there is none. Months are cut into chunks of positions, and each chunk's first frames
+    see the rows before it, so no task holds a month."""
+    p = positions(df, span).withColumn("__own", F.floor(F.col("pos") / chunk))
+    near = F.sequence(F.col("__own"), F.floor((F.col("pos") + width - 1) / chunk))
+    frame = Window.partitionBy("month", "__chunk").orderBy("pos").rowsBetween(1 - width, 0)
+    m = p.withColumn("__chunk", F.explode(near)).withColumn("__v", F.sort_array(F.collect_list(F.col(x).cast("double")).over(frame)))  # ``width`` values at most
+    m = m.where("__chunk = __own").withColumn("__n", F.size("__v"))
+    middle = lambda i: F.try_element_at("__v", F.floor(i).cast("int") + 1)
+    m = kept(m.withColumn("__m", F.when(F.col("__n") >= least, (middle((F.col("__n") - 1) / 2) + middle(F.col("__n") / 2)) / 2)).drop("__own", "__v", "__n"), "rolling")
+    stands = F.when(F.col("__m").isNotNull(), F.col("pos"))
+    first = m.groupBy("month", "__chunk").agg(F.min_by("__m", stands).alias("__first"))
+    after = Window.partitionBy("month").orderBy(F.desc("__chunk")).rowsBetween(Window.unboundedPreceding, -1)  # a row per chunk
+    first = first.select(F.col("month").alias("__of"), F.col("__chunk").alias("__at"), F.last("__first", ignorenulls=True).over(after).alias("__later"))
+    back = Window.partitionBy("month", "__chunk").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.col("month").eqNullSafe(F.col("__of"))
+    filled = m.withColumn("__m", F.last("__m", ignorenulls=True).over(back)).join(first, own & (F.col("__chunk") == F.col("__at")))
+    filled = filled.withColumn("__m", F.coalesce("__m", "__later")).drop("__of", "__at", "__later", "__chunk")
+    means = filled.groupBy(F.col("month").alias("__of")).agg(F.avg("__m").alias("__mean"))
+    return filled.join(F.broadcast(means), own).withColumn("scale", safe_div(F.col("__m"), F.col("__mean"))).drop("__m", "__mean", "__of", "pos")  # a row per month
+
+
 def channel_sequences(raw: DataFrame, steps: int = STEPS) -> DataFrame:
     """(sample_id, step, 15 channels, valid): the newest ``steps`` snapshots of each sample, oldest first. A shorter sample is padded in front
     with its oldest snapshot, whose copies have valid 0. return_bps is against the newest mid. One shuffle by sample; padding is exploded

@@ -76,7 +76,7 @@ def c_importance_and_drift(t):
 
 @query(f"{S}, k AS (SELECT sample_id, month, regime, row_number() OVER w AS rn, median(regime) OVER (w ROWS 49 PRECEDING) AS md FROM s WINDOW w AS (PARTITION BY month ORDER BY sample_id)), m AS (SELECT *, CASE WHEN rn >= 10 THEN md END AS x FROM k), f AS (SELECT *, coalesce(x, first_value(x IGNORE NULLS) OVER (PARTITION BY month ORDER BY sample_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y FROM m) SELECT sample_id, {r('y / avg(y) OVER (PARTITION BY month)')} AS scale FROM f")
 def e_rolling_scale(t):
-    return cp.rolling_scale(scored(t), "regime").select("sample_id", "scale")
+    return series.rolling_scale(scored(t), "regime").select("sample_id", "scale")
 
 
 LAGS = [1, 2, 5, 10, 50]

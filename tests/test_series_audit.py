@@ -78,3 +78,23 @@ def test_steps_resume_and_know_their_source(spark, tmp_path):
     with pytest.raises(ValueError, match="stale"):
         sinks.load_resumable({"a": parts["a"]}, path, "v1")
     assert sinks.read_loaded(spark, path).count() == 9 and tuple(sinks.key_faults(sinks.read_loaded(spark, path), "id").first()) == (0, 0, 0)
+
+
+def test_rolling_scale_crosses_chunks_but_not_months(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(i // 90), None if rng.random() < 0.1 else float(rng.integers(1, 50))) for i in range(250)] + [(900, None, 3.0), (901, None, 5.0), (902, 7, None)]
+    df = spark.createDataFrame(rows, "sample_id long, month int, x double").repartition(4)
+    got = {r.sample_id: r.scale for r in series.rolling_scale(df, "x", width=9, least=4, chunk=20, span=37).collect()}
+    assert len(got) == len(rows)
+    for month in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == month]
+        m = []
+        for i in range(len(own)):
+            v = [r[2] for r in own[max(0, i - 8) : i + 1] if r[2] is not None]
+            m.append(float(np.median(v)) if len(v) >= 4 else None)
+        filled = [next((v for v in m[i:] if v is not None), None) for i in range(len(own))]
+        known = [v for v in filled if v is not None]
+        for r, v in zip(own, filled, strict=True):
+            want = None if v is None else v / np.mean(known)
+            assert got[r[0]] is None if want is None else abs(got[r[0]] - want) < 1e-9
+    assert series.rolling_scale(df.where("false"), "x").count() == 0
