@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A turn is HEAD role NEXT text END. None of the three can stand in an escaped role or text.
@@ -30,25 +30,28 @@ def format_conversations(turns: DataFrame, *, target_role: str = "assistant") ->
     Columns conv_id, example (the target's place among the turns), formatted, loss_start, loss_length (code points of
     ``formatted`` under the loss mask; 0 and 0 if none), last. Turns after the last target, or of a conversation
     without one, come in one more example whose mask is empty, so every turn can be read back from the example marked
-    ``last``. The text of an example is made row by row, not held for the whole conversation at once.
+    ``last``.
+
+    Turns are placed by a running sum of their lengths, a window that spills, and dealt by conversation once. A conversation's text
+    is then one string, of which each example is a prefix, cut off row by row: a task holds one conversation and one example of it at a
+    time, however many turns there are.
 
     Turns are ordered by turn, then role, then text; repeated rows are turns of their own. Null texts and roles are
     empty, a null turn comes first, null conv_ids form one conversation. Other columns are not read. No rows give none.
     A conversation's turns meet in one row, as its digests need them in order.
     """
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    t = turns.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t"))
-    talks = t.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    head = lambda x: F.concat(F.lit(HEAD), escape(x["role"], ROLE_ESCAPES), F.lit(NEXT))
-    pieces = F.transform("turns", lambda x: F.struct(F.concat(head(x), escape(x["text"]), F.lit(END)).alias("whole"), F.length(head(x)).alias("before"), F.length(escape(x["text"])).alias("length"), (x["role"] == target_role).alias("target")))
-    talks = talks.select("conv_id", pieces.alias("p"))
-    size = F.size("p")
-    places = F.filter(F.sequence(F.lit(1), size), lambda i: F.element_at("p", i)["target"] | (i == size))
-    rows = talks.select("conv_id", "p", F.explode(places).alias("example"))
-    target = F.element_at("p", F.col("example"))
-    formatted = F.array_join(F.transform(F.slice("p", F.lit(1), F.col("example")), lambda x: x["whole"]), "")
-    before = F.aggregate(F.slice("p", F.lit(1), F.col("example") - 1), F.lit(0), lambda a, x: a + F.length(x["whole"]))
-    return rows.select("conv_id", "example", formatted.alias("formatted"), F.when(target["target"], before + target["before"]).otherwise(0).alias("loss_start"), F.when(target["target"], target["length"]).otherwise(0).alias("loss_length"), (F.col("example") == size).alias("last"))
+    t = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    head, said = F.concat(F.lit(HEAD), escape(F.col("role"), ROLE_ESCAPES), F.lit(NEXT)), escape(F.col("text"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    t = t.select("conv_id", F.row_number().over(w).alias("example"), head.alias("head"), said.alias("said"), (F.col("role") == target_role).alias("target"), F.sum(F.length(head) + F.length(said) + len(END)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int").alias("end"))
+    start = F.col("end") - len(END) - F.length("said")
+    mark = F.struct("example", "end", F.when(F.col("target"), start).otherwise(0).alias("loss_start"), F.when(F.col("target"), F.length("said")).otherwise(0).alias("loss_length"))
+    piece = F.struct("example", F.concat("head", "said", F.lit(END)).alias("piece"))
+    talks = t.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda x: x["piece"]), "").alias("whole"), F.collect_list(F.when(F.col("target"), mark)).alias("targets"), F.max(mark).alias("end_mark"))
+    closing = F.when(F.exists("targets", lambda x: x["example"] == F.col("end_mark")["example"]), F.array()).otherwise(F.array("end_mark"))
+    rows = talks.select("conv_id", "whole", F.col("end_mark")["example"].alias("turns"), F.explode(F.concat("targets", closing)).alias("m"))
+    return rows.select("conv_id", "m.example", F.left("whole", "m.end").alias("formatted"), "m.loss_start", "m.loss_length", (F.col("m.example") == F.col("turns")).alias("last"))
 
 
 def parse_turns(formatted: Column) -> Column:
