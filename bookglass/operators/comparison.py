@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookglass.functions.exprs import corr_safe, cosine, quantile, safe_div
+from bookglass.functions.exprs import corr_safe, cosine, safe_div
 from bookglass.operators.linear import column_quantiles, group_quantiles
 from bookglass.operators.ranges import with_previous
 
