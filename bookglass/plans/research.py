@@ -222,10 +222,9 @@ def dated(t: Callable) -> DataFrame:
 def g_adversarial_blocks(t):
     """Per block of months, how well all features tell it from months 0 to 5; block -1: even from odd hashes of the orders, which nothing should tell."""
     d, m = dated(t), F.col("month")
-    k = F.broadcast(d.sparkSession.createDataFrame(BLOCKS[1:], "lo int, hi int"))
-    pairs = d.join(k, m.between(0, 5) | m.between(F.col("lo"), F.col("hi"))).select("*", (m > 5).alias("later")).drop("hi")
-    control = d.select("*", F.lit(-1).alias("lo"), (F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 1).alias("later"))
-    return adversarial.adversarial_auc(pairs.unionByName(control), F.col("later"), WIDE, ["l_orderkey", "line"], ["lo"])
+    labels = [F.when(m.between(0, 5) | m.between(*b), m > 5) for b in BLOCKS[1:]] + [F.pmod(F.xxhash64("l_orderkey"), F.lit(2)) == 1]
+    names = d.sparkSession.createDataFrame([(i, lo) for i, lo in enumerate([lo for lo, _ in BLOCKS[1:]] + [-1])], "group int, lo int")
+    return adversarial.labelled_auc(d, labels, WIDE, ["l_orderkey", "line"]).join(F.broadcast(names), "group").select("lo", "auc", "positives", "negatives")
 
 
 @query()

@@ -144,6 +144,34 @@ def test_adversarial_scores_equal_brute_force(spark):
     assert alone["auc"] is None and alone["positives"] == n
 
 
+def test_groups_that_share_rows_score_as_copies_do(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x, later = rng.normal(size=(500, 4)), rng.random(500) < 0.5
+    x[:, 0] += later
+    df, features = frame(spark, x, rng.integers(0, 4, 500), later.astype(float))
+    m, made = F.col("month"), spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    # 0: months 0 and 1; 1: months 0 and 2; 2: every row by its target; 3: nobody; month 3 is in the third alone.
+    labels = [F.when(m.isin(0, 1), m == 1), F.when(m.isin(0, 2), m == 2), F.col("y") > 0, F.lit(None).cast("boolean")]
+    copies = None
+    for i, label in enumerate(labels):
+        own = df.select("*", F.lit(i).alias("g"), label.alias("positive"))
+        copies = own if copies is None else copies.unionByName(own)
+    want = {r["g"]: r for r in adversarial.adversarial_auc(copies, F.col("positive"), features, ["sample_id"], ["g"]).collect()}
+    for digits in (39, 2):
+        monkeypatch.setattr(adversarial, "DIGITS", digits)
+        got = {r["group"]: r for r in adversarial.labelled_auc(df.mapInArrow(counting, df.schema), labels, features, ["sample_id"]).collect()}
+        assert set(got) == set(want) == {0, 1, 2} and want[2]["auc"] > 0.65
+        for g, r in got.items():
+            assert abs(r["auc"] - want[g]["auc"]) < 1e-9 and (r["positives"], r["negatives"]) == (want[g]["positives"], want[g]["negatives"])
+    assert made.value == 2 * 500
+
+
 def test_trees_tell_what_no_line_can(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 2))
@@ -167,3 +195,18 @@ def test_student_t_against_published_values():
     for n, t in known.items():
         assert abs(research.student_t(n) - t) < 1e-6
         assert abs(research.T_VALUES[n - 1] - t) < 1e-6
+
+
+def test_quantiles_of_spans_that_share_parts(spark, table, monkeypatch):
+    df, features, x, months, _ = table
+    spans = {7: [0, 1], 3: [0, 1, 2], 5: [2], 9: [4]}  # no row has part 4
+    clean = np.where(np.isfinite(x), x, np.nan)
+    for least, most, whole, held in ((128, 2048, 65_536, 4_000_000), (4, 8, 10, 7_000)):  # two passes, and many, over small runs
+        for name, n in (("LEAST", least), ("MOST", most), ("WHOLE", whole), ("HELD", held)):
+            monkeypatch.setattr(linear, name, n)
+        for q in (0.37, 1.0):
+            got = linear.span_quantiles(df.withColumn("tied", F.floor(F.col("f0") / 1000)), F.floor(F.col("month") / 24), spans, [*features[:9], "tied"], q)
+            assert list(got) == list(spans) and np.isnan(got[9]).all()
+            for s, own in spans.items():
+                rows = clean[np.isin(months // 24, own)]
+                assert s == 9 or np.isnan(got[s][7]) and np.allclose(np.delete(got[s], 7), np.nanquantile(np.delete(np.column_stack([rows[:, :9], np.floor(rows[:, 0] / 1000)]), 7, 1), q, axis=0), rtol=1e-12)
