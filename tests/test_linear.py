@@ -210,3 +210,16 @@ def test_quantiles_of_spans_that_share_parts(spark, table, monkeypatch):
             for s, own in spans.items():
                 rows = clean[np.isin(months // 24, own)]
                 assert s == 9 or np.isnan(got[s][7]) and np.allclose(np.delete(got[s], 7), np.nanquantile(np.delete(np.column_stack([rows[:, :9], np.floor(rows[:, 0] / 1000)]), 7, 1), q, axis=0), rtol=1e-12)
+
+
+def test_features_are_made_once(spark, table):
+    df, features, *_ = table
+    made = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    linear.walk_forward_ridge(df.mapInArrow(counting, df.schema), features).count()
+    assert made.value == df.count()
