@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from bookglass.functions.exprs import safe_div
 from bookglass.operators import evaluation as ev
 from bookglass.operators.linear import finite, fold_products, matrix, solve_ridge
+from bookglass.operators.ranges import kept
 
 SCORE = "fold int, subset int, yp double, yy double, pp double"
 
@@ -45,13 +46,15 @@ def _scores(fits: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
 def subset_scores(df: DataFrame, families: dict[str, list[str]], *, folds: list[tuple] = ev.FOLDS, y: str = "y", alpha: float = 10.0) -> DataFrame:
     """(families, n_families, n_features, fold, cosine): a ridge on each subset of the families, refitted on each fold's training months.
 
-    The subsets' fits are parts of the sums of all features (see linear.py), so more subsets read no more rows; the sums are taken when this is called.
+    The subsets' fits are parts of the sums of all features (see linear.py), so more subsets read no more rows; the rows are written once and the sums
+    taken when this is called.
     Rows without a finite target count nowhere; missing values are the fold's medians; a fold without validation rows has no score, and
     predictions or targets that are all 0 score 0.
     """
     features = [c for names in families.values() for c in names]
     at = {f: [features.index(c) for c in names] for f, names in families.items()}
     k, chosen = len(features), subsets(families)
+    df = kept(df.where(finite(y)).select("month", *dict.fromkeys([y, *features])), "ablation")
     totals, medians, centre = fold_products(df, {f: (a, b) for f, a, b, _, _ in folds}, features, y=y)
     fits = {}
     for fold, total in totals.items():
@@ -63,7 +66,7 @@ def subset_scores(df: DataFrame, families: dict[str, list[str]], *, folds: list[
             weights[own, j], constants[j] = fit.weights, fit.constant
         fits[fold] = (medians[fold], weights, constants)
     known = F.broadcast(df.sparkSession.createDataFrame([(f, c, d) for f, _, _, c, d in folds], "__fold int, __lo int, __hi int"))
-    rows = df.where(finite(y)).join(known, F.col("month").between(F.col("__lo"), F.col("__hi"))).select("__fold", F.col(y).cast("double"), *(F.col(f).cast("double") for f in features))
+    rows = df.join(known, F.col("month").between(F.col("__lo"), F.col("__hi"))).select("__fold", F.col(y).cast("double"), *(F.col(f).cast("double") for f in features))
     sums = rows.mapInArrow(_scores(fits), SCORE).groupBy("fold", "subset").agg(*(F.sum(c).alias(c) for c in ("yp", "yy", "pp")))
     names = df.sparkSession.createDataFrame([(j, "+".join(c), len(c), sum(len(families[f]) for f in c)) for j, c in enumerate(chosen)], "subset int, families string, n_families int, n_features int")
     cosine = F.coalesce(safe_div(F.col("yp"), F.sqrt("yy") * F.sqrt("pp")), F.lit(0.0))

@@ -73,3 +73,17 @@ def test_rows_are_read_as_often_for_many_families(spark):
         return seen.value
 
     assert passes({"a": ["f0"], "b": ["f1"], "c": ["f2"]}) == passes({"a": ["f0", "f1", "f2"]})
+
+
+def test_features_are_made_once(spark):
+    x, months, y = data(200)
+    df, _ = frame(spark, x, months, y)
+    made = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    ablation(subset_scores(df.mapInArrow(counting, df.schema), FAMILIES)).collect()
+    assert made.value == 200
