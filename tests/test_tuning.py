@@ -97,3 +97,17 @@ def test_boosted_candidates(spark):
     score = boosted_scorer(df, features, folds=folds)
     good, poor = score([{"rounds": 3}, {"rounds": 1, "depth": 0}], 7, 2)
     assert good > 0.9 > abs(poor)
+
+
+def test_a_folds_rows_are_made_once(spark):
+    x, months, y = data(300)
+    df, features = frame(spark, x, months, y)
+    made = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    score = boosted_scorer(df.mapInArrow(counting, df.schema), features)
+    assert all(-1 <= c <= 1 for c in score([{"rounds": 1}, {"rounds": 1, "depth": 2}], 7, 5)) and made.value == 300
